@@ -1,0 +1,92 @@
+"""Runs every registered query against its SQL in DuckDB and prints one line each.
+
+    python tests/oracle_check.py [sf_dir] [query ...]
+"""
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    return con
+
+
+def _ordered(df: pd.DataFrame) -> pd.DataFrame:
+    df = df[sorted(df.columns)].astype(object)
+    text = df.map(lambda v: "NULL" if pd.isna(v) else repr(v))
+    return text.sort_values(list(text.columns)).reset_index(drop=True)
+
+
+def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
+    """What differs between two results, rows in any order; None when they are equal."""
+    if sorted(got.columns) != sorted(want.columns):
+        return f"columns {sorted(got.columns)} against {sorted(want.columns)}"
+    if len(got) != len(want):
+        return f"{len(got)} rows against {len(want)}"
+    kinds = {c: (got[c].dtype, want[c].dtype) for c in got.columns}
+    for column, (a, b) in kinds.items():
+        if len(got) and got[column].notna().any() and (a.kind in "iu") != (b.kind in "iu"):
+            if not (got[column].isna().any() or want[column].isna().any()):
+                return f"{column} is {a} against {b}"
+    a, b = _ordered(_numbers(got)), _ordered(_numbers(want))
+    if a.equals(b):
+        return None
+    rows = (a != b).any(axis=1)
+    return f"{rows.sum()} rows differ, first\n{a[rows].head(3)}\n{b[rows].head(3)}"
+
+
+def _numbers(df: pd.DataFrame) -> pd.DataFrame:
+    """Integers with NULLs arrive as floats from one side and as integers from the other."""
+    out = df.copy()
+    for column in out.columns:
+        if out[column].dtype.kind in "iuf":
+            out[column] = out[column].astype("float64")
+        elif out[column].dtype.kind == "M":
+            out[column] = out[column].astype("datetime64[us]")
+        elif out[column].map(lambda v: hasattr(v, "isoformat")).any():
+            out[column] = pd.to_datetime(out[column]).astype("datetime64[us]")
+    return out
+
+
+def main(sf_dir: str, names: list[str]) -> int:
+    from __spark_entry__ import oracle_sql, queries
+    from tidemark import build_session
+
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    spark.sparkContext.setLogLevel("ERROR")
+    con, oracles, bad = connect(sf_dir), oracle_sql(), 0
+    for name, query in queries().items():
+        if names and name not in names:
+            continue
+        started = time.perf_counter()
+        try:
+            got = query(spark, sf_dir).toPandas()
+            took = time.perf_counter() - started
+            if name not in oracles:
+                print(f"rows  {name:26} {len(got):7} {took:6.2f}s")
+                continue
+            problem = difference(got, con.execute(oracles[name]).df())
+        except Exception as error:  # a broken query must not hide the others
+            took, got, problem = time.perf_counter() - started, [], str(error)[:1500]
+        bad += problem is not None
+        print(f"{'ok   ' if problem is None else 'FAIL '} {name:26} {len(got):7} {took:6.2f}s {problem or ''}", flush=True)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(main(*(lambda a: (a[0] if a else "/root/testdata/sf0.01", a[1:]))(sys.argv[1:])) > 0)
