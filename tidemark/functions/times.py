@@ -13,22 +13,20 @@ def _zoned(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, TimestampType)
 
 
-def _epoch_day(name: str) -> Column:
-    return F.unix_date(F.to_date(name)).cast("bigint")
-
-
 def epoch_seconds(df: DataFrame, name: str) -> Column:
     """Whole seconds since 1970, rounded down."""
     if _zoned(df, name):
         return F.unix_seconds(name)
-    return _epoch_day(name) * 86400 + F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
+    return F.expr(
+        f"unix_date(to_date({name})) * 86400L + hour({name}) * 3600 + minute({name}) * 60 + second({name})"
+    )
 
 
 def epoch_minutes(df: DataFrame, name: str) -> Column:
     """Whole minutes since 1970, rounded down."""
     if _zoned(df, name):
         return F.floor(F.unix_seconds(name) / 60)
-    return _epoch_day(name) * 1440 + F.hour(name) * 60 + F.minute(name)
+    return F.expr(f"unix_date(to_date({name})) * 1440L + hour({name}) * 60 + minute({name})")
 
 
 def seconds_between(df: DataFrame, start: str, end: str) -> Column:

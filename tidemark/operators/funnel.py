@@ -15,48 +15,34 @@ from tidemark import defaults
 from tidemark.functions.numbers import normal_quantile, ratio
 
 
-def _flag(position: int) -> str:
-    return f"reached_{position}"
+def _step_array(steps: Sequence[str]) -> Column:
+    return F.array(*[F.lit(step) for step in steps])
 
 
 def _users_by_step(events: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """One row per user, the NULL user included: a flag per step and the user's revenue."""
-    flags = [
-        F.max(F.when(F.col("event_name") == step, 1).otherwise(0)).alias(_flag(i))
-        for i, step in enumerate(steps, 1)
-    ]
-    return events.groupBy("user_id").agg(*flags, F.sum("revenue").alias("user_revenue"))
+    """One row per user, the NULL user included: a bit per step done, and the revenue."""
+    return (
+        events.withColumn("position", F.array_position(_step_array(steps), F.col("event_name")))
+        .groupBy("user_id")
+        .agg(
+            F.expr("bit_or(if(position > 0, shiftleft(1L, int(position) - 1), 0L))").alias("done"),
+            F.sum("revenue").alias("user_revenue"),
+        )
+    )
 
 
 def _step_totals(users: DataFrame, steps: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by, step_index, step, users_reached, revenue) for the steps that occur at all."""
-    known = F.col("user_id").isNotNull()
-    totals = []
-    for i in range(1, len(steps) + 1):
-        reached = F.col(_flag(i)) == 1
-        totals += [
-            F.max(_flag(i)).alias(f"occurs_{i}"),
-            F.count(F.when(reached & known, 1)).alias(f"users_{i}"),
-            F.sum(F.when(reached & known, F.coalesce("user_revenue", F.lit(0)))).alias(f"revenue_{i}"),
-        ]
-    step_rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("step_index"),
-                F.lit(step).alias("step"),
-                F.col(f"users_{i}").alias("users_reached"),
-                F.coalesce(F.col(f"revenue_{i}").cast("double"), F.lit(0.0)).alias("revenue"),
-                F.col(f"occurs_{i}").alias("occurs"),
-            )
-            for i, step in enumerate(steps, 1)
-        ]
-    )
-    return (
-        users.groupBy(*by)
-        .agg(*totals)
-        .select(*by, F.inline(step_rows))
-        .filter(F.col("occurs") == 1)
-        .drop("occurs")
+    """Rows (by, step_index, step, users_reached, revenue) for the steps that occur at all.
+
+    The NULL user makes a step occur but counts neither as a user nor with revenue.
+    """
+    reached = users.select(
+        *by, "user_id", "user_revenue", "done", F.posexplode(_step_array(steps)).alias("bit", "step")
+    ).filter("getbit(done, bit) = 1")
+    revenue = F.sum(F.when(F.col("user_id").isNotNull(), F.col("user_revenue")))
+    return reached.groupBy(*by, (F.col("bit") + 1).alias("step_index"), "step").agg(
+        F.count("user_id").alias("users_reached"),
+        F.coalesce(revenue.cast("double"), F.lit(0.0)).alias("revenue"),
     )
 
 
@@ -138,7 +124,7 @@ def arpu(events: DataFrame, goal: str = defaults.GOAL) -> DataFrame:
     """Revenue per user among the users who ever reached ``goal``, as one row."""
     per_user = _users_by_step(events.filter(F.col("user_id").isNotNull()), [goal])
     return (
-        per_user.filter(F.col(_flag(1)) == 1)
+        per_user.filter("done = 1")
         .agg(F.sum("user_revenue").alias("revenue"), F.count("*").alias("users"))
         .select(ratio(F.col("revenue"), F.col("users")).alias("arpu_per_purchaser"))
     )

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a call site for every column costs more than planning small queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
