@@ -1,0 +1,93 @@
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from conftest import at, rows
+from pyspark.sql import functions as F
+
+import tidemark as tm
+
+
+def test_repeat_with_fresh_id_keeps_the_lower_id(make_events):
+    raw = make_events([{"event_id": "e9"}, {"event_id": "e2", "channel": "email"}, {"event_id": "e5"}])
+    assert rows(tm.clean_events(raw), "event_id", "channel") == [("e2", "email")]
+
+
+def test_same_id_on_different_keys_is_kept(make_events):
+    raw = make_events([{"event_id": "e1"}, {"event_id": "e1", "event_name": "signup"}])
+    assert tm.clean_events(raw).count() == 2
+
+
+@pytest.mark.parametrize("ts", ["timestamp_ntz", "timestamp"])
+def test_shift_moves_one_platform_across_midnight(make_events, ts):
+    raw = make_events([{"platform": "ios", "event_ts": "20:30:00"}, {"platform": "android"}], ts)
+    assert rows(tm.clean_events(raw), "platform", "event_ts", "event_date") == [
+        ("android", at("10:00:00"), date(2026, 3, 2)),
+        ("ios", at("2026-03-03 04:30:00"), date(2026, 3, 3)),
+    ]
+
+
+def test_shift_comes_before_dedupe(make_events):
+    raw = make_events([{"platform": "ios", "event_ts": "02:00:00"}, {"platform": "web"}])
+    assert rows(tm.clean_events(raw), "event_id") == [("e0000",)]
+
+
+def test_shift_takes_any_platform_and_part_hours(make_events):
+    cleaned = tm.clean_events(make_events([{"platform": "web"}]), shifts={"web": -5.5, "ios": 8})
+    assert rows(cleaned, "event_ts") == [(at("04:30:00"),)]
+
+
+def test_rows_without_a_user_go_only_when_cleaning(make_events):
+    raw = make_events([{"user_id": None}, {}])
+    assert tm.clean_events(raw).count() == 1
+    passed = tm.clean_events(raw, clean=False)
+    assert passed.count() == 2
+    assert passed.columns == tm.clean_events(raw).columns
+
+
+def test_first_touch_tie_goes_to_the_lower_id(make_events):
+    events = make_events([{"event_id": "e2", "channel": "email"}, {"event_id": "e1", "channel": "social"}])
+    assert rows(tm.first_touch_users(events), "channel") == [("social",)]
+
+
+def test_first_touch_keeps_a_null_attribute(make_events):
+    events = make_events([{"channel": None}, {"event_ts": "11:00:00", "channel": "email"}])
+    assert rows(tm.first_touch_users(events), "channel", "platform") == [(None, "web")]
+
+
+@pytest.mark.parametrize("ts", ["timestamp_ntz", "timestamp"])
+def test_first_touch_dates(make_events, ts):
+    events = make_events([{"event_ts": "2026-03-08 23:59:59"}, {"event_ts": "2026-03-09 00:00:00"}], ts)
+    users = tm.first_touch_users(events)
+    assert rows(users, "signup_ts", "signup_date", "signup_week") == [
+        (at("2026-03-08 23:59:59"), date(2026, 3, 8), datetime(2026, 3, 2))
+    ]
+    assert users.schema["signup_week"].dataType == events.schema["event_ts"].dataType
+
+
+def test_undated_event_is_never_the_first_touch(make_events, spark):
+    events = make_events([{"channel": "email"}, {"channel": "social"}]).withColumn(
+        "event_ts", F.when(F.col("channel") == "email", F.col("event_ts"))
+    )
+    assert rows(tm.first_touch_users(events), "channel") == [("email",)]
+
+
+def test_cleaning_matches_brute_force(make_events):
+    rng = random.Random(7)
+    raw = [
+        {
+            "event_id": f"e{i:05d}",
+            "user_id": rng.choice([None, "a", "b", "c"]),
+            "event_name": rng.choice(["signup", "purchase"]),
+            "event_ts": at("10:00:00") + timedelta(hours=rng.choice([0, 1, 8])),
+            "platform": rng.choice(["ios", "web"]),
+        }
+        for i in range(300)
+    ]
+    survivors = {}
+    for row in sorted(raw, key=lambda r: r["event_id"]):
+        if row["user_id"]:
+            ts = row["event_ts"] + timedelta(hours=8 if row["platform"] == "ios" else 0)
+            survivors.setdefault((row["user_id"], row["event_name"], ts), row["event_id"])
+    rng.shuffle(raw)
+    assert rows(tm.clean_events(make_events(raw)), "event_id") == sorted((e,) for e in survivors.values())
