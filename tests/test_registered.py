@@ -1,0 +1,28 @@
+"""Every registered query against its SQL, on the smallest tables."""
+
+import pytest
+from oracle_check import connect, difference
+
+import __spark_entry__ as contract
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF_DIR)
+
+
+def test_every_query_has_sql_but_the_file_sizes():
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"layout_sizes"}
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", contract.oracle_sql())
+def test_query_matches_its_sql(spark, duck, name):
+    got = contract.queries()[name](spark, SF_DIR).toPandas()
+    assert difference(got, duck.execute(contract.oracle_sql()[name]).df()) is None
+
+
+def test_entry_returns_the_funnel(spark):
+    assert contract.entry(spark).count() == 5
