@@ -97,3 +97,19 @@ def test_random_events_match_brute_force(make_events, ts):
     summary = tm.session_summary(table).collect()
     assert {(r.user_id, r.session_index): r.event_count for r in summary} == counts
     assert tm.session_count(table).first().events == len(events)
+
+
+def test_naive_times_ignore_the_session_zone(make_events, spark):
+    """02:00 to 03:00 does not exist on that night in New York, but does in a naive column."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        events = make_events(
+            [{"event_ts": f"2026-03-08 {t}"} for t in ("01:50:00", "02:20:00", "02:50:00", "03:20:30")]
+        )
+        summary = tm.session_summary(events)
+        assert rows(summary, "session_seconds", "event_count") == [(5430, 4)]
+        assert rows(tm.first_touch_users(events), "signup_week") == [(at("2026-03-02 00:00:00"),)]
+        assert rows(tm.circular_mean_hour(events.limit(1)), "mean_hour")[0][0] == pytest.approx(1.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

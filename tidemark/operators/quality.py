@@ -175,10 +175,11 @@ def bad_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Non-NULL values of ``child`` without a match in ``parent``, with their row count.
 
-    Grouped before the join, so a value holding many rows is one row in the shuffle.
+    Both sides are grouped before the join, so a value holding many rows is one row in
+    the shuffle.
     """
     values = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    keys = parent.select(F.col(parent_column).alias(column))
+    keys = parent.select(F.col(parent_column).alias(column)).distinct()
     return values.join(keys, column, "left_anti")
 
 

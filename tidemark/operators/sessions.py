@@ -89,5 +89,13 @@ def session_summary(
 
 
 def session_count(events: DataFrame, gap_minutes: int = defaults.GAP_MINUTES) -> DataFrame:
-    """How many events were given a session, as one row."""
-    return sessionise(events, gap_minutes).agg(F.count("session_index").alias("events"))
+    """How many events were given a session, as one row, without numbering them singly."""
+    minutes = (
+        events.withColumn("minute", epoch_minutes(events, "event_ts"))
+        .groupBy("user_id", "minute")
+        .agg(F.count("*").alias("n"))
+    )
+    numbered = F.when(F.col("session_index").isNotNull(), F.col("n")).otherwise(0)
+    return _numbered(minutes, gap_minutes).agg(
+        F.coalesce(F.sum(numbered), F.lit(0)).alias("events")
+    )

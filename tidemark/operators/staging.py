@@ -31,6 +31,8 @@ def clean_events(
     lets Spark keep one candidate per key in every map task, so a group of copies of
     any size reaches the shuffle already reduced. ``clean=False`` only adds the date.
     """
+    # Spark sorts by the first column's prefix; the timestamp repeats least.
+    key = sorted(key, key=lambda column: column != "event_ts")
     events = raw.select(*defaults.EVENT_COLUMNS)
     if clean:
         copies = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last())

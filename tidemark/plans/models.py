@@ -1,5 +1,7 @@
 """All models of the warehouse from one raw event table."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from tidemark.operators.funnel import funnel
@@ -15,6 +17,8 @@ def build_models(raw: DataFrame, root: str | None = None, clean: bool = True) ->
 
     Every model but the raw table is saved under ``root`` (a new shared folder if not
     given): five of them read the clean events, and reports read the marts repeatedly.
+    The marts do not depend on each other, so their jobs are submitted together and the
+    last tasks of one do not leave executors idle.
     """
     root = (root or shared_dir(raw.sparkSession)).rstrip("/")
 
@@ -23,12 +27,12 @@ def build_models(raw: DataFrame, root: str | None = None, clean: bool = True) ->
 
     events = saved("stg_events", clean_events(raw, clean=clean))
     users = saved("stg_users", first_touch_users(events))
-    return {
-        "raw_events": raw,
-        "stg_events": events,
-        "stg_users": users,
-        "mart_sessions": saved("mart_sessions", session_summary(events)),
-        "mart_funnel": saved("mart_funnel", funnel(events)),
-        "mart_retention": saved("mart_retention", retention(events, users)),
-        "audit_data_quality": saved("audit_data_quality", quality_audit(raw, events)),
+    marts = {
+        "mart_sessions": session_summary(events),
+        "mart_funnel": funnel(events),
+        "mart_retention": retention(events, users),
+        "audit_data_quality": quality_audit(raw, events),
     }
+    with ThreadPoolExecutor(len(marts)) as pool:
+        tables = dict(zip(marts, pool.map(saved, marts, marts.values())))
+    return {"raw_events": raw, "stg_events": events, "stg_users": users, **tables}

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 import tidemark as tm
 from tidemark import defaults
-from tidemark.operators import funnel as funnels
-from tidemark.operators import quality
-from tidemark.operators import retention as retentions
 from tidemark.plans.models import build_models
 from tidemark.sources import layouts, tables
 from workload.fixture import raw_events
