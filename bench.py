@@ -10,7 +10,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 from datetime import date
 
@@ -48,8 +47,6 @@ def main() -> None:
         spark__sql__adaptive__coalescePartitions__minPartitionSize="64KB",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     root = shared_dir(spark)
 
     raw = tm.save_table(raw_events(spark, SF_DIR), f"{root}/raw")

@@ -15,7 +15,7 @@ SCHEMA = (
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from tidemark import build_session
 
     session = build_session(
@@ -25,8 +25,6 @@ def spark(tmp_path_factory):
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,6 +1,7 @@
 import json
 from datetime import date
 from pathlib import Path
+from types import SimpleNamespace
 
 import pandas as pd
 import pyarrow as pa
@@ -57,13 +58,25 @@ def test_saving_replaces_a_table(clean, tmp_path):
     assert list(Path(path).glob("*.zstd.parquet"))
 
 
+def session(master, **conf):
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
 def test_shared_folder_comes_from_the_session(spark, clean):
-    root = spark.conf.get("spark.checkpoint.dir")
-    assert tables.shared_dir(spark).startswith(root)
+    named = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert tables.shared_dir(session("yarn", **named)).startswith("hdfs://shared/tidemark-")
+    assert tables.shared_dir(session("local[2]", **named)).startswith("hdfs://shared/tidemark-")
     assert tables.shared_dir(spark) != tables.shared_dir(spark)
+    root = tables.shared_dir(spark).rsplit("/", 1)[0]
     assert tm.materialise(clean).inputFiles()[0].startswith(f"file://{root}")
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    assert tables.shared_dir(session("local[2]"))
+    with pytest.raises(ValueError):
+        tables.shared_dir(session("yarn"))
+
+
 def test_views_answer_sql(spark, clean):
     tm.register_views({"stg_events": clean})
     assert spark.sql("SELECT count(DISTINCT user_id) AS n FROM stg_events").first().n == 60

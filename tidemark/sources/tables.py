@@ -1,7 +1,9 @@
 """Reading events, saving tables and views, writing results."""
 
+import tempfile
 import uuid
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,19 @@ def save_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``, which every executor can reach."""
+    """A new folder's path under ``spark.checkpoint.dir``, which every executor can reach.
+
+    Only in local mode, where one machine is the whole cluster, may the setting be absent.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = _local_dir()
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"

@@ -1,11 +1,13 @@
 """The registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-Queries that read the clean events more than once save them to the shared folder first.
+Queries that read the clean events more than once read them from tables saved in the shared
+folder, written once per session and input.
 Ratios that the operators leave unrounded are rounded here, because the last digits of
 sine, square root and sums of doubles differ between engines.
 """
 
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +37,18 @@ def _dirty(spark: SparkSession, sf_dir: str, grain: str = "customer") -> DataFra
     return tm.clean_events(raw_events(spark, sf_dir, grain), clean=False)
 
 
+@cache
+def _staging_dir(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the saved device-grain staging tables."""
+    root = tables.shared_dir(spark)
+    events = tm.save_table(_clean(spark, sf_dir, "device"), f"{root}/stg_events")
+    tm.save_table(tm.first_touch_users(events), f"{root}/stg_users")
+    return root
+
+
 def _events_and_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = tables.materialise(_clean(spark, sf_dir, "device"))
-    return events, tm.first_touch_users(events)
+    root = _staging_dir(spark, sf_dir)
+    return spark.read.parquet(f"{root}/stg_events"), spark.read.parquet(f"{root}/stg_users")
 
 
 # --- staging -----------------------------------------------------------------
@@ -108,7 +119,7 @@ def arpu(spark, sf_dir):
 
 
 def opportunity(spark, sf_dir):
-    events = tables.materialise(_clean(spark, sf_dir, "device"))
+    events, _ = _events_and_users(spark, sf_dir)
     sized = tm.opportunity(tm.funnel(events), events)
     return _rounded(sized, 6, "arpu_per_purchaser", "downstream_purchase_rate")
 
