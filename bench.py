@@ -90,6 +90,7 @@ def main() -> None:
     for name, run in runs.items():
         queries[name] = round(statistics.median(timed(run) for _ in range(REPEATS)), 4)
         print(f"{name:24} {queries[name]:.4f}", file=sys.stderr)
+    build_models(raw, f"{root}/warm")
     queries["build_models"] = round(timed(lambda: build_models(raw, f"{root}/models")), 4)
     print(
         json.dumps(

@@ -24,5 +24,22 @@ def test_query_matches_its_sql(spark, duck, name):
     assert difference(got, duck.execute(contract.oracle_sql()[name]).df()) is None
 
 
+@pytest.mark.parametrize("name", ["sessionise", "funnel_by_channel", "retention", "two_proportion", "hour_skew", "orphans"])
+def test_nothing_depends_on_a_broadcast(spark, duck, name):
+    """The same results from sort-merge joins, which is what large sides get."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = contract.queries()[name](spark, SF_DIR)
+        got = df.toPandas()
+        executed = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "Broadcast" not in executed and "SortMergeJoin" in executed
+    assert difference(got, duck.execute(contract.oracle_sql()[name]).df()) is None
+
+
 def test_entry_returns_the_funnel(spark):
     assert contract.entry(spark).count() == 5

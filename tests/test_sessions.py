@@ -3,6 +3,7 @@ from datetime import timedelta
 
 import pytest
 from conftest import at, rows
+from pyspark.sql import functions as F
 
 import tidemark as tm
 
@@ -99,6 +100,13 @@ def test_random_events_match_brute_force(make_events, ts):
     assert tm.session_count(table).first().events == len(events)
 
 
+def test_sessionise_keeps_the_columns_it_is_given(make_events):
+    events = make_events([{}]).withColumn("minute", F.lit(99))
+    numbered = tm.sessionise(events)
+    assert numbered.columns == [*events.columns, "session_index"]
+    assert rows(numbered, "minute", "session_index") == [(99, 1)]
+
+
 def test_naive_times_ignore_the_session_zone(make_events, spark):
     """02:00 to 03:00 does not exist on that night in New York, but does in a naive column."""
     zone = spark.conf.get("spark.sql.session.timeZone")

@@ -53,5 +53,3 @@ from tidemark.sources.tables import (
     save_table,
     write_json,
 )
-
-__all__ = [name for name in dir() if not name.startswith("_")]

@@ -13,11 +13,6 @@ def ratio(numerator: Column, denominator: Column, digits: int | None = None) ->
     return quotient if digits is None else F.round(quotient, digits)
 
 
-def count_where(condition: Column) -> Column:
-    """Rows for which the condition is true, as a bigint."""
-    return F.count_if(condition)
-
-
 def circular_hour(mean_sin: Column, mean_cos: Column) -> Column:
     """The hour in [0, 24) a mean unit vector points at."""
     return F.pmod(F.atan2(mean_sin, mean_cos) * 24.0 / (2 * F.pi()) + 24.0, F.lit(24.0))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import defaults
-from tidemark.functions.numbers import count_where, normal_quantile, normal_upper_tail, ratio
+from tidemark.functions.numbers import normal_quantile, normal_upper_tail, ratio
 
 
 def two_proportion_test(
@@ -27,10 +27,10 @@ def two_proportion_test(
     )
     in_a, in_b = F.col(segment) == a, F.col(segment) == b
     counts = members.agg(
-        count_where(in_a).alias("n_a"),
-        count_where(in_b).alias("n_b"),
-        count_where(in_a & F.col("converted")).alias("x_a"),
-        count_where(in_b & F.col("converted")).alias("x_b"),
+        F.count_if(in_a).alias("n_a"),
+        F.count_if(in_b).alias("n_b"),
+        F.count_if(in_a & F.col("converted")).alias("x_a"),
+        F.count_if(in_b & F.col("converted")).alias("x_b"),
     )
     n_a, n_b, x_a, x_b, p_a, p_b, pooled = map(F.col, "n_a n_b x_a x_b p_a p_b pooled".split())
     reach = normal_quantile(1 - alpha / 2)

@@ -20,7 +20,7 @@ def _step_array(steps: Sequence[str]) -> Column:
 
 
 def _users_by_step(events: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """One row per user, the NULL user included: a bit per step done, and the revenue."""
+    """One row per user, the NULL user included: a bit per step done (up to 63), and the revenue."""
     return (
         events.withColumn("position", F.array_position(_step_array(steps), F.col("event_name")))
         .groupBy("user_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import defaults
-from tidemark.functions.numbers import circular_hour, count_where, hours_apart, ratio
+from tidemark.functions.numbers import circular_hour, hours_apart, ratio
 
 # --- audit -------------------------------------------------------------------
 
@@ -128,7 +128,7 @@ def dup_keys(events: DataFrame, key: Sequence[str] = defaults.NATURAL_KEY) -> Da
 
 def null_rows(df: DataFrame, column: str) -> DataFrame:
     """One row with the number of NULLs in ``column``, no row when there are none."""
-    nulls = df.agg(count_where(F.col(column).isNull()).alias("null_rows"))
+    nulls = df.agg(F.count_if(F.col(column).isNull()).alias("null_rows"))
     return nulls.filter(F.col("null_rows") > 0)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import defaults
-from tidemark.functions.numbers import count_where, ratio
+from tidemark.functions.numbers import ratio
 
 
 def _active_days(events: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def retention(
     known = F.col("user_id").isNotNull()
     counts = seen.groupBy(*by).agg(
         F.count("user_id").alias("cohort_users"),
-        *[count_where(known & named & (F.col(f"on_{n}") == 1)).alias(f"d{n}_exact") for n in exact],
-        *[count_where(known & named & (F.col("last_day") >= n)).alias(f"d{n}_plus") for n in plus],
+        *[F.count_if(known & named & (F.col(f"on_{n}") == 1)).alias(f"d{n}_exact") for n in exact],
+        *[F.count_if(known & named & (F.col("last_day") >= n)).alias(f"d{n}_plus") for n in plus],
     )
     shares = [ratio(F.col(c), F.col("cohort_users"), 4).alias(f"{c}_rate") for c in rates]
     return counts.select("*", *shares).orderBy(*[F.col(c).asc_nulls_last() for c in by])
@@ -103,7 +103,7 @@ def week_one_dropoff(
     """Users, those last seen before day ``days``, and their share; per ``by`` if given."""
     last = events.groupBy("user_id").agg(F.max(F.to_date("event_ts")).alias("active_date"))
     activity = users.join(last, "user_id").withColumn("last_day", _day_number())
-    lost = count_where(F.col("last_day") < days)
+    lost = F.count_if(F.col("last_day") < days)
     return activity.groupBy(*by).agg(
         F.count("*").alias("users"),
         lost.alias("lost_in_week_one"),

@@ -17,9 +17,9 @@ from tidemark.functions.times import epoch_minutes, seconds_between
 
 def _numbered(minutes: DataFrame, gap_minutes: int) -> DataFrame:
     """Adds session_index to one row per (user_id, minute)."""
-    timeline = Window.partitionBy("user_id").orderBy(F.col("minute").asc_nulls_last())
-    previous = F.lag("minute").over(timeline)
-    starts = previous.isNull() | (F.col("minute") - previous > gap_minutes)
+    timeline = Window.partitionBy("user_id").orderBy(F.col("_minute").asc_nulls_last())
+    previous = F.lag("_minute").over(timeline)
+    starts = previous.isNull() | (F.col("_minute") - previous > gap_minutes)
     return minutes.withColumn("starts", F.when(starts, 1).otherwise(0)).withColumn(
         "session_index",
         F.sum("starts").over(timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -28,12 +28,12 @@ def _numbered(minutes: DataFrame, gap_minutes: int) -> DataFrame:
 
 def sessionise(events: DataFrame, gap_minutes: int = defaults.GAP_MINUTES) -> DataFrame:
     """Every event with the index of its session, counted from 1 within the user."""
-    timed = events.withColumn("minute", epoch_minutes(events, "event_ts"))
-    index = _numbered(timed.select("user_id", "minute").distinct(), gap_minutes).select(
-        F.col("user_id").alias("index_user"), F.col("minute").alias("index_minute"), "session_index"
+    timed = events.withColumn("_minute", epoch_minutes(events, "event_ts"))
+    index = _numbered(timed.select("user_id", "_minute").distinct(), gap_minutes).select(
+        F.col("user_id").alias("_index_user"), F.col("_minute").alias("_index_minute"), "session_index"
     )
-    same_minute = F.col("user_id").eqNullSafe(F.col("index_user")) & F.col("minute").eqNullSafe(
-        F.col("index_minute")
+    same_minute = F.col("user_id").eqNullSafe(F.col("_index_user")) & F.col("_minute").eqNullSafe(
+        F.col("_index_minute")
     )
     return timed.join(index, same_minute).select(*events.columns, "session_index")
 
@@ -49,8 +49,8 @@ def session_summary(
     index back; the last grouping reuses the window's partitioning.
     """
     minutes = (
-        events.withColumn("minute", epoch_minutes(events, "event_ts"))
-        .groupBy("user_id", "minute")
+        events.withColumn("_minute", epoch_minutes(events, "event_ts"))
+        .groupBy("user_id", "_minute")
         .agg(
             F.min("event_ts").alias("first_ts"),
             F.max("event_ts").alias("last_ts"),
@@ -91,8 +91,8 @@ def session_summary(
 def session_count(events: DataFrame, gap_minutes: int = defaults.GAP_MINUTES) -> DataFrame:
     """How many events were given a session, as one row, without numbering them singly."""
     minutes = (
-        events.withColumn("minute", epoch_minutes(events, "event_ts"))
-        .groupBy("user_id", "minute")
+        events.withColumn("_minute", epoch_minutes(events, "event_ts"))
+        .groupBy("user_id", "_minute")
         .agg(F.count("*").alias("n"))
     )
     numbered = F.when(F.col("session_index").isNotNull(), F.col("n")).otherwise(0)
