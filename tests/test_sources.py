@@ -1,5 +1,5 @@
 import json
-from datetime import date
+from datetime import date, timedelta
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows
+from conftest import at, rows
 from test_funnel import ladder
 
 import tidemark as tm
@@ -133,6 +133,28 @@ def test_one_day_reads_one_folder(spark, clean, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan(sliced)
 
 
+def test_a_busy_date_is_cut_into_files(spark, make_events, tmp_path):
+    start = at("10:00:00")
+    busy = [{"user_id": f"u{i}", "event_ts": start + timedelta(seconds=i)} for i in range(4000)]
+    quiet = [{"event_ts": start + timedelta(days=d)} for d in (1, 2)]
+    raw = make_events(busy + quiet).repartition(16)
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        layouts.write_by_date(tm.clean_events(raw, clean=False), f"{tmp_path}/d")
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    files = {f.name: len(list(f.glob("*.parquet"))) for f in Path(tmp_path, "d").glob("event_date=*")}
+    assert files["event_date=2026-03-02"] > 4
+    assert files["event_date=2026-03-03"] == files["event_date=2026-03-04"] == 1
+    assert spark.read.parquet(f"{tmp_path}/d").count() == 4002
+
+
 def test_one_day_without_a_date_column_is_pushed_to_the_scan(spark, clean, tmp_path):
     saved = tm.save_table(clean.drop("event_date"), f"{tmp_path}/n")
     sliced = tm.day_slice(saved, date(2026, 3, 3))

@@ -33,10 +33,13 @@ def write_narrow(events: DataFrame, path: str) -> None:
 
 
 def write_by_date(events: DataFrame, path: str) -> None:
-    """One folder per event date, so a filter on the date lists only its files. Ranges
-    over date and user give a busy date several files and a quiet one few."""
-    order = ("event_date", "user_id")
-    _write(events.repartitionByRange(*order).sortWithinPartitions(*order), path, "event_date")
+    """One folder per event date, so a filter on the date lists only its files.
+
+    Rebalancing lets adaptive execution cut a busy date into several files and put quiet
+    dates into one task, whatever the number of shuffle partitions.
+    """
+    by_date = events.hint("rebalance", "event_date")
+    _write(by_date.sortWithinPartitions("event_date", "user_id"), path, "event_date")
 
 
 LAYOUTS = {
