@@ -1,8 +1,8 @@
 """Funnels: how many users ever reached each step, and what the losses are worth.
 
 Every operator first reduces events to one row per user (which steps, how much
-revenue). Those are plain maxima and sums, so map tasks combine before the shuffle
-and nothing counts distinct users or joins events.
+revenue). Those are plain bit-ors and sums, so map tasks combine before the shuffle,
+no step counts distinct users and no event meets a join.
 """
 
 from collections.abc import Mapping, Sequence
@@ -19,30 +19,22 @@ def _step_array(steps: Sequence[str]) -> Column:
     return F.array(*[F.lit(step) for step in steps])
 
 
-def _users_by_step(events: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """One row per user, the NULL user included: a bit per step done (up to 63), and the revenue."""
+def _users_by_step(events: DataFrame, steps: Sequence[str], *totals: Column) -> DataFrame:
+    """One row per user, the NULL user included: a bit per step done (up to 63), and ``totals``."""
+    done = F.expr("bit_or(if(position > 0, shiftleft(1L, int(position) - 1), 0L))")
     return (
         events.withColumn("position", F.array_position(_step_array(steps), F.col("event_name")))
         .groupBy("user_id")
-        .agg(
-            F.expr("bit_or(if(position > 0, shiftleft(1L, int(position) - 1), 0L))").alias("done"),
-            F.sum("revenue").alias("user_revenue"),
-        )
+        .agg(done.alias("done"), *totals)
     )
 
 
-def _step_totals(users: DataFrame, steps: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by, step_index, step, users_reached, revenue) for the steps that occur at all.
-
-    The NULL user makes a step occur but counts neither as a user nor with revenue.
-    """
-    reached = users.select(
-        *by, "user_id", "user_revenue", "done", F.posexplode(_step_array(steps)).alias("bit", "step")
-    ).filter("getbit(done, bit) = 1")
-    revenue = F.sum(F.when(F.col("user_id").isNotNull(), F.col("user_revenue")))
-    return reached.groupBy(*by, (F.col("bit") + 1).alias("step_index"), "step").agg(
-        F.count("user_id").alias("users_reached"),
-        F.coalesce(revenue.cast("double"), F.lit(0.0)).alias("revenue"),
+def _reached(users: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """A row per user and step done, with the step and its index from 1."""
+    return (
+        users.select("*", F.posexplode(_step_array(steps)).alias("bit", "step"))
+        .filter("getbit(done, bit) = 1")
+        .withColumn("step_index", F.col("bit") + 1)
     )
 
 
@@ -55,14 +47,20 @@ def funnel(
     out and the next one compares with the nearest step present. Recoverable revenue is
     users lost times revenue per user who reached ``goal``, NULL when nobody did.
     """
+    per_user = _users_by_step(events, steps, F.sum("revenue").alias("user_revenue"))
+    paid = F.sum(F.when(F.col("user_id").isNotNull(), F.col("user_revenue")))
+    totals = (
+        _reached(per_user, steps)
+        .groupBy("step_index", "step")
+        .agg(F.count("user_id").alias("users_reached"), paid.alias("paid"))
+    )
     in_order = Window.orderBy("step_index")
     users = F.col("users_reached")
     previous = F.lag("users_reached").over(in_order)
-    per_goal_user = F.max(F.when(F.col("step") == goal, ratio(F.col("revenue"), users)))
+    per_goal_user = F.max(F.when(F.col("step") == goal, ratio(F.coalesce("paid", F.lit(0)), users)))
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        _step_totals(_users_by_step(events, steps), steps)
-        .withColumn("users_previous_step", previous)
+        totals.withColumn("users_previous_step", previous)
         .withColumn("users_lost", F.col("users_previous_step") - users)
         .select(
             "step_index",
@@ -89,25 +87,27 @@ def funnel_by(
     steps: Sequence[str] = defaults.STEPS,
 ) -> DataFrame:
     """Per segment and step: users and the share of the segment's previous step."""
-    reached = _users_by_step(events.filter(F.col("event_name").isin(*steps)), steps)
-    segmented = reached.join(users.select("user_id", by), "user_id")
+    per_user = _users_by_step(events.filter(F.col("event_name").isin(*steps)), steps)
+    segmented = per_user.join(users.select("user_id", by), "user_id")
     in_segment = Window.partitionBy(by).orderBy("step_index")
     users_reached = F.col("users_reached")
-    return _step_totals(segmented, steps, [by]).select(
-        by,
-        "step_index",
-        "step",
-        "users_reached",
-        ratio(users_reached, F.lag("users_reached").over(in_segment)).alias("step_conversion"),
+    return (
+        _reached(segmented, steps)
+        .groupBy(by, "step_index", "step")
+        .agg(F.count("user_id").alias("users_reached"))
+        .withColumn(
+            "step_conversion", ratio(users_reached, F.lag("users_reached").over(in_segment))
+        )
     )
 
 
 def step_user_counts(events: DataFrame, steps: Sequence[str] = defaults.STEPS) -> DataFrame:
     """Distinct users per step name."""
+    per_user = _users_by_step(events.filter(F.col("event_name").isin(*steps)), steps)
     return (
-        events.filter(F.col("event_name").isin(*steps))
-        .groupBy("event_name")
-        .agg(F.count_distinct("user_id").alias("users"))
+        _reached(per_user, steps)
+        .groupBy(F.col("step").alias("event_name"))
+        .agg(F.count("user_id").alias("users"))
     )
 
 
@@ -122,7 +122,8 @@ def worst_step(funnel: DataFrame) -> DataFrame:
 
 def arpu(events: DataFrame, goal: str = defaults.GOAL) -> DataFrame:
     """Revenue per user among the users who ever reached ``goal``, as one row."""
-    per_user = _users_by_step(events.filter(F.col("user_id").isNotNull()), [goal])
+    known = events.filter(F.col("user_id").isNotNull())
+    per_user = _users_by_step(known, [goal], F.sum("revenue").alias("user_revenue"))
     return (
         per_user.filter("done = 1")
         .agg(F.sum("user_revenue").alias("revenue"), F.count("*").alias("users"))
