@@ -1,11 +1,12 @@
 """Retention by cohort, by segment and by day.
 
-Activity is reduced to distinct (user, day) pairs before it meets the users, so a user
-with any number of events brings at most one row per calendar day to the join. ``users``
-holds one row per user, as ``first_touch_users`` returns.
+Activity is reduced to the set of dates a user was active on before it meets the users. A
+user with any number of events is then one row, and the set is no longer than the calendar.
+``users`` holds one row per user, as ``first_touch_users`` returns.
 """
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,9 @@ from tidemark import defaults
 from tidemark.functions.numbers import ratio
 
 
-def _active_days(events: DataFrame) -> DataFrame:
-    return events.select("user_id", F.to_date("event_ts").alias("active_date")).distinct()
-
-
-def _day_number() -> Column:
-    return F.datediff("active_date", "signup_date")
+def _active_dates(events: DataFrame) -> DataFrame:
+    dates = F.collect_set(F.to_date("event_ts"))
+    return events.groupBy("user_id").agg(dates.alias("active_dates"))
 
 
 def retention(
@@ -35,21 +33,20 @@ def retention(
     ``rates`` names the counts also given as a share of the cohort. A cohort with a NULL
     in ``by`` keeps its size and shows no activity.
     """
-    keys = list(dict.fromkeys(["user_id", "signup_date", *by]))
-    days = users.select(*keys).join(_active_days(events), "user_id", "left")
-    day = _day_number()
-    seen = days.groupBy(*keys).agg(
-        F.max(day).alias("last_day"),
-        *[F.max(F.when(day == n, 1).otherwise(0)).alias(f"on_{n}") for n in exact],
-    )
-    named = F.lit(True)
-    for column in by:
-        named = named & F.col(column).isNotNull()
-    known = F.col("user_id").isNotNull()
-    counts = seen.groupBy(*by).agg(
+    keys = dict.fromkeys(["user_id", "signup_date", *by])
+    active = users.select(*keys).join(_active_dates(events), "user_id", "left")
+    named = reduce(Column.__and__, [F.col(column).isNotNull() for column in by], F.lit(True))
+
+    def on(day: int) -> Column:
+        return F.array_contains("active_dates", F.date_add("signup_date", day))
+
+    def since(day: int) -> Column:
+        return F.array_max("active_dates") >= F.date_add("signup_date", day)
+
+    counts = active.groupBy(*by).agg(
         F.count("user_id").alias("cohort_users"),
-        *[F.count_if(known & named & (F.col(f"on_{n}") == 1)).alias(f"d{n}_exact") for n in exact],
-        *[F.count_if(known & named & (F.col("last_day") >= n)).alias(f"d{n}_plus") for n in plus],
+        *[F.count_if(named & on(n)).alias(f"d{n}_exact") for n in exact],
+        *[F.count_if(named & since(n)).alias(f"d{n}_plus") for n in plus],
     )
     shares = [ratio(F.col(c), F.col("cohort_users"), 4).alias(f"{c}_rate") for c in rates]
     return counts.select("*", *shares).orderBy(*[F.col(c).asc_nulls_last() for c in by])
@@ -102,7 +99,9 @@ def week_one_dropoff(
 ) -> DataFrame:
     """Users, those last seen before day ``days``, and their share; per ``by`` if given."""
     last = events.groupBy("user_id").agg(F.max(F.to_date("event_ts")).alias("active_date"))
-    activity = users.join(last, "user_id").withColumn("last_day", _day_number())
+    activity = users.join(last, "user_id").withColumn(
+        "last_day", F.datediff("active_date", "signup_date")
+    )
     lost = F.count_if(F.col("last_day") < days)
     return activity.groupBy(*by).agg(
         F.count("*").alias("users"),
@@ -120,8 +119,9 @@ def retention_curve(
     """Share of each segment active on each day 0..``max_day`` after signup."""
     active = (
         users.select("user_id", "signup_date", by)
-        .join(_active_days(events), "user_id")
-        .withColumn("day_number", _day_number())
+        .join(_active_dates(events), "user_id")
+        .select("signup_date", by, F.explode("active_dates").alias("active_date"))
+        .withColumn("day_number", F.datediff("active_date", "signup_date"))
         .filter(F.col("day_number").between(0, max_day))
         .groupBy(by, "day_number")
         .agg(F.count("*").alias("active"))
