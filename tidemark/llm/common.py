@@ -4,6 +4,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterato
     texts are long.
     """
     start, total = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, size in enumerate(sizes):
         if total and total + size > limit:
             yield batch.slice(start, i - start)

@@ -1,5 +1,23 @@
 """SQL of the queries that SQL can express, for DuckDB on the same tables."""
 
+OP1 = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP8 = """
 WITH RECURSIVE sizes AS (
   SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source
@@ -30,6 +48,22 @@ SELECT doc_id, text, lang, source, n_chars, copy, CAST(copies AS BIGINT) AS copi
 FROM drawn, generate_series(1, CAST(copies AS BIGINT)) AS c(copy)
 """
 
+OP10 = """
+WITH prints AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+),
+typed AS (
+  SELECT *, payload_bytes >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY payload_digest) AS again,
+         max(page_id) OVER (PARTITION BY payload_digest) AS largest
+  FROM prints
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN largest END AS refers_to
+FROM typed
+"""
+
 OP9 = r"""
 WITH prints AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -40,4 +74,4 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM prints WINDOW same AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op8_mixing": OP8, "op9_exact_dedup": OP9}
+ORACLES = {"op1_topk": OP1, "op8_mixing": OP8, "op9_exact_dedup": OP9, "op10_warc": OP10}

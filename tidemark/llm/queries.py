@@ -2,8 +2,30 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, mixing, packing, token_files, topk, warc
 from tidemark.llm.common import table
+from tidemark.llm.encoding import public_path
+from tidemark.sources.tables import shared_dir
+
+
+def op1_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op3_token_files(spark, sf_dir):
+    root = shared_dir(spark)
+    documents = table(spark, sf_dir, "documents")
+    manifest = token_files.write_token_files(documents, root, public_path("byte_bpe_50k.json"), end_id=2)
+    read = token_files.read_token_files(manifest, root)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_packing(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    pieces = packing.pack(documents, public_path("word_bpe_49k.json"), end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op8_mixing(spark, sf_dir):
@@ -16,4 +38,14 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_exact_dedup)}
+def op10_warc(spark, sf_dir):
+    root = shared_dir(spark)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), root)
+    read = warc.read_archives(manifest, root, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk, op3_token_files, op5_packing, op8_mixing, op9_exact_dedup, op10_warc)
+}
