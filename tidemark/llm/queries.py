@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, token_files, topk, warc
+from tidemark.llm import exact_dedup, language, mixing, packing, token_files, topk, toxicity, warc
 from tidemark.llm.common import table
 from tidemark.llm.encoding import public_path
 from tidemark.sources.tables import shared_dir
@@ -12,6 +12,18 @@ def op1_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op2_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    learned = toxicity.learned_fold()
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), learned)
+    return toxicity.score(documents, model).select(
+        "row.doc_id",
+        (~toxicity.learned_fold("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_token_files(spark, sf_dir):
     root = shared_dir(spark)
     documents = table(spark, sf_dir, "documents")
@@ -20,6 +32,13 @@ def op3_token_files(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_language(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(documents, language.learned_fold())
+    found = language.predict(documents, profiles)
+    return found.select("doc_id", (~language.learned_fold()).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     pieces = packing.pack(documents, public_path("word_bpe_49k.json"), end_id=1)
@@ -47,5 +66,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk, op3_token_files, op5_packing, op8_mixing, op9_exact_dedup, op10_warc)
+    for f in (
+        op1_topk, op2_toxicity, op3_token_files, op4_language, op5_packing, op8_mixing, op9_exact_dedup, op10_warc
+    )
 }
