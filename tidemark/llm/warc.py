@@ -80,8 +80,13 @@ def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: b
 def train_dictionary(pages: DataFrame) -> bytes:
     """A Zstandard dictionary of at most ``DICTIONARY_BYTES``, from the sample; empty if that is
     too small. At most ``SAMPLE_RECORDS * SAMPLE_BYTES`` bytes reach the driver."""
-    starts = pages.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"))
-    sample = starts.orderBy(F.xxhash64("page_id"), "page_id", "url", "payload").limit(SAMPLE_RECORDS)
+    place = F.xxhash64("page_id")
+    # The ids are picked first, so that no task sends payloads that don't make the sample.
+    last = pages.select(place.alias("place")).orderBy("place").limit(SAMPLE_RECORDS).agg(F.max("place")).first()[0]
+    starts = pages.filter(place <= F.lit(last)).select(
+        "page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")
+    )
+    sample = starts.orderBy(place, "page_id", "url", "payload").limit(SAMPLE_RECORDS)
     records = [
         record(r.page_id, r.url, bytes(r.payload), hashlib.sha1(r.payload).hexdigest())
         for r in sample.toLocalIterator()
