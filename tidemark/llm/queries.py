@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, jaccard_join, language, mixing, packing, token_files, topk, toxicity, warc
+from tidemark.llm import exact_dedup, jaccard_join, language, mixing, packing, secrets, token_files, topk, toxicity, warc
 from tidemark.llm.common import table
 from tidemark.llm.encoding import public_path
 from tidemark.sources.tables import shared_dir
@@ -47,6 +47,14 @@ def op5_packing(spark, sf_dir):
     )
 
 
+def op6_secrets(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.scan(documents, secrets.fit(documents))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -71,6 +79,6 @@ def op10_warc(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk, op2_toxicity, op3_token_files, op4_language, op5_packing, op7_jaccard_join, op8_mixing, op9_exact_dedup, op10_warc
+        op1_topk, op2_toxicity, op3_token_files, op4_language, op5_packing, op6_secrets, op7_jaccard_join, op8_mixing, op9_exact_dedup, op10_warc
     )
 }
