@@ -186,3 +186,28 @@ def test_random_events_match_brute_force(make_events):
             assert got[step].users_lost == lost
             assert got[step].max_recoverable_revenue == pytest.approx(lost * paid / len(buyers), abs=0.006)
     assert rows(tm.step_user_counts(table)) == sorted((s, len(u)) for s, u in reached.items())
+
+
+@pytest.mark.parametrize("count", [62, 63, 64, 65, 200])
+def test_any_number_of_steps(make_events, count):
+    steps = [f"s{i}" for i in range(count)]
+    events = make_events(
+        [{"user_id": f"u{i}", "event_name": s} for i in range(3) for s in steps[: count - i * 30]]
+    )
+    expected = [sum(j < count - i * 30 for i in range(3)) for j in range(count)]
+    funnel = tm.funnel(events, steps=steps, goal=steps[-1]).collect()
+    assert [(r.step_index, r.step, r.users_reached) for r in funnel] == [
+        (j + 1, steps[j], n) for j, n in enumerate(expected)
+    ]
+    counts = {r.event_name: r.users for r in tm.step_user_counts(events, steps).collect()}
+    assert counts == dict(zip(steps, expected))
+    by = tm.funnel_by(events, tm.first_touch_users(events), steps=steps).collect()
+    assert sorted((r.step_index, r.users_reached) for r in by) == list(enumerate(expected, 1))
+
+
+def test_a_repeated_step_counts_at_both_places(make_events):
+    events = make_events(ladder("a", 3) + ladder("b", 2))
+    steps = ["signup", "activate", "signup", "first_search"]
+    got = [(r.step_index, r.step, r.users_reached) for r in tm.funnel(events, steps=steps).collect()]
+    assert got == [(1, "signup", 2), (2, "activate", 2), (3, "signup", 2), (4, "first_search", 1)]
+    assert rows(tm.step_user_counts(events, steps)) == [("activate", 2), ("first_search", 1), ("signup", 2)]

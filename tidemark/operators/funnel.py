@@ -15,25 +15,30 @@ from tidemark import defaults
 from tidemark.functions.numbers import normal_quantile, ratio
 
 
-def _step_array(steps: Sequence[str]) -> Column:
-    return F.array(*[F.lit(step) for step in steps])
+#: Steps per word of bits.
+WORD = 62
 
 
 def _users_by_step(events: DataFrame, steps: Sequence[str], *totals: Column) -> DataFrame:
-    """One row per user, the NULL user included: a bit per step done (up to 63), and ``totals``."""
-    done = F.expr("bit_or(if(position > 0, shiftleft(1L, int(position) - 1), 0L))")
-    return (
-        events.withColumn("position", F.array_position(_step_array(steps), F.col("event_name")))
-        .groupBy("user_id")
-        .agg(done.alias("done"), *totals)
-    )
+    """One row per user, the NULL user included: ``done``, a bit per step in as many words as
+    there are steps for, and ``totals``. A name that occurs at several places of ``steps`` sets
+    the bit of each."""
+    words = []
+    for first in range(0, len(steps), WORD):
+        masks: dict[str, int] = {}
+        for bit, step in enumerate(steps[first : first + WORD]):
+            masks[step] = masks.get(step, 0) | 1 << bit
+        listed = F.create_map(*[F.lit(x) for step, mask in masks.items() for x in (step, mask)])
+        words.append(F.bit_or(F.coalesce(F.try_element_at(listed, F.col("event_name")).cast("bigint"), F.lit(0))))
+    return events.groupBy("user_id").agg(F.array(*words).alias("done"), *totals)
 
 
 def _reached(users: DataFrame, steps: Sequence[str]) -> DataFrame:
     """A row per user and step done, with the step and its index from 1."""
+    names = F.array(*[F.lit(step) for step in steps])
     return (
-        users.select("*", F.posexplode(_step_array(steps)).alias("bit", "step"))
-        .filter("getbit(done, bit) = 1")
+        users.select("*", F.posexplode(names).alias("bit", "step"))
+        .filter(F.expr(f"getbit(done[bit div {WORD}], bit % {WORD}) = 1"))
         .withColumn("step_index", F.col("bit") + 1)
     )
 
@@ -43,8 +48,9 @@ def funnel(
 ) -> DataFrame:
     """Per step: users, previous step's users, conversions, users lost, recoverable revenue.
 
-    A step counts the users who ever did it, in any order; a step nobody did is left
-    out and the next one compares with the nearest step present. Recoverable revenue is
+    A step counts the users who ever did it, in any order, any number of steps and a name at
+    several places included; a step nobody did is left out and the next one compares with the
+    nearest step present. Recoverable revenue is
     users lost times revenue per user who reached ``goal``, NULL when nobody did.
     """
     per_user = _users_by_step(events, steps, F.sum("revenue").alias("user_revenue"))
@@ -102,13 +108,9 @@ def funnel_by(
 
 
 def step_user_counts(events: DataFrame, steps: Sequence[str] = defaults.STEPS) -> DataFrame:
-    """Distinct users per step name."""
-    per_user = _users_by_step(events.filter(F.col("event_name").isin(*steps)), steps)
-    return (
-        _reached(per_user, steps)
-        .groupBy(F.col("step").alias("event_name"))
-        .agg(F.count("user_id").alias("users"))
-    )
+    """Distinct users per step name; a name listed twice is one row."""
+    done = events.filter(F.col("event_name").isin(*steps)).select("event_name", "user_id").distinct()
+    return done.groupBy("event_name").agg(F.count("user_id").alias("users"))
 
 
 def worst_step(funnel: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def arpu(events: DataFrame, goal: str = defaults.GOAL) -> DataFrame:
     known = events.filter(F.col("user_id").isNotNull())
     per_user = _users_by_step(known, [goal], F.sum("revenue").alias("user_revenue"))
     return (
-        per_user.filter("done = 1")
+        per_user.filter("done[0] = 1")
         .agg(F.sum("user_revenue").alias("revenue"), F.count("*").alias("users"))
         .select(ratio(F.col("revenue"), F.col("users")).alias("arpu_per_purchaser"))
     )
