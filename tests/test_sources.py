@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 from datetime import date, timedelta
 from pathlib import Path
 from types import SimpleNamespace
@@ -7,11 +9,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from conftest import at, rows
+from conftest import ROOT, at, rows
 from test_funnel import ladder
 
 import tidemark as tm
+from tidemark.session import NANOS
 from tidemark.sources import layouts, tables
+from workload.queries import QUERIES
 
 
 def plan(df):
@@ -38,10 +42,16 @@ def test_nanosecond_timestamps(spark, tmp_path):
         }
     )
     pq.write_table(table, f"{tmp_path}/e.parquet", version="2.6")
-    events = tm.read_events(spark, f"{tmp_path}/e.parquet", nanos=True, event_ts="when")
-    assert dict(events.dtypes)["event_ts"] == "timestamp"
-    micros = events.selectExpr("event_id", "unix_micros(event_ts)")
-    assert rows(micros) == [("e1", 1772445600123456), ("e2", -1)]
+    with pytest.raises(ValueError, match="nanos"):
+        tm.read_events(spark, f"{tmp_path}/e.parquet", nanos=True, event_ts="when")
+    spark.conf.set(NANOS, "true")
+    try:
+        events = tm.read_events(spark, f"{tmp_path}/e.parquet", nanos=True, event_ts="when")
+        assert dict(events.dtypes)["event_ts"] == "timestamp"
+        micros = events.selectExpr("event_id", "unix_micros(event_ts)")
+        assert rows(micros) == [("e1", 1772445600123456), ("e2", -1)]
+    finally:
+        spark.conf.unset(NANOS)
 
 
 def test_other_column_names(make_events):
@@ -77,6 +87,42 @@ def test_a_cluster_must_name_its_shared_folder():
         tables.shared_dir(session("yarn"))
 
 
+def test_a_workspace_removes_its_tables(spark, clean):
+    with tm.Workspace(spark) as space:
+        saved = space.save(clean, "events")
+        assert saved.count() == clean.count()
+        assert space.save(clean.limit(5), "events").count() == 5
+        assert Path(space.root, "events").is_dir()
+    assert not Path(space.root).exists()
+    path = tm.materialise(clean).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    tables.remove_dir(path)
+    assert not Path(path).exists()
+    with pytest.raises(ValueError):
+        tables.remove_dir("/")
+
+
+def test_a_program_leaves_nothing_behind(tmp_path):
+    script = (
+        "import tidemark as tm\n"
+        "spark = tm.build_session(master='local[1]', spark__ui__enabled='false', "
+        f"spark__checkpoint__dir='{tmp_path}')\n"
+        "tm.materialise(spark.range(3)).count()\n"
+        f"import glob; assert len(glob.glob('{tmp_path}/tidemark-*')) == 1\n"
+    )
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=ROOT, capture_output=True, timeout=120)
+    assert not list(tmp_path.glob("tidemark-*"))
+
+
+def test_queries_see_a_rewritten_table(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    before = QUERIES["week_one"](spark, str(tmp_path)).first().users
+    events.filter("user_id % 2 = 0").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["week_one"](spark, str(tmp_path)).first().users < before
+
+
 def test_views_answer_sql(spark, clean):
     tm.register_views({"stg_events": clean})
     assert spark.sql("SELECT count(DISTINCT user_id) AS n FROM stg_events").first().n == 60
@@ -160,3 +206,9 @@ def test_one_day_without_a_date_column_is_pushed_to_the_scan(spark, clean, tmp_p
     sliced = tm.day_slice(saved, date(2026, 3, 3))
     assert tuple(sliced.first()) == (45, 15)
     assert "PushedFilters: [IsNotNull(event_ts), GreaterThanOrEqual(event_ts" in plan(sliced)
+
+
+def test_layouts_of_an_empty_table(spark, clean, tmp_path):
+    paths = tm.write_layouts(clean.limit(0), str(tmp_path))
+    got = {r.layout: tuple(r)[1:] for r in tm.layout_sizes(spark, paths).collect()}
+    assert got == {"base": (0, 0, 8, None), "clustered": (0, 0, 8, None), "narrow": (0, 0, 3, None), "by_date": (0, 0, 8, None)}

@@ -18,9 +18,11 @@ from tidemark.operators.quality import (
     expected_step_rates,
     funnel_not_monotonic,
     hour_skew,
+    hour_spread,
     missing,
     not_unique,
     null_rows,
+    orphan_rows,
     orphans,
     quality_audit,
     rate_in_band,
@@ -28,7 +30,10 @@ from tidemark.operators.quality import (
     repeat_signups,
     retention_over_cohort,
     run_checks,
+    run_column_checks,
+    segments_out_of_order,
     session_floor,
+    session_gaps,
     session_totals,
 )
 from tidemark.operators.retention import (
@@ -46,6 +51,7 @@ from tidemark.plans.report import question_report, write_report
 from tidemark.session import build_session
 from tidemark.sources.layouts import day_slice, layout_sizes, write_layouts
 from tidemark.sources.tables import (
+    Workspace,
     as_events,
     materialise,
     read_events,

@@ -13,12 +13,20 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+#: Parquet's nanosecond timestamps as numbers, which ``read_events`` turns into timestamps.
+NANOS = "spark.sql.legacy.parquet.nanosAsLong"
 
-def build_session(app_name: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings above; ``conf`` adds or overrides (dots as ``__``)."""
+
+def build_session(
+    app_name: str = "tidemark", master: str | None = None, nanos: bool = False, **conf
+) -> SparkSession:
+    """A session with the settings above; ``conf`` adds or overrides (dots as ``__``). With
+    ``nanos`` every nanosecond timestamp of the session is read as a number."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if nanos:
+        builder = builder.config(NANOS, "true")
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -4,8 +4,12 @@ from collections.abc import Mapping
 from datetime import date
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidemark.functions.numbers import ratio
 
 NARROW_COLUMNS = ("user_id", "event_name", "event_ts")
 
@@ -58,22 +62,37 @@ def write_layouts(events: DataFrame, root: str) -> dict[str, str]:
     return paths
 
 
+def _opened(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A layout; one that has no file, as folders by date of no rows, with the given schema."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.read.schema(schema).parquet(path)
+
+
 def layout_sizes(spark: SparkSession, paths: Mapping[str, str], base: str = "base") -> DataFrame:
-    """Per layout: parquet bytes, rows, columns, and bytes against the ``base`` layout."""
+    """Per layout: parquet bytes, rows, columns, and bytes against the ``base`` layout. Bytes are
+    those of files that hold rows: 0, and NULL against the base, for an empty table."""
     measured = []
+    schema = spark.read.parquet(paths[base]).schema
     for name, path in paths.items():
-        table = spark.read.parquet(path)
+        table = _opened(spark, path, schema)
         files = table.groupBy("_metadata.file_path", "_metadata.file_size").agg(
             F.count("*").alias("n")
         )
         measured.append(
-            files.agg(F.sum("file_size").alias("parquet_bytes"), F.sum("n").alias("row_count"))
+            files.agg(
+                F.coalesce(F.sum("file_size"), F.lit(0)).alias("parquet_bytes"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+            )
             .withColumn("column_count", F.lit(len(table.columns)))
             .select(F.lit(name).alias("layout"), "parquet_bytes", "row_count", "column_count")
         )
     sizes = reduce(DataFrame.unionByName, measured)
     base_bytes = sizes.filter(F.col("layout") == base).select("parquet_bytes").scalar()
-    return sizes.withColumn("bytes_vs_base", F.round(F.col("parquet_bytes") / base_bytes, 3))
+    return sizes.withColumn("bytes_vs_base", ratio(F.col("parquet_bytes"), base_bytes, 3))
 
 
 def day_slice(events: DataFrame, day: date) -> DataFrame:

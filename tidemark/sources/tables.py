@@ -1,15 +1,19 @@
 """Reading events, saving tables and views, writing results."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
 from functools import cache
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark import defaults
+from tidemark.session import NANOS
 
 
 def as_events(df: DataFrame, **columns: str) -> DataFrame:
@@ -18,10 +22,10 @@ def as_events(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, nanos: bool = False, **columns: str) -> DataFrame:
-    """Events from parquet. ``nanos`` reads nanosecond timestamps, which Spark does not
-    have, and rounds them down to microseconds."""
-    if nanos:
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    """Events from parquet. ``nanos`` reads nanosecond timestamps, which Spark does not have,
+    and rounds them down to microseconds; the session must be built with ``nanos`` as well."""
+    if nanos and spark.conf.get(NANOS, "false") != "true":
+        raise ValueError("build the session with nanos=True")
     events = as_events(spark.read.parquet(path), **columns)
     if nanos and isinstance(events.schema["event_ts"].dataType, LongType):
         micros = F.expr("event_ts div 1000 - if(event_ts % 1000 < 0, 1, 0)")
@@ -40,17 +44,67 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+#: Folders that this process made and has not removed.
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path under ``spark.checkpoint.dir``, which every executor can reach.
 
     Only in local mode, where one machine is the whole cluster, may the setting be absent.
+    The folder is this process's own and goes when it ends, or earlier by ``remove_dir``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.startswith("local"):
         root = _local_dir()
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def remove_dir(path: str) -> None:
+    """Removes a folder that ``shared_dir`` named, if anything was written there."""
+    if path not in _made:
+        raise ValueError(f"{path} was not made by this process")
+    _made.discard(path)
+    where = urlparse(path)
+    if where.scheme in ("", "file"):
+        shutil.rmtree(where.path, ignore_errors=True)
+    elif spark := SparkSession.getActiveSession():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_made):
+        try:
+            remove_dir(path)
+        except Exception:  # the session is gone, and its gateway with it
+            return
+
+
+class Workspace:
+    """Tables in a shared folder that go when the ``with`` block ends, or by ``drop``."""
+
+    def __init__(self, spark: SparkSession):
+        self.root = shared_dir(spark)
+
+    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """``df`` saved under ``name``; a table of that name is replaced."""
+        return save_table(df, f"{self.root}/{name or uuid.uuid4().hex}")
+
+    def drop(self) -> None:
+        if self.root in _made:
+            remove_dir(self.root)
+
+    def __enter__(self) -> "Workspace":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
 
 def materialise(df: DataFrame) -> DataFrame:
