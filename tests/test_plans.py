@@ -41,6 +41,7 @@ def frames(tables):
         "two_proportion_test": tm.two_proportion_test(users, events),
         "quality_audit": tm.quality_audit(raw, events),
         "hour_skew": quality.hour_skew(events),
+        "hour_spread": quality.hour_spread(events),
         "suite": tm.run_suite(models),
     }
 
@@ -79,6 +80,25 @@ def test_events_are_scanned_once_per_funnel(frames):
     assert plan(frames["quality_audit"]).count("FileScan") == 2
 
 
+def executed(df):
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def scans(text, table):
+    """Scans of a table that ran: a reused exchange is printed without its scan."""
+    return sum("FileScan" in line and f"/{table}]" in line for line in text.splitlines())
+
+
+def test_suite_scans_the_events_five_times_at_most(tables):
+    assert 1 <= scans(executed(tm.run_suite(tables[1])), "stg_events") <= 5
+
+
+def test_sessionise_scans_a_saved_table_twice(tables):
+    events = tables[1]["stg_events"]
+    assert scans(executed(tm.sessionise(events)), "stg_events") == 2
+
+
 def test_models_are_saved_by_name(tables):
     raw, models = tables
     assert list(models) == (
@@ -93,7 +113,7 @@ def test_report_is_written_as_json(tables, tmp_path):
     raw, _ = tables
     report = tm.question_report(raw, f"{tmp_path}/models")
     assert list(report) == (
-        "funnel retention_by_channel week_one channel_comparison opportunity data_quality"
+        "funnel retention_by_channel week_one channel_comparison opportunity data_quality method"
     ).split()
     tm.write_report(report, f"{tmp_path}/out")
     for name, answer in report.items():

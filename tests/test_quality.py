@@ -7,7 +7,6 @@ from test_funnel import ladder
 
 import tidemark as tm
 from tidemark import defaults
-from tidemark.plans.checks import column_checks, model_checks
 
 
 def by_hour(platform, hours, copies=1):
@@ -37,6 +36,16 @@ def test_audit_counts_what_cleaning_removed(make_events):
     assert row.rows_removed == row.duplicate_rows + row.null_user_rows
 
 
+def test_audit_with_a_key_that_has_no_user(make_events):
+    raw = make_events(
+        [{"user_id": "a"}, {"user_id": "b"}, {"user_id": "b"}, {"user_id": None}, {"user_id": "c", "event_ts": "11:00:00"}]
+    )
+    key = ("event_name", "event_ts")
+    row = tm.quality_audit(raw, tm.clean_events(raw, key=key), key).first()
+    assert tuple(row) == (5, 2, 3, 2, 0.4, 1, 0.2, 2)
+    assert row.rows_removed == row.duplicate_rows + row.null_user_rows
+
+
 def test_audit_of_nothing(make_events):
     raw = make_events([]).limit(0)
     assert tuple(tm.quality_audit(raw, tm.clean_events(raw)).first()) == (0, 0, 0, 0, None, 0, None, 0)
@@ -75,6 +84,19 @@ def test_shifted_platform_shows_before_cleaning_only(make_events):
     assert tm.hour_skew(tm.clean_events(raw), min_rows=0).count() == 0
 
 
+def test_hour_spread_agrees_with_the_pairs(make_events):
+    hours = {f"p{h:02d}": h for h in (0, 1, 2, 9, 10, 20, 23)}
+    events = make_events([e for p, h in hours.items() for e in by_hour(p, [h])])
+    apart = lambda a, b: min((a - b) % 24, (b - a) % 24)
+    expected = [(p, float(a), float(max(apart(a, b) for b in hours.values()))) for p, a in hours.items()]
+    assert rows(tm.hour_spread(events, min_rows=0)) == expected
+    assert tm.hour_spread(events, min_rows=1).count() == 0
+    off = tm.hour_spread(events, min_rows=0).filter("hours_apart > 11")
+    pairs = tm.hour_skew(events, min_rows=0, max_hours=11)
+    named = {r.platform_a for r in pairs.collect()} | {r.platform_b for r in pairs.collect()}
+    assert {r.platform for r in off.collect()} == named
+
+
 def test_dup_keys_and_null_rows(make_events):
     raw = make_events([{}, {}, {"user_id": None}, {"event_ts": "11:00:00"}])
     assert rows(tm.dup_keys(raw), "user_id", "n") == [("u1", 2)]
@@ -107,6 +129,7 @@ def test_orphans_ignore_nulls(make_events):
     child = make_events([{"user_id": u} for u in ("a", "b", "b", None)])
     parent = make_events([{"user_id": u} for u in ("a", "a", None)])
     assert rows(tm.orphans(child, "user_id", parent, "user_id")) == [("b", 2)]
+    assert rows(tm.orphan_rows(child, "user_id", parent, "user_id"), "event_id") == [("e0001",), ("e0002",)]
 
 
 def test_funnel_and_retention_bounds(make_events, spark):
@@ -120,10 +143,38 @@ def test_funnel_and_retention_bounds(make_events, spark):
     assert tm.retention_over_cohort(mart, ["d7_plus"]).count() == 0
 
 
+def test_other_segment_columns(make_events, spark):
+    events = make_events(ladder("a", 3) + ladder("b", 1))
+    users = tm.first_touch_users(events)
+    mart = tm.retention(events, users, by=["platform"])
+    assert tm.retention_over_cohort(mart, by=["platform"]).columns[0] == "platform"
+    expected = tm.expected_step_rates(spark, multipliers={"web": 1.0}, by="platform")
+    off = tm.rate_mismatch(tm.funnel_by(events, users, by="platform"), expected, by="platform")
+    assert rows(off, "platform", "step") == [("web", "activate"), ("web", "first_search")]
+
+
+def test_segments_out_of_order(spark):
+    rates = spark.createDataFrame(
+        [("organic", 0.4), ("social", 0.4), ("email", 0.1), ("tv", 0.9), ("referral", None)], "channel string, rate double"
+    )
+    got = tm.segments_out_of_order(rates, "rate", ["organic", "paid_search", "social", "referral", "email"])
+    assert rows(got) == [("organic", "social", 0.4, 0.4)]
+
+
 def test_session_floor(make_events):
-    sessions = tm.session_summary(make_events([{}, {"user_id": "u2"}, {"event_ts": "12:00:00"}]))
+    events = make_events([{}, {"user_id": "u2"}, {"event_ts": "12:00:00"}])
+    sessions, users = tm.session_summary(events), tm.first_touch_users(events)
     assert rows(tm.session_totals(sessions)) == [(3, 2)]
-    assert tm.session_floor(sessions).count() == 0
+    assert tm.session_floor(sessions, users).count() == 0
+    assert rows(tm.session_floor(sessions.filter("user_id = 'u2'"), users)) == [(1, 2)]
+
+
+def test_session_gaps(make_events):
+    events = make_events([{"event_ts": t} for t in ("10:00:00", "10:20:00", "11:00:00", "11:05:00")])
+    numbered = tm.sessionise(events)
+    assert tm.session_gaps(numbered).count() == 0
+    assert rows(tm.session_gaps(numbered, gap_minutes=15)) == [("u1", 1, 20, False)]
+    assert rows(tm.session_gaps(numbered, gap_minutes=45)) == [("u1", 2, 40, True)]
 
 
 def test_rate_in_band_excludes_its_ends(spark):
@@ -168,6 +219,29 @@ def test_run_checks_reports_the_first_row(make_events):
     assert result[1].first_row is None
 
 
+def test_column_checks_agree_with_single_ones(make_events):
+    events = make_events(
+        [{"user_id": None}, {"user_id": None, "channel": "tv"}, {"channel": "tv"}, {"channel": "fax"}, {"channel": None}]
+    )
+    single = tm.run_checks(
+        {
+            "user": tm.missing(events, "user_id"),
+            "time": tm.missing(events, "event_ts"),
+            "nulls": tm.null_rows(events, "user_id"),
+            "no_nulls": tm.null_rows(events, "event_id"),
+            "channel": tm.bad_values(events, "channel", defaults.CHANNELS),
+            "platform": tm.bad_values(events, "platform", defaults.PLATFORMS),
+        }
+    )
+    together = tm.run_column_checks(
+        events,
+        present={"user": "user_id", "time": "event_ts"},
+        accepted={"channel": ("channel", defaults.CHANNELS), "platform": ("platform", defaults.PLATFORMS)},
+        null_rows={"nulls": "user_id", "no_nulls": "event_id"},
+    )
+    assert rows(together) == rows(single)
+
+
 @pytest.fixture(scope="module")
 def planted(make_events):
     """A clean evening population with the three defects planted."""
@@ -190,8 +264,10 @@ def test_suite_passes_on_clean_data(planted):
 
 
 def test_suite_fails_on_uncleaned_data(planted):
-    models = tm.build_models(planted, clean=False)
-    failed = {r.name for r in tm.run_checks(model_checks(models)).collect() if r.failed_rows}
+    suite = {r.name: r for r in tm.run_suite(tm.build_models(planted, clean=False)).collect()}
+    failed = {name for name, r in suite.items() if r.failed_rows}
     assert {"no_duplicate_events", "no_null_user_ids", "no_platform_hour_skew"} <= failed
-    columns = {r.name for r in tm.run_checks(column_checks(models)).collect() if r.failed_rows}
-    assert {"not_null_stg_events_user_id", "not_null_stg_users_user_id"} <= columns
+    assert {"not_null_stg_events_user_id", "not_null_stg_users_user_id"} <= failed
+    assert json.loads(suite["no_null_user_ids"].first_row) == {"null_rows": suite["not_null_stg_events_user_id"].failed_rows}
+    assert json.loads(suite["no_platform_hour_skew"].first_row)["platform"] == "android"
+    assert json.loads(suite["no_duplicate_events"].first_row)["n"] == 2

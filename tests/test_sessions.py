@@ -121,3 +121,10 @@ def test_naive_times_ignore_the_session_zone(make_events, spark):
         assert rows(tm.circular_mean_hour(events.limit(1)), "mean_hour")[0][0] == pytest.approx(1.0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_an_undated_event_stops_the_operators(make_events):
+    events = make_events([{}, {"event_ts": None}])
+    for numbered in (tm.sessionise(events), tm.session_summary(events), tm.session_count(events)):
+        with pytest.raises(Exception, match="no event_ts"):
+            numbered.collect()

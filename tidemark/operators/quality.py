@@ -5,11 +5,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import defaults
 from tidemark.functions.numbers import circular_hour, hours_apart, ratio
+from tidemark.functions.times import epoch_minutes
 
 # --- audit -------------------------------------------------------------------
 
@@ -17,21 +18,22 @@ from tidemark.functions.numbers import circular_hour, hours_apart, ratio
 def quality_audit(
     raw: DataFrame, clean: DataFrame, key: Sequence[str] = defaults.NATURAL_KEY
 ) -> DataFrame:
-    """One row: what cleaning removed and why.
+    """One row: what cleaning with the same ``key`` removed and why.
 
-    ``raw`` is reduced once to a count per natural key, which yields the rows, the
-    repeats and the rows without a user together; ``clean`` to a count per user.
+    ``raw`` is reduced once to its rows and rows without a user per key, which yields the rows,
+    the repeats and the rows without a user together; ``clean`` to a count per user.
     """
-    n = F.col("n")
-    known = F.col("user_id").isNotNull()
+    n, unknown = F.col("n"), F.col("unknown")
     nothing = F.lit(None).cast("bigint")
-    keyed = raw.groupBy(*dict.fromkeys(["user_id", *key])).agg(F.count("*").alias("n"))
+    keyed = raw.groupBy(*dict.fromkeys(key)).agg(
+        F.count("*").alias("n"), F.count_if(F.col("user_id").isNull()).alias("unknown")
+    )
     per_user = clean.groupBy("user_id").agg(F.count("*").alias("n"))
     from_raw = keyed.agg(
         F.sum("n").alias("raw_rows"),
         nothing.alias("clean_rows"),
-        F.sum(F.when(known, n - 1)).alias("duplicate_rows"),
-        F.sum(F.when(~known, n)).alias("null_user_rows"),
+        F.sum(F.greatest(n - unknown - 1, F.lit(0))).alias("duplicate_rows"),
+        F.sum(unknown).alias("null_user_rows"),
         nothing.alias("clean_users"),
     )
     from_clean = per_user.agg(
@@ -89,7 +91,9 @@ def hour_skew(
     """Pairs of groups whose circular mean hours lie more than ``max_hours`` apart.
 
     Each group is matched only with whole-hour bins that can be far enough away, an
-    equality join on the bin; the exact distance then decides.
+    equality join on the bin; the exact distance then decides. The result is as large as
+    the number of such pairs, the square of the number of groups at worst; ``hour_spread``
+    answers whether any group is off in one row per group.
     """
     means = (
         circular_mean_hour(events, by)
@@ -118,6 +122,29 @@ def hour_skew(
     )
 
 
+def hour_spread(
+    events: DataFrame, by: str = "platform", min_rows: int = defaults.SKEW_MIN_ROWS
+) -> DataFrame:
+    """Each group's circular mean hour and how far the farthest other group's lies from it.
+
+    Groups are compared with the least and the greatest mean of each whole hour, 48 numbers
+    however many groups there are. A distance of up to 11 hours is exact; above, a mean between
+    the two of one hour may be up to an hour farther.
+    """
+    means = circular_mean_hour(events, by).filter(F.col("rows") > min_rows).select(by, "mean_hour")
+    hour = F.floor("mean_hour").cast("int")
+    ends = means.groupBy(hour.alias("hour")).agg(
+        F.array(F.min("mean_hour"), F.max("mean_hour")).alias("ends")
+    )
+    every = ends.agg(F.flatten(F.collect_list("ends"))).scalar()
+    return (
+        means.select(by, "mean_hour", F.explode(every).alias("other"))
+        .groupBy(by, "mean_hour")
+        .agg(F.round(F.max(hours_apart(F.col("mean_hour"), F.col("other"))), 2).alias("hours_apart"))
+        .withColumn("mean_hour", F.round("mean_hour", 2))
+    )
+
+
 # --- assertions on events ----------------------------------------------------
 
 
@@ -183,6 +210,12 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str
     return values.join(keys, column, "left_anti")
 
 
+def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """The rows of ``child`` with a non-NULL value that has no match in ``parent``."""
+    keys = parent.select(F.col(parent_column).alias(column)).distinct()
+    return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+
+
 # --- assertions on the marts -------------------------------------------------
 
 
@@ -194,13 +227,35 @@ def funnel_not_monotonic(funnel: DataFrame) -> DataFrame:
 
 
 def retention_over_cohort(
-    retention: DataFrame, counts: Sequence[str] = ("d1_plus", "d7_plus", "d30_plus")
+    retention: DataFrame,
+    counts: Sequence[str] = ("d1_plus", "d7_plus", "d30_plus"),
+    by: Sequence[str] = ("signup_date", "channel"),
 ) -> DataFrame:
     """Cohorts with a retention count above their size."""
     over: Column = F.lit(False)
     for count in counts:
         over = over | (F.col(count) > F.col("cohort_users"))
-    return retention.filter(over).select("signup_date", "channel", "cohort_users", *counts)
+    return retention.filter(over).select(*by, "cohort_users", *counts)
+
+
+def segments_out_of_order(
+    segments: DataFrame, rate: str, order: Sequence[str], by: str = "channel"
+) -> DataFrame:
+    """Neighbours in ``order``, expected best first, of which the first does not have the higher
+    ``rate``; a segment that is not there or has no rate is passed over."""
+    place = F.array_position(F.array(*[F.lit(name) for name in order]), F.col(by))
+    ranked = segments.withColumn("place", place).filter((F.col("place") > 0) & F.col(rate).isNotNull())
+    # At most one row per name of ``order``.
+    in_order = Window.orderBy("place")
+    return (
+        ranked.select(
+            F.lag(by).over(in_order).alias("better"),
+            F.col(by).alias("worse"),
+            F.lag(rate).over(in_order).alias("better_rate"),
+            F.col(rate).alias("worse_rate"),
+        )
+        .filter("better is not null and better_rate <= worse_rate")
+    )
 
 
 def session_totals(sessions: DataFrame) -> DataFrame:
@@ -211,9 +266,29 @@ def session_totals(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_floor(sessions: DataFrame) -> DataFrame:
-    """The totals when there are fewer sessions than users, else no row."""
-    return session_totals(sessions).filter(F.col("sessions") < F.col("users"))
+def session_floor(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """Sessions and ``users`` when there are fewer sessions than users, else no row."""
+    counted = sessions.agg(F.count("*").alias("sessions"), F.lit(0).alias("users")).unionByName(
+        users.agg(F.lit(0).alias("sessions"), F.count("user_id").alias("users"))
+    )
+    totals = counted.agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"))
+    return totals.filter(F.col("sessions") < F.col("users"))
+
+
+def session_gaps(numbered: DataFrame, gap_minutes: int = defaults.GAP_MINUTES) -> DataFrame:
+    """Where a session holds a gap above ``gap_minutes``, or starts after none.
+
+    ``numbered`` has ``session_index``, as ``sessionise`` adds it. Sessions depend on the minutes
+    a user was active in only, so those are what the window sees.
+    """
+    minutes = numbered.select("user_id", "session_index", epoch_minutes(numbered, "event_ts").alias("minute")).distinct()
+    timeline = Window.partitionBy("user_id").orderBy("minute", "session_index")
+    since = F.col("minute") - F.lag("minute").over(timeline)
+    starts = F.col("session_index") != F.lag("session_index").over(timeline)
+    return (
+        minutes.select("user_id", "session_index", since.alias("minutes_since"), starts.alias("starts"))
+        .filter(F.col("starts") != (F.col("minutes_since") > gap_minutes))
+    )
 
 
 def rate_in_band(audit: DataFrame, column: str, low: float, high: float) -> DataFrame:
@@ -229,20 +304,28 @@ def expected_step_rates(
     rates: Mapping[str, float] = defaults.STEP_RATES,
     multipliers: Mapping[str, float] = defaults.CHANNEL_MULTIPLIERS,
     cap: float = defaults.RATE_CAP,
+    by: str = "channel",
 ) -> DataFrame:
-    """The step conversion each channel should show: step rate times multiplier, capped."""
-    rows = [(c, s, min(r * m, cap)) for c, m in multipliers.items() for s, r in rates.items()]
-    return spark.createDataFrame(rows, "channel string, step string, expected double")
+    """The step conversion each segment should show: step rate times multiplier, capped."""
+    rows = [
+        F.struct(F.lit(c).alias(by), F.lit(s).alias("step"), F.lit(min(r * m, cap)).alias("expected"))
+        for c, m in multipliers.items()
+        for s, r in rates.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def rate_mismatch(
-    measured: DataFrame, expected: DataFrame, tolerance: float = defaults.RATE_TOLERANCE
+    measured: DataFrame,
+    expected: DataFrame,
+    tolerance: float = defaults.RATE_TOLERANCE,
+    by: str = "channel",
 ) -> DataFrame:
     """Segment steps whose conversion is ``tolerance`` or more away from ``expected``."""
     return (
-        measured.join(expected, ["channel", "step"])
+        measured.join(expected, [by, "step"])
         .filter(F.abs(F.col("step_conversion") - F.col("expected")) >= tolerance)
-        .select("channel", "step", "step_conversion", "expected")
+        .select(by, "step", "step_conversion", "expected")
     )
 
 
@@ -261,3 +344,55 @@ def run_checks(checks: Mapping[str, DataFrame]) -> DataFrame:
         for name, offending in checks.items()
     ]
     return reduce(DataFrame.unionByName, counted)
+
+
+def run_column_checks(
+    df: DataFrame,
+    present: Mapping[str, str] = {},
+    accepted: Mapping[str, tuple[str, Sequence]] = {},
+    null_rows: Mapping[str, str] = {},
+) -> DataFrame:
+    """The same columns as ``run_checks`` for assertions on single columns, in one pass over ``df``.
+
+    ``present`` and ``null_rows`` map a check's name to a column, ``accepted`` to a column and
+    its values. Each fails as ``missing``, ``null_rows`` and ``bad_values`` do. A row lists the
+    checks it fails, if any, and what is listed is counted per check and value.
+    """
+    fails = [
+        F.when(F.col(c).isNull(), _failure(name, None, F.to_json(F.struct("*")))) for name, c in present.items()
+    ]
+    fails += [F.when(F.col(c).isNull(), _failure(name, None, None)) for name, c in null_rows.items()]
+    fails += [
+        F.when(~F.col(c).isin(*values), _failure(name, F.col(c).cast("string"), None))
+        for name, (c, values) in accepted.items()
+    ]
+    listed = df.select(F.inline(F.filter(F.array(*fails), lambda f: f.isNotNull())))
+    per_value = listed.groupBy("name", "value").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    row, failed = F.col("row"), F.col("n")
+    for name in null_rows:
+        here = F.col("name") == name
+        row = F.when(here, F.to_json(F.struct(F.col("n").alias("null_rows")))).otherwise(row)
+        failed = F.when(here, F.lit(1)).otherwise(failed)
+    for name, (column, _) in accepted.items():
+        here = F.col("name") == name
+        row = F.when(here, F.to_json(F.struct(F.col("value").alias(column), "n"))).otherwise(row)
+        failed = F.when(here, F.lit(1)).otherwise(failed)
+    found = per_value.select("name", failed.alias("failed_rows"), row.alias("first_row"))
+    names = [*present, *null_rows, *accepted]
+    none = F.array(
+        *[
+            F.struct(F.lit(n).alias("name"), F.lit(0).cast("bigint").alias("failed_rows"), F.lit(None).cast("string").alias("first_row"))
+            for n in names
+        ]
+    )
+    every = df.sparkSession.range(1).select(F.inline(none)).unionByName(found)
+    return every.groupBy("name").agg(F.sum("failed_rows").alias("failed_rows"), F.min("first_row").alias("first_row"))
+
+
+def _failure(name: str, value: Column | None, row: Column | None) -> Column:
+    text = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(name).alias("name"),
+        (text if value is None else value).alias("value"),
+        (text if row is None else row).alias("row"),
+    )

@@ -5,6 +5,9 @@ share a session and the split depends only on which minutes a user was active in
 Both operators therefore run their window over distinct (user, minute) pairs: map
 tasks collapse the events first, and the window partition of even the busiest user
 holds at most one row per minute of the calendar.
+
+An event without a time has no place in a user's order: the operators stop with an error when
+they meet one (``missing(events, "event_ts")`` finds them before).
 """
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +18,12 @@ from tidemark import defaults
 from tidemark.functions.times import epoch_minutes, seconds_between
 
 
+def _minutes(events: DataFrame) -> DataFrame:
+    undated = F.raise_error(F.lit("an event has no event_ts"))
+    minute = F.when(F.col("event_ts").isNull(), undated.cast("bigint")).otherwise(epoch_minutes(events, "event_ts"))
+    return events.withColumn("_minute", minute)
+
+
 def _numbered(minutes: DataFrame, gap_minutes: int) -> DataFrame:
     """Adds session_index to one row per (user_id, minute)."""
     timeline = Window.partitionBy("user_id").orderBy(F.col("_minute").asc_nulls_last())
@@ -27,8 +36,12 @@ def _numbered(minutes: DataFrame, gap_minutes: int) -> DataFrame:
 
 
 def sessionise(events: DataFrame, gap_minutes: int = defaults.GAP_MINUTES) -> DataFrame:
-    """Every event with the index of its session, counted from 1 within the user."""
-    timed = events.withColumn("_minute", epoch_minutes(events, "event_ts"))
+    """Every event with the index of its session, counted from 1 within the user.
+
+    ``events`` is read twice, for its minutes and for its rows, so it should be a saved table:
+    anything computed above it would be computed twice.
+    """
+    timed = _minutes(events)
     index = _numbered(timed.select("user_id", "_minute").distinct(), gap_minutes).select(
         F.col("user_id").alias("_index_user"), F.col("_minute").alias("_index_minute"), "session_index"
     )
@@ -49,7 +62,7 @@ def session_summary(
     index back; the last grouping reuses the window's partitioning.
     """
     minutes = (
-        events.withColumn("_minute", epoch_minutes(events, "event_ts"))
+        _minutes(events)
         .groupBy("user_id", "_minute")
         .agg(
             F.min("event_ts").alias("first_ts"),
@@ -91,7 +104,7 @@ def session_summary(
 def session_count(events: DataFrame, gap_minutes: int = defaults.GAP_MINUTES) -> DataFrame:
     """How many events were given a session, as one row, without numbering them singly."""
     minutes = (
-        events.withColumn("_minute", epoch_minutes(events, "event_ts"))
+        _minutes(events)
         .groupBy("user_id", "_minute")
         .agg(F.count("*").alias("n"))
     )

@@ -1,8 +1,10 @@
 """The standard check suite over a built set of models."""
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark import defaults
 from tidemark.operators import quality
@@ -11,14 +13,18 @@ from tidemark.operators import quality
 def model_checks(models: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Assertions across rows and tables."""
     events = models["stg_events"]
-    return {
+    far = quality.hour_spread(events).filter(F.col("hours_apart") > defaults.SKEW_MAX_HOURS)
+    checks = {
         "no_duplicate_events": quality.dup_keys(events),
-        "no_null_user_ids": quality.null_rows(events, "user_id"),
-        "no_platform_hour_skew": quality.hour_skew(events),
+        "no_platform_hour_skew": far,
         "funnel_is_monotonic": quality.funnel_not_monotonic(models["mart_funnel"]),
         "retention_within_cohort": quality.retention_over_cohort(models["mart_retention"]),
         "signup_is_first_event": quality.events_before_signup(events),
+        "session_users_exist": quality.orphan_rows(
+            models["mart_sessions"], "user_id", models["stg_users"], "user_id"
+        ),
     }
+    return checks | {f"unique_{t}_{c}": quality.not_unique(models[t], c) for t, c in UNIQUE}
 
 
 # The columns declared unique, present, or limited to a list.
@@ -51,17 +57,21 @@ ACCEPTED = (
 )
 
 
-def column_checks(models: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Assertions declared on single columns, and that every session's user exists."""
-    checks = {f"unique_{t}_{c}": quality.not_unique(models[t], c) for t, c in UNIQUE}
-    checks |= {f"not_null_{t}_{c}": quality.missing(models[t], c) for t, c in PRESENT}
-    checks |= {f"accepted_{t}_{c}": quality.bad_values(models[t], c, v) for t, c, v in ACCEPTED}
-    checks["session_users_exist"] = quality.orphans(
-        models["mart_sessions"], "user_id", models["stg_users"], "user_id"
-    )
-    return checks
+def column_checks(models: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """The outcome of the assertions declared on single columns, one pass per table."""
+    outcomes = []
+    for table in dict.fromkeys(t for t, *_ in (*PRESENT, *ACCEPTED)):
+        outcomes.append(
+            quality.run_column_checks(
+                models[table],
+                present={f"not_null_{t}_{c}": c for t, c in PRESENT if t == table},
+                accepted={f"accepted_{t}_{c}": (c, v) for t, c, v in ACCEPTED if t == table},
+                null_rows={"no_null_user_ids": "user_id"} if table == "stg_events" else {},
+            )
+        )
+    return outcomes
 
 
 def run_suite(models: Mapping[str, DataFrame]) -> DataFrame:
     """Name, offending rows and first offending row of every check."""
-    return quality.run_checks(model_checks(models) | column_checks(models))
+    return reduce(DataFrame.unionByName, column_checks(models), quality.run_checks(model_checks(models)))
