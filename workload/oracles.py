@@ -1,6 +1,8 @@
 """SQL equivalents of the registered queries, for DuckDB on the same parquet tables."""
 
-STEP_VALUES = "(VALUES (1, 'signup'), (2, 'activate'), (3, 'first_search'), (4, 'add_to_cart'), (5, 'purchase'))"
+# The funnel's steps in order.
+STEPS = ("signup", "activate", "first_search", "add_to_cart", "purchase")
+STEP_VALUES = "(VALUES " + ", ".join(f"('{step}', {i})" for i, step in enumerate(STEPS, 1)) + ")"
 EVENT_COLUMNS = (
     "event_id, user_id, event_name, event_ts, event_date, channel, platform, "
     "CAST(revenue AS DOUBLE) AS revenue"
@@ -30,13 +32,13 @@ def _raw(grain: str) -> str:
       FROM events e JOIN customer c ON c.c_custkey = e.user_id
     ),
     raw_events AS (
-      SELECT t.event_id + beacon.bump AS event_id, t.user_id, t.event_name,
+      SELECT t.event_id * 2 + beacon.copy AS event_id, t.user_id, t.event_name,
              CASE t.platform WHEN 'ios' THEN t.ts - INTERVAL 8 HOUR ELSE t.ts END AS event_ts,
              CASE WHEN t.kind = 'click' THEN 'paid_search' WHEN t.kind = 'error' AND t.value >= 100 THEN NULL
                ELSE t.home END AS channel,
              t.platform,
              CAST(CASE WHEN t.event_name = 'purchase' THEN t.value ELSE 0 END AS DECIMAL(18, 2)) AS revenue
-      FROM tagged t JOIN (VALUES (0), (1000000000)) AS beacon(bump) ON beacon.bump = 0 OR t.value >= 210
+      FROM tagged t JOIN (VALUES (0), (1)) AS beacon(copy) ON beacon.copy = 0 OR t.value >= 210
     )"""
 
 
@@ -90,7 +92,7 @@ FUNNEL = f"""
     ),
     reach AS (
       SELECT s.i AS step_index, s.step, count(DISTINCT stg.user_id) AS n
-      FROM {STEP_VALUES} AS s(i, step) JOIN stg ON stg.event_name = s.step GROUP BY s.i, s.step
+      FROM {STEP_VALUES} AS s(step, i) JOIN stg ON stg.event_name = s.step GROUP BY s.i, s.step
     ),
     neighbours AS (
       SELECT *, lag(n) OVER (ORDER BY step_index) AS before, first(n) OVER (ORDER BY step_index) AS top FROM reach
@@ -107,7 +109,7 @@ FUNNEL = f"""
 BY_CHANNEL = f"""
     channel_reach AS (
       SELECT u.channel, s.i AS step_index, s.step, count(DISTINCT u.user_id) AS users_reached
-      FROM users u JOIN stg USING (user_id) JOIN {STEP_VALUES} AS s(i, step) ON s.step = stg.event_name
+      FROM users u JOIN stg USING (user_id) JOIN {STEP_VALUES} AS s(step, i) ON s.step = stg.event_name
       GROUP BY u.channel, s.i, s.step
     ),
     channel_funnel AS (
@@ -161,6 +163,15 @@ def _eligible(day: int) -> str:
     return f"CAST(sum(cohort_users) FILTER (WHERE age >= {day}) AS BIGINT) AS eligible_d{day}"
 
 
+OVERCOUNTED = """
+    overcounted AS (
+      SELECT c.signup_date, c.channel, any_value(c.cohort_users) AS cohort_users,
+             count(*) FILTER (WHERE day >= 1) AS d1_plus, count(*) FILTER (WHERE day >= 7) AS d7_plus,
+             count(*) FILTER (WHERE day >= 30) AS d30_plus
+      FROM cohorts c JOIN visits v ON v.signup_date = c.signup_date AND v.channel = c.channel
+      GROUP BY c.signup_date, c.channel
+    )"""
+
 AGED = """
     aged AS (
       SELECT *, (SELECT max(event_date) FROM stg) - signup_date AS age FROM cohort_counts
@@ -270,23 +281,43 @@ def _customer(*parts: str, select: str, stage: str = CLEAN) -> str:
     return _with(_raw("customer"), stage, *parts, select=select)
 
 
+# The columns declared unique or present.
+UNIQUE = (
+    ("raw_events", "event_id"),
+    ("stg_events", "event_id"),
+    ("stg_users", "user_id"),
+    ("mart_sessions", "session_id"),
+    ("mart_funnel", "step"),
+)
+PRESENT = (
+    ("raw_events", "event_id"),
+    ("raw_events", "event_ts"),
+    ("stg_events", "event_id"),
+    ("stg_events", "user_id"),
+    ("stg_events", "event_name"),
+    ("stg_events", "event_ts"),
+    ("stg_users", "user_id"),
+    ("stg_users", "signup_ts"),
+    ("stg_users", "channel"),
+    ("mart_sessions", "session_id"),
+    ("mart_sessions", "user_id"),
+    ("mart_funnel", "step"),
+    ("mart_retention", "cohort_users"),
+)
+
+
 def _suite(stage: str) -> str:
     checks = {
         "no_duplicate_events": "SELECT 1 FROM stg GROUP BY user_id, event_name, event_ts HAVING count(*) > 1",
         "no_null_user_ids": "SELECT 1 FROM stg WHERE user_id IS NULL LIMIT 1",
-        "no_platform_hour_skew": "SELECT 1 FROM skew WHERE hours_apart > 3",
+        "no_platform_hour_skew": "SELECT platform_a FROM skew WHERE hours_apart > 3 "
+        "UNION SELECT platform_b FROM skew WHERE hours_apart > 3",
         "funnel_is_monotonic": "SELECT 1 FROM funnel WHERE users_lost < 0",
         "retention_within_cohort": "SELECT 1 FROM cohort_counts WHERE greatest(d1_plus, d7_plus, d30_plus) > cohort_users",
         "signup_is_first_event": "SELECT 1 FROM early WHERE first_ts < signup_ts",
-        "session_users_exist": "SELECT DISTINCT user_id FROM sessions WHERE user_id NOT IN "
+        "session_users_exist": "SELECT user_id FROM sessions WHERE user_id NOT IN "
         "(SELECT user_id FROM users WHERE user_id IS NOT NULL)",
     }
-    unique = "raw_events.event_id stg_events.event_id stg_users.user_id mart_sessions.session_id mart_funnel.step"
-    present = (
-        "raw_events.event_id raw_events.event_ts stg_events.event_id stg_events.user_id stg_events.event_name "
-        "stg_events.event_ts stg_users.user_id stg_users.signup_ts stg_users.channel mart_sessions.session_id "
-        "mart_sessions.user_id mart_funnel.step mart_retention.cohort_users"
-    )
     accepted = {
         "stg_events.event_name": "'signup', 'activate', 'first_search', 'add_to_cart', 'purchase', 'session_start'",
         "stg_events.platform": "'ios', 'android', 'web'",
@@ -300,13 +331,11 @@ def _suite(stage: str) -> str:
         "mart_funnel": "funnel",
         "mart_retention": "cohort_counts",
     }
-    for name in unique.split():
-        table, column = name.split(".")
+    for table, column in UNIQUE:
         checks[f"unique_{table}_{column}"] = (
             f"SELECT {column} FROM {source[table]} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) > 1"
         )
-    for name in present.split():
-        table, column = name.split(".")
+    for table, column in PRESENT:
         checks[f"not_null_{table}_{column}"] = f"SELECT 1 FROM {source[table]} WHERE {column} IS NULL"
     for name, values in accepted.items():
         table, column = name.split(".")
@@ -377,22 +406,43 @@ REPORT = _device(
 SLICE = """SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM stg
     WHERE event_date = DATE '2024-01-15'"""
 
+MANY_STEPS = """
+WITH stg AS (SELECT user_id, regexp_extract(props, '[0-9]+') AS event_name, value FROM events),
+reach AS (
+  SELECT CAST(event_name AS INTEGER) AS i, event_name AS step, count(DISTINCT user_id) AS n
+  FROM stg WHERE user_id IS NOT NULL GROUP BY event_name
+),
+neighbours AS (SELECT *, lag(n) OVER (ORDER BY i) AS before, first(n) OVER (ORDER BY i) AS top FROM reach)
+SELECT i + 1 AS step_index, step, n AS users_reached, before AS users_previous_step,
+       round(CAST(n AS DOUBLE) / nullif(before, 0), 4) AS step_conversion,
+       round(CAST(n AS DOUBLE) / nullif(top, 0), 4) AS cumulative_conversion, before - n AS users_lost
+FROM neighbours
+"""
+
 ORACLES = {
+    "funnel_many_steps": MANY_STEPS,
     "stg_events": _customer(select=f"SELECT {EVENT_COLUMNS} FROM stg"),
     "stg_events_raw": _customer(select=f"SELECT {EVENT_COLUMNS} FROM stg", stage=DIRTY),
     "stg_users": _device(USERS, select="SELECT * FROM users"),
-    "sessionise": _customer(
-        NUMBERED, select="SELECT user_id, event_id, event_name, event_ts, session_index FROM numbered"
-    ),
+    "sessionise": _customer(NUMBERED, select=f"SELECT {EVENT_COLUMNS}, session_index FROM numbered"),
     "session_summary": _customer(SESSIONS, select="SELECT * FROM sessions"),
     "session_count": _customer(NUMBERED, select="SELECT count(session_index) AS events FROM numbered"),
     "session_totals": _customer(
         SESSIONS, select="SELECT count(*) AS sessions, count(DISTINCT user_id) AS users FROM sessions"
     ),
     "session_floor": _customer(
-        SESSIONS,
-        select="""SELECT count(*) AS sessions, count(DISTINCT user_id) AS users FROM sessions
-        HAVING count(*) < count(DISTINCT user_id)""",
+        SESSIONS, USERS,
+        select="""SELECT * FROM (SELECT (SELECT count(*) FROM sessions WHERE converted = 1) AS sessions,
+        (SELECT count(*) FROM users) AS users) WHERE sessions < users""",
+    ),
+    "session_gaps": _customer(
+        NUMBERED,
+        select="""SELECT * FROM (
+          SELECT user_id, session_index, date_diff('minute', lag(m) OVER timeline, m) AS minutes_since,
+                 session_index <> lag(session_index) OVER timeline AS starts
+          FROM (SELECT DISTINCT user_id, session_index, date_trunc('minute', event_ts) AS m FROM numbered)
+          WINDOW timeline AS (PARTITION BY user_id ORDER BY m, session_index))
+        WHERE starts <> (minutes_since > 20)""",
     ),
     "funnel": _device(FUNNEL, select="SELECT * FROM funnel"),
     "funnel_by_channel": _device(
@@ -449,6 +499,26 @@ ORACLES = {
         round(ci_high, 6) AS ci_high, round(z, 6) AS z, round(p_value, 6) AS p_value FROM comparison""",
     ),
     "audit": _customer(AUDIT, select="SELECT * FROM audit"),
+    "audit_by_event": _with(
+        _raw("customer"),
+        """
+    survivors AS (
+      SELECT DISTINCT ON (event_name, event_ts) user_id FROM raw_events WHERE user_id IS NOT NULL
+      ORDER BY event_name, event_ts, event_id
+    ),
+    counts AS (
+      SELECT count(*) AS raw_rows, count(*) FILTER (WHERE user_id IS NULL) AS null_user_rows FROM raw_events
+    ),
+    kept AS (SELECT count(*) AS clean_rows, count(DISTINCT user_id) AS clean_users FROM survivors),
+    known AS (
+      SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (
+        SELECT count(*) AS n FROM raw_events WHERE user_id IS NOT NULL GROUP BY event_name, event_ts)
+    )""",
+        select="""SELECT raw_rows, clean_rows, raw_rows - clean_rows AS rows_removed, duplicate_rows,
+        round(CAST(duplicate_rows AS DOUBLE) / raw_rows, 5) AS duplicate_rate, null_user_rows,
+        round(CAST(null_user_rows AS DOUBLE) / raw_rows, 5) AS null_user_rate, clean_users
+        FROM counts, kept, known""",
+    ),
     "rate_in_band": _customer(
         AUDIT,
         select="""SELECT rate_name, rate FROM (
@@ -465,6 +535,12 @@ ORACLES = {
         HOURS, select="SELECT platform, n AS rows, round(mean_hour, 6) AS mean_hour FROM hours"
     ),
     "hour_skew": _customer(HOURS, stage=DIRTY, select="SELECT * FROM skew WHERE hours_apart > 3"),
+    "hour_spread": _customer(
+        HOURS, stage=DIRTY,
+        select="""SELECT a.platform, round(any_value(a.mean_hour), 2) AS mean_hour,
+        round(max(12 - abs(12 - abs(a.mean_hour - b.mean_hour))), 2) AS hours_apart
+        FROM hours a, hours b WHERE a.n > 1000 AND b.n > 1000 GROUP BY a.platform""",
+    ),
     "dup_keys": _customer(
         stage=DIRTY,
         select="""SELECT user_id, event_name, event_ts, count(*) AS n FROM stg
@@ -486,15 +562,26 @@ ORACLES = {
         WHERE users_reached > users_previous_step""",
     ),
     "retention_bound": _device(
-        USERS, COHORTS,
-        select="""SELECT signup_date, channel, cohort_users, d1_plus, d7_plus, d30_plus FROM cohort_counts
+        USERS, COHORTS, OVERCOUNTED,
+        select="""SELECT * FROM overcounted
         WHERE d1_plus > cohort_users OR d7_plus > cohort_users OR d30_plus > cohort_users""",
     ),
     "retention_over_count": _device(
-        USERS, COHORTS,
-        select="""SELECT count(*) AS failed_rows FROM cohort_counts
+        USERS, COHORTS, OVERCOUNTED,
+        select="""SELECT count(*) AS failed_rows FROM overcounted
         WHERE d1_plus > cohort_users OR d30_plus > cohort_users""",
     ),
+    "segment_order": _device(
+        USERS, COHORTS,
+        select="""SELECT better, worse, round(better_rate, 9) AS better_rate, round(worse_rate, 9) AS worse_rate FROM (
+          SELECT lag(o.name) OVER place AS better, o.name AS worse, lag(s.rate) OVER place AS better_rate,
+                 s.rate AS worse_rate
+          FROM (VALUES ('organic', 1), ('paid_search', 2), ('social', 3), ('referral', 4), ('email', 5)) AS o(name, i)
+          JOIN (SELECT channel, CAST(sum(d7_plus) AS DOUBLE) / nullif(sum(cohort_users), 0) AS rate
+                FROM cohort_counts GROUP BY channel) s ON s.channel = o.name
+          WHERE s.rate IS NOT NULL WINDOW place AS (ORDER BY o.i))
+        WHERE better_rate <= worse_rate""",
+    ),
     "rate_mismatch": _device(
         USERS, BY_CHANNEL,
         select="""SELECT channel, step, round(step_conversion, 6) AS step_conversion, round(expected, 6) AS expected
@@ -527,7 +614,27 @@ ORACLES = {
     ),
     "check_suite_clean": _suite(CLEAN),
     "check_suite_dirty": _suite(DIRTY),
+    "check_first_rows": _customer(
+        stage=DIRTY,
+        select="""SELECT 'repeated' AS name, count(*) AS failed_rows, min(row) AS first_row FROM (
+          SELECT concat('{', CASE WHEN user_id IS NULL THEN '' ELSE concat('"user_id":', user_id, ',') END,
+                        '"event_name":"', event_name, '","n":', count(*), '}') AS row
+          FROM stg GROUP BY user_id, event_name HAVING count(*) > 1)
+        UNION ALL
+        SELECT 'no_user', CAST(count(*) > 0 AS BIGINT), CASE WHEN count(*) > 0 THEN concat('{"null_rows":', count(*), '}') END
+        FROM stg WHERE user_id IS NULL
+        UNION ALL
+        SELECT 'other_channel', count(*), min(row) FROM (
+          SELECT concat('{"channel":"', channel, '","n":', count(*), '}') AS row FROM stg
+          WHERE channel NOT IN ('organic', 'paid_search', 'social') GROUP BY channel)
+        UNION ALL
+        SELECT 'many_events', count(*), min(row) FROM (
+          SELECT concat('{"user_id":', user_id, ',"n":', count(*), '}') AS row FROM stg
+          WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) > 1)""",
+    ),
     "day_slice": _customer(select=SLICE),
+    "layout_sizes": """SELECT layout, has_bytes, below_base FROM (VALUES ('base', TRUE, NULL), ('clustered', TRUE, NULL),
+        ('narrow', TRUE, TRUE), ('by_date', TRUE, NULL)) AS l(layout, has_bytes, below_base)""",
     "layout_contents": _customer(
         select="""SELECT layout, (SELECT count(*) FROM stg) AS row_count, column_count
         FROM (VALUES ('base', 8), ('clustered', 8), ('narrow', 3), ('by_date', 8)) AS l(layout, column_count)"""

@@ -1,13 +1,12 @@
 """The registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-Queries that read the clean events more than once read them from tables saved in the shared
-folder, written once per session and input.
+Queries that read the clean events more than once read them from tables that the call saves in
+the shared folder; they go when the program ends.
 Ratios that the operators leave unrounded are rounded here, because the last digits of
 sine, square root and sums of doubles differ between engines.
 """
 
 from datetime import date
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,18 +36,10 @@ def _dirty(spark: SparkSession, sf_dir: str, grain: str = "customer") -> DataFra
     return tm.clean_events(raw_events(spark, sf_dir, grain), clean=False)
 
 
-@cache
-def _staging_dir(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the saved device-grain staging tables."""
-    root = tables.shared_dir(spark)
-    events = tm.save_table(_clean(spark, sf_dir, "device"), f"{root}/stg_events")
-    tm.save_table(tm.first_touch_users(events), f"{root}/stg_users")
-    return root
-
-
 def _events_and_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    root = _staging_dir(spark, sf_dir)
-    return spark.read.parquet(f"{root}/stg_events"), spark.read.parquet(f"{root}/stg_users")
+    """The device-grain staging tables, saved."""
+    events = tables.materialise(_clean(spark, sf_dir, "device"))
+    return events, tables.materialise(tm.first_touch_users(events))
 
 
 # --- staging -----------------------------------------------------------------
@@ -74,8 +65,7 @@ def stg_users(spark, sf_dir):
 
 
 def sessionise(spark, sf_dir):
-    events = _clean(spark, sf_dir).select("user_id", "event_id", "event_name", "event_ts")
-    return tm.sessionise(events)
+    return tm.sessionise(tables.materialise(_money(_clean(spark, sf_dir))))
 
 
 def session_summary(spark, sf_dir):
@@ -91,7 +81,16 @@ def session_totals(spark, sf_dir):
 
 
 def session_floor(spark, sf_dir):
-    return tm.session_floor(tm.session_summary(_clean(spark, sf_dir)))
+    """Sessions with a purchase are fewer than the users, so there is a row."""
+    events = tables.materialise(_clean(spark, sf_dir))
+    bought = tm.session_summary(events).filter("converted = 1")
+    return tm.session_floor(bought, tm.first_touch_users(events))
+
+
+def session_gaps(spark, sf_dir):
+    """Sessions of 30 minutes checked against a gap of 20: those that hold a longer one."""
+    numbered = tm.sessionise(tables.materialise(_clean(spark, sf_dir)))
+    return tm.session_gaps(numbered, gap_minutes=20)
 
 
 # --- funnel ------------------------------------------------------------------
@@ -106,6 +105,17 @@ def funnel_by_channel(spark, sf_dir):
     return _rounded(tm.funnel_by(events, users), 9, "step_conversion")
 
 
+def funnel_many_steps(spark, sf_dir):
+    """A funnel of 100 steps: the values in the events' props, in order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "user_id",
+        F.regexp_extract("props", "[0-9]+", 0).alias("event_name"),
+        F.col("value").cast("decimal(18,2)").alias("revenue"),
+    )
+    steps = [str(i) for i in range(100)]
+    return tm.funnel(events, steps=steps, goal="99").drop("max_recoverable_revenue")
+
+
 def worst_step(spark, sf_dir):
     return tm.worst_step(funnel(spark, sf_dir))
 
@@ -179,6 +189,12 @@ def audit(spark, sf_dir):
     return tm.quality_audit(raw, tm.clean_events(raw))
 
 
+def audit_by_event(spark, sf_dir):
+    """An audit whose key has no user: one event of a name at a time, of whichever user."""
+    raw, key = raw_events(spark, sf_dir), ("event_name", "event_ts")
+    return tm.quality_audit(raw, tm.clean_events(raw, shifts={}, key=key), key)
+
+
 def rate_in_band(spark, sf_dir):
     audited = tables.materialise(audit(spark, sf_dir))
     duplicates = tm.rate_in_band(audited, "duplicate_rate", *defaults.DUPLICATE_RATE_BAND)
@@ -199,6 +215,10 @@ def hour_skew(spark, sf_dir):
     return tm.hour_skew(_dirty(spark, sf_dir))
 
 
+def hour_spread(spark, sf_dir):
+    return tm.hour_spread(_dirty(spark, sf_dir))
+
+
 def dup_keys(spark, sf_dir):
     return tm.dup_keys(_dirty(spark, sf_dir))
 
@@ -219,16 +239,34 @@ def funnel_monotonic(spark, sf_dir):
     return tm.funnel_not_monotonic(funnel(spark, sf_dir))
 
 
+def _overcounted(spark, sf_dir):
+    """Cohorts whose activity counts events where it should count users."""
+    events, users = _events_and_users(spark, sf_dir)
+    visits = events.select("user_id", "event_date").join(users.select("user_id", "signup_date", "channel"), "user_id")
+    day = F.datediff("event_date", "signup_date")
+    counts = visits.groupBy("signup_date", "channel").agg(
+        *[F.count_if(day >= n).alias(f"d{n}_plus") for n in (1, 7, 30)]
+    )
+    cohorts = tm.retention(events, users).select("signup_date", "channel", "cohort_users")
+    return cohorts.join(counts, ["signup_date", "channel"])
+
+
 def retention_bound(spark, sf_dir):
-    return tm.retention_over_cohort(tm.retention(*_events_and_users(spark, sf_dir)))
+    return tm.retention_over_cohort(_overcounted(spark, sf_dir))
 
 
 def retention_over_count(spark, sf_dir):
-    cohorts = tm.retention(*_events_and_users(spark, sf_dir))
-    over = tm.retention_over_cohort(cohorts, ["d1_plus", "d30_plus"])
+    over = tm.retention_over_cohort(_overcounted(spark, sf_dir), ["d1_plus", "d30_plus"])
     return over.agg(F.count("*").alias("failed_rows"))
 
 
+def segment_order(spark, sf_dir):
+    """Channels in an expected order of their retention that the data does not bear out."""
+    pooled = tm.pooled_retention(tm.retention(*_events_and_users(spark, sf_dir)))
+    out = tm.segments_out_of_order(pooled, "d7_plus_rate", defaults.CHANNELS)
+    return _rounded(out, 9, "better_rate", "worse_rate")
+
+
 def rate_mismatch(spark, sf_dir):
     events, users = _events_and_users(spark, sf_dir)
     measured = tm.funnel_by(events, users)
@@ -258,6 +296,19 @@ def orphans(spark, sf_dir):
     return tm.orphans(orders, "o_custkey", tm.first_touch_users(_clean(spark, sf_dir)), "user_id")
 
 
+def check_first_rows(spark, sf_dir):
+    """The outcome of checks that fail, with their first rows."""
+    events = _dirty(spark, sf_dir)
+    return tm.run_checks(
+        {
+            "repeated": tm.dup_keys(events, ["user_id", "event_name"]),
+            "no_user": tm.null_rows(events, "user_id"),
+            "other_channel": tm.bad_values(events, "channel", defaults.CHANNELS[:3]),
+            "many_events": tm.not_unique(events, "user_id"),
+        }
+    )
+
+
 def _suite(spark, sf_dir, clean):
     suite = tm.run_suite(build_models(raw_events(spark, sf_dir), clean=clean))
     return suite.drop("first_row")
@@ -284,11 +335,18 @@ def _layouts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
 
 
 def layout_sizes(spark, sf_dir):
-    return tm.layout_sizes(spark, _layouts(spark, sf_dir))
+    """What holds of the sizes in bytes at any scale."""
+    sizes = tm.layout_sizes(spark, _layouts(spark, sf_dir))
+    return sizes.select(
+        "layout",
+        (F.col("parquet_bytes") > 0).alias("has_bytes"),
+        F.when(F.col("layout") == "narrow", F.col("bytes_vs_base") < 1).alias("below_base"),
+    )
 
 
 def layout_contents(spark, sf_dir):
-    return layout_sizes(spark, sf_dir).select("layout", "row_count", "column_count")
+    sizes = tm.layout_sizes(spark, _layouts(spark, sf_dir))
+    return sizes.select("layout", "row_count", "column_count")
 
 
 def layout_clustered(spark, sf_dir):
@@ -335,6 +393,7 @@ def mart_views(spark, sf_dir):
 
 def report(spark, sf_dir):
     """All answers of the report as (section, item, metric, value) rows."""
+    # The answers' names, and the column that names their items.
     sections = {
         "funnel": "step",
         "retention_by_channel": "channel",
@@ -360,15 +419,65 @@ def report(spark, sf_dir):
     return _rounded(rows, 6, "value")
 
 
-NAMES = (
-    "stg_events stg_events_raw stg_users sessionise session_summary session_count session_totals "
-    "session_floor funnel funnel_by_channel worst_step step_user_counts arpu opportunity "
-    "detectable_effect retention retention_by_channel pooled_retention week_one "
-    "week_one_by_channel retention_curve two_proportion audit rate_in_band circular_mean_hour "
-    "circular_mean_hour_clean hour_skew dup_keys null_users before_signup repeat_signups "
-    "funnel_monotonic retention_bound retention_over_count rate_mismatch unique not_null "
-    "accepted_values orphans check_suite_clean check_suite_dirty day_slice layout_sizes "
-    "layout_contents layout_clustered layout_narrow layout_by_date json_result mart_views report"
-).split()
-
-QUERIES = {name: globals()[name] for name in NAMES}
+# The registered names.
+QUERIES = {
+    query.__name__: query
+    for query in (
+        stg_events,
+        stg_events_raw,
+        stg_users,
+        sessionise,
+        session_summary,
+        session_count,
+        session_totals,
+        session_floor,
+        session_gaps,
+        funnel,
+        funnel_many_steps,
+        funnel_by_channel,
+        worst_step,
+        step_user_counts,
+        arpu,
+        opportunity,
+        detectable_effect,
+        retention,
+        retention_by_channel,
+        pooled_retention,
+        week_one,
+        week_one_by_channel,
+        retention_curve,
+        two_proportion,
+        audit,
+        audit_by_event,
+        rate_in_band,
+        circular_mean_hour,
+        circular_mean_hour_clean,
+        hour_skew,
+        hour_spread,
+        dup_keys,
+        null_users,
+        before_signup,
+        repeat_signups,
+        funnel_monotonic,
+        retention_bound,
+        retention_over_count,
+        segment_order,
+        rate_mismatch,
+        unique,
+        not_null,
+        accepted_values,
+        orphans,
+        check_suite_clean,
+        check_suite_dirty,
+        check_first_rows,
+        day_slice,
+        layout_sizes,
+        layout_contents,
+        layout_clustered,
+        layout_narrow,
+        layout_by_date,
+        json_result,
+        mart_views,
+        report,
+    )
+}
