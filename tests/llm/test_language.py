@@ -1,0 +1,96 @@
+import unicodedata
+from collections import Counter
+
+import pytest
+
+from documents_fixture import make_docs  # noqa: F401
+from tidemark.llm import language
+
+TEXTS = {
+    "en": "the quick brown fox jumps over the lazy dog and then the other thing that they had with them was there",
+    "de": "der schnelle braune fuchs springt über den faulen hund und dann ist das andere ding auch noch da gewesen",
+    "fr": "le renard brun rapide saute par dessus le chien paresseux et puis une autre chose était là avec eux déjà",
+}
+
+
+def grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    counts = Counter()
+    for word in letters.split():
+        padded = f" {word} "
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                if gram := padded[i : i + n].strip() and padded[i : i + n]:
+                    counts[gram] += 1
+    return counts
+
+
+def ranked(counts):
+    number = lambda g: sum((1 if c == " " else ord(c) + 2) << 21 * i for i, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[: language.PROFILE]]
+
+
+def brute(profiles, text):
+    own = ranked(grams(text or ""))
+    if not own or not profiles:
+        return "und", 0.0
+    best = None
+    for lang in sorted(profiles):
+        places = {g: i for i, g in enumerate(profiles[lang])}
+        apart = sum(abs(places[g] - i) if g in places else language.PROFILE for i, g in enumerate(own))
+        if best is None or apart < best[0]:
+            best = apart, lang
+    return best[1], 1 - best[0] / (language.PROFILE * len(own))
+
+
+@pytest.fixture(scope="module")
+def documents():
+    rows = []
+    for i in range(60):
+        for j, (lang, text) in enumerate(TEXTS.items()):
+            words = text.split()
+            rows.append((i * 3 + j, " ".join(words[(i * k) % len(words)] for k in range(1, 25)), lang, "s"))
+    rows += [(900, None, None, "s"), (901, "", "en", "s"), (902, "12 !?", "de", "s"), (903, "x", None, "s"), (None, "the dog", "en", "s")]
+    rows += [(904, "Über-Déjà, THE dog's 3rd", None, None), (904, "le chien", "fr", "s"), (905, "word " * 300_000, "en", "s")]
+    return rows
+
+
+def test_profiles_and_predictions_match_brute_force(make_docs, documents):
+    from pyspark.sql import functions as F
+
+    docs = make_docs(documents, clashes=True)
+    learned = language.learn_profiles(docs, F.coalesce(F.col("doc_id") % 5 != 0, F.lit(False)))
+    counts = {}
+    for i, text, lang, _ in documents:
+        if lang is not None and i is not None and i % 5:
+            counts.setdefault(lang, Counter()).update(grams(text or ""))
+    profiles = {lang: ranked(c) for lang, c in counts.items()}
+    assert {r.lang for r in learned.collect()} == set(profiles)
+    got = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in language.predict(docs, learned).collect())
+    want = sorted((str(i), *(lambda p: (p[0], round(p[1], 9)))(brute(profiles, t))) for i, t, *_ in documents)
+    assert got == want
+    right = [r.lang_pred for r in language.predict(docs, learned).filter("doc_id < 180").orderBy("doc_id").collect()]
+    assert sum(p == list(TEXTS)[i % 3] for i, p in enumerate(right)) >= 178
+
+
+def test_nothing_to_learn_from(make_docs):
+    docs = make_docs([(1, "some words", None, "s"), (2, None, None, "s")])
+    learned = language.learn_profiles(docs, language.learned_fold())
+    assert [tuple(r)[1:] for r in language.predict(docs, learned).collect()] == [("und", 0.0)] * 2
+    assert language.predict(docs.limit(0), learned).count() == 0
+
+
+def test_parts_are_cut_between_words(monkeypatch):
+    text = " ".join(f"wörd{unicodedata.lookup('GREEK SMALL LETTER ALPHA')}{i}x" for i in range(300))
+    whole = language.gram_counts([text])
+    monkeypatch.setattr(language, "PART", 17)
+    parts = language.gram_counts([text])
+    assert [a.tolist() for a in parts] == [a.tolist() for a in whole]
+    assert all(len(p) <= 34 for p in language._parts("y" * 200)) and "".join(language._parts(text)) == text
+
+
+def test_too_many_values(make_docs, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    docs = make_docs([(i, "abc", f"l{i}", "s") for i in range(1, 9)])
+    with pytest.raises(ValueError, match="more than 2"):
+        language.predict(docs, language.learn_profiles(docs, language.learned_fold()))

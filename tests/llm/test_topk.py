@@ -1,0 +1,74 @@
+import math
+import random
+
+import pytest
+
+from tidemark.llm import topk
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, block bigint, dim string, low int"
+
+
+def brute(rows, k, every):
+    usable = []
+    for i, v, *_ in rows:
+        if i is None or v is None or any(x is None or not math.isfinite(x) or abs(256 * x) >= topk.LIMIT for x in v):
+            continue
+        usable.append((i, [math.floor(256 * x) for x in v]))
+    out = []
+    for q, a in usable:
+        if q % every == 0:
+            scored = [(-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q and len(a) == len(b)]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def check(spark, rows, k=5, every=50, parts=3):
+    table = spark.createDataFrame([(i, v, 0, 1, "x", 2) for i, v, *_ in rows], SCHEMA).repartition(parts)
+    got = sorted(tuple(r) for r in topk.top_k(table, k, every).collect())
+    assert got == brute([(i, None if v is None else [None if x is None else spark_float(x) for x in v]) for i, v, *_ in rows], k, every)
+
+
+def spark_float(x):
+    import numpy as np
+
+    return float(np.float32(x))
+
+
+def test_random_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = random.Random(1)
+    check(spark, [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(600)])
+
+
+def test_ties_and_one_hot_vector(spark):
+    rng = random.Random(2)
+    hot = [0.5, -0.25, 0.125]
+    check(spark, [(i, hot if i % 3 else [rng.choice([-0.5, 0.0, 0.5]) for _ in range(3)]) for i in range(400)])
+
+
+def test_vectors_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (50, None), (100, [1.0, None]), (150, [nan, 1.0]), (1, [inf, 0.0]), (2, [1e30, 0.0]), (3, [0.5, 0.5])]
+    rows += [(None, [9.0, 9.0]), (200, [-1e5, 1e5]), (4, [1e5, -1e5]), (5, [1.0]), (250, [1.0]), (300, []), (6, []), (7, [-0.001, 0.0])]
+    check(spark, rows)
+
+
+def test_fewer_candidates_than_k(spark):
+    check(spark, [(0, [1.0, 0.0])])
+    check(spark, [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (3, [-0.5, 0.5])])
+
+
+def test_large_scores_stay_exact(spark):
+    rng = random.Random(3)
+    check(spark, [(i, [rng.uniform(-2.5e5, 2.5e5) for _ in range(4)]) for i in range(120)], k=3, every=10)
+
+
+def test_empty_table(spark):
+    assert topk.top_k(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_repeated_rows(spark, k):
+    rows = [(i % 60, [float(i % 7), float(i % 5)]) for i in range(60)] + [(61, [1.0, 1.0])] * 3
+    check(spark, rows, k=k, every=30)
