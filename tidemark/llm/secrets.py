@@ -354,7 +354,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
         yield pa.RecordBatch.from_pydict({"field": [field.to_bytes()]})
 
     found = map_arrow(texts.limit(2 * SAMPLE).repartition(1), learn, "field binary").first()
-    return Field.from_bytes(found.field)
+    return Field.from_bytes(found.field) if found else train([])
 
 
 def _parts(text: str) -> Iterator[tuple[int, str]]:

@@ -6,8 +6,8 @@ vectors and softmax are trained jointly, in numpy. A misspelt or inflected word
 seen shares most n-grams, and so most vectors, with those that were.
 
 A text scores as its worst window, so a few words are not drowned by a long text: every window
-of the whole text is scored, at half-window steps. In training likewise: after a first round
-in which all windows of a toxic text count as toxic, only the worst one does. Part of the
+of the whole text is scored, in steps of ``STEP`` words. In training likewise: after first
+rounds in which all windows of a toxic text count as toxic, only the worst one does. Part of the
 sample is held back to turn window scores into the probability of a text.
 
 The sample is bounded: ``MAX_LABELLED`` labelled texts per class by the hash of their id, of
@@ -40,7 +40,8 @@ MAX_LABELLED = 2500
 MAX_WINDOWS = 128
 #: Share of the sample that calibrates instead of training, as one in so many texts.
 CALIBRATE_EVERY = 5
-EPOCHS = 12
+#: Rounds over the sample, of which in the first ones every window of a toxic text counts as toxic.
+EPOCHS, ALL_EPOCHS = 12, 5
 RATE = 0.5
 DECAY = 1e-4
 BATCH = 512
@@ -167,7 +168,7 @@ def train(texts: list[str], labels: np.ndarray) -> np.ndarray:
     touched = np.bincount(bags.bucket, minlength=size) > 0
     for epoch in range(EPOCHS):
         use = np.ones(len(bags.size), bool)
-        if epoch:
+        if epoch >= ALL_EPOCHS:
             margin = bags.margins(_folded(vectors, softmax))
             use = ~toxic | _worst(bags.owner, margin)
         order = rng.permutation(np.flatnonzero(use))
@@ -260,7 +261,7 @@ def fit(
         rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or "", r["toxic"]))
         toxic = np.array([r["toxic"] for r in rows], "i8")
         held = _held_back(toxic)
-        weights, slope, offset = np.zeros(1 << BUCKET_BITS, "f4"), 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+        weights, slope, offset = np.zeros(1 << BUCKET_BITS, "f4"), 0.0, _log_odds(share)
         if 0 < toxic[~held].sum() < (~held).sum():
             weights = train([r["text"] or "" for r, h in zip(rows, held) if not h], toxic[~held])
             if not 0 < toxic[held].sum() < held.sum():
@@ -270,9 +271,15 @@ def fit(
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "slope": [slope], "offset": [offset]})
 
     found = map_arrow(texts, learn_all, "weights binary, slope double, offset double").first()
+    if found is None:  # no labelled text at all
+        return Model(np.zeros(1 << BUCKET_BITS, "f4"), 0.0, _log_odds(share))
     return Model(np.frombuffer(found.weights, "f4"), found.slope, found.offset)
 
 
+def _log_odds(share: float) -> float:
+    return float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+
+
 def _held_back(toxic: np.ndarray) -> np.ndarray:
     """One in ``CALIBRATE_EVERY`` texts of either class."""
     held = np.zeros(len(toxic), bool)
