@@ -18,6 +18,33 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) END) AS shingles
+  FROM words
+),
+items AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+),
+links AS (SELECT u, v FROM shared WHERE 100 * c >= 90 * (n + m - c)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM sets
+  UNION
+  SELECT links.v, reach.label FROM reach JOIN links ON links.u = reach.node
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, min(r.label) AS component_id
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.shingles
+"""
+
 OP8 = """
 WITH RECURSIVE sizes AS (
   SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source
@@ -74,4 +101,10 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM prints WINDOW same AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op1_topk": OP1, "op8_mixing": OP8, "op9_exact_dedup": OP9, "op10_warc": OP10}
+ORACLES = {
+    "op1_topk": OP1,
+    "op7_jaccard_join": OP7,
+    "op8_mixing": OP8,
+    "op9_exact_dedup": OP9,
+    "op10_warc": OP10,
+}
