@@ -1,23 +1,33 @@
 """Token ids of whole texts, by the tokenizers library, each distinct word encoded once.
 
-Byte-level and word BPE never merge across a single space between two other characters, so a
-text is cut there and every piece is encoded by itself. Pieces repeat, and their ids are kept
-in a cache of bounded size. Texts with other white space around a space are cut at the safe
-places only. The ids are those of encoding the text in one go (tests/llm checks this).
+The pre-tokenizers of byte-level and word BPE cut a text at a single space or line feed between
+two other characters, so words can be encoded by themselves. Words repeat: the ids of
+``CACHE_WORDS`` of them are kept per Python worker. A new word of plain letters and punctuation
+is cut into runs of either, as the pre-tokenizer would, and the library's model encodes the
+runs; any other word goes through the whole tokenizer. So do whole texts that hold other white
+space around a space or line feed or a special token's string, and every text of a tokenizer
+whose pre-tokenizer is neither of the two. The ids are those of encoding every text in one go,
+which tests/llm checks.
 """
 
+import json
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
-#: Distinct pieces that a Python worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 250_000
-#: Longer pieces are encoded but not kept.
-CACHE_CHARS = 64
+#: Distinct words, and half as many runs, that a Python worker keeps; beyond it a cache starts anew.
+CACHE_WORDS = 400_000
 
-_SAFE = re.compile(r"(?<=\S)\x20(?=\S)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PUNCTUATION = r".,;:!?%$#&*()\"|@\-"
+_RUNS = re.compile(f"[{_LETTERS}]+|[{_PUNCTUATION}]+")
+_PLAIN = re.compile(f"[{_LETTERS}{_PUNCTUATION}]+")
+
+#: The split pattern of the word BPE whose words are cut as above; a fixed value.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
@@ -26,48 +36,101 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.dtype = np.dtype("<u2") if largest < 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.keeps_space, self.lowers = False, False
+        self.by_word = self._known(json.loads(self.tokenizer.to_str()))
+        # How the byte level writes each plain character, by the library itself.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [chr(c) for c in range(33, 256) if _PLAIN.fullmatch(chr(c))]
+        self.written = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in [" ", *plain]})
+        self.feed = self._whole("\n").tobytes()
         self.pieces: dict[str, bytes] = {}
+        #: Runs as the model takes them.
+        self.runs: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _learn(self, wanted: set[str]) -> bool:
-        """Adds pieces to the cache; False if one of them can't be encoded by itself."""
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in wanted):
+    def _known(self, config: dict) -> bool:
+        """Whether words may be encoded by themselves; how the text is prepared for the model."""
+        if any(t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
             return False
-        if len(self.pieces) + len(wanted) > CACHE_PIECES:
-            self.pieces.clear()
-        order = list(wanted)
-        self.pieces.update(zip(order, self._ids([" " + p for p in order])))
+        before, prepare = config["pre_tokenizer"] or {}, config["normalizer"]
+        if before.get("type") == "ByteLevel" and prepare is None:
+            self.keeps_space = True
+            return before["use_regex"] and not before["add_prefix_space"]
+        steps = [s["type"] for s in (prepare or {}).get("normalizers", [])]
+        cuts = before.get("pretokenizers", [])
+        self.lowers = "Lowercase" in steps
+        return (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": _WORD_SPLIT}
+            and cuts[0]["invert"]
+            and cuts[0]["behavior"] == "Removed"
+            and not cuts[1]["use_regex"]
+            and not cuts[1]["add_prefix_space"]
+        )
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _run(self, key: str) -> bytes:
+        """The ids of a run as the model takes it."""
+        known = self.runs.get(key)
+        if known is None:
+            known = array(self.code, [t.id for t in self.model.tokenize(key)]).tobytes()
+            if len(self.runs) > CACHE_WORDS // 2:
+                self.runs.clear()
+            self.runs[key] = known
+        return known
+
+    def _learn(self, pieces: set[str]) -> bool:
+        """Keeps the ids of new pieces; False if one of them isn't a word free of white space."""
+        cache, run = self.pieces, self._run
+        space = " ".translate(self.written) if self.keeps_space else ""
+        for piece in pieces:
+            begins = piece[:1] == "\n"
+            word = piece[1:] if begins else piece
+            if word.isascii() and word.isalpha():
+                runs = [word.lower() if self.lowers else word]
+            elif _PLAIN.fullmatch(word):
+                runs = _RUNS.findall(word.lower() if self.lowers else word)
+                if not word.isascii():
+                    runs = [r.translate(self.written) for r in runs]
+            elif len(word.split()) == 1 and len(word.split()[0]) == len(word):
+                cache[piece] = self._whole(piece if begins else " " + word).tobytes()
+                continue
+            else:
+                return False
+            if begins:
+                cache[piece] = self.feed + b"".join(map(run, runs))
+            else:
+                runs[0] = space + runs[0]
+                cache[piece] = run(runs[0]) if len(runs) == 1 else b"".join(map(run, runs))
         return True
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        first, *rest = text.split(" ")
-        get = self.pieces.get
-        found = list(map(get, rest))
+        if not self.by_word or any(s in text for s in self.specials):
+            return self._whole(text)
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        # A piece is a word after a space, or a line feed and the word after it. The first word
+        # is looked up as if a line feed came before.
+        pieces = f"\n{text}".replace("\n", " \n")[1:].split(" ")
+        found = list(map(self.pieces.get, pieces))
         if None in found:
-            whole = first and not first[-1].isspace()
-            wanted = {p for p, ids in zip(rest, found) if ids is None}
-            if not whole or max(map(len, wanted)) > CACHE_CHARS or len(wanted) > CACHE_PIECES // 4 or not self._learn(wanted):
-                return self._cut(text)
-            found = list(map(get, rest))
-            if None in found:  # the cache began anew and lost some
-                return self._cut(text)
-        elif rest and (not first or first[-1].isspace()):
-            return self._cut(text)
-        return np.frombuffer(b"".join([self._ids([first])[0], *found]), self.dtype)
-
-    def _cut(self, text: str) -> np.ndarray:
-        """Encodes without the cache, cut at the safe places."""
-        first, *rest = _SAFE.split(text)
-        return np.frombuffer(b"".join(self._ids([first, *[" " + p for p in rest]])), self.dtype)
+            if not self._learn({p for p, ids in zip(pieces, found) if ids is None}):
+                return self._whole(text)
+            found = list(map(self.pieces.get, pieces))
+        found[0] = found[0][len(self.feed) :]
+        return np.frombuffer(b"".join(found), self.dtype)
 
 
 @cache
