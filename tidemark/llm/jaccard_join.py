@@ -30,7 +30,7 @@ ids in it are NULL; rows that share an id are texts of their own. An empty table
 empty result.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 from itertools import combinations
 from math import comb
@@ -49,7 +49,7 @@ from tidemark.sources.tables import materialise
 WIDTH = 3
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 90
-BITS = 2048
+BITS = 1024
 #: Counters of the sketch, as powers of two, and those of one of its rows.
 SKETCH_BITS, CHUNK_BITS = 18, 12
 #: The boundary is looked for up to this size of a set.
@@ -434,8 +434,12 @@ def near_duplicates(
     keys = _keys(docs, width, rule, boundary, sketch, text_column)
     links = _light_links(keys)
     lists = _inverted_lists(keys, rule, boundary)
-    wanted = materialise(lists.select("cls").distinct())
-    links = links.unionByName(_heavy_links(docs, lists, wanted, rows, classes, rule, boundary, links, width, id_column, text_column))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+        return _sets(docs, classes.join(ends, "cls", "left_semi"), width, id_column, text_column)
+
+    links = links.unionByName(_heavy_links(lists, rows, rule, boundary, links, sets_of))
 
     labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -448,31 +452,37 @@ def near_duplicates(
     )
 
 
-def _heavy_links(docs, lists, wanted, rows, classes, rule, boundary, links, width, id_column, text_column) -> DataFrame:
-    """The checked links from the inverted lists that components need."""
+def _heavy_links(
+    lists: DataFrame,
+    rows: DataFrame,
+    rule: Rule,
+    boundary: int,
+    links: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The checked links from the inverted lists that components need. Whole sets are only made,
+    by ``sets_of``, for candidates that the bitmaps left."""
     sizes = lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > CELL)
     parts = F.coalesce(F.ceil(F.col("size") / CELL), F.lit(1)).cast("int")
     listed = lists.join(materialise(sizes), "key", "left").select("*", parts.alias("parts")).drop("size")
     listed = listed.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    some = rows.filter("n > 0").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    bitmaps = materialise(some.select("cls", "bits"))
-    sets = _sets(docs, classes.join(wanted, "cls", "left_semi"), width, id_column, text_column)
+    wanted = materialise(lists.select("cls").distinct())
+    some = rows.filter("n > 0").select("cls", "bits").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    bitmaps = materialise(some)
 
     single = listed.withColumn("comp", F.col("cls")).withColumn("low", F.col("own")).withColumn("high", F.col("own"))
     first = materialise(_candidates(single.join(bitmaps, "cls"), rule, boundary, forest=True))
-    sure = _checked(first, sets, rule.percent)
+    sure = _checked(first, sets_of(first), rule.percent)
 
     labels = components(links.unionByName(sure)).withColumnRenamed("node", "cls").withColumnRenamed("label", "comp")
-    merged = materialise(
-        listed.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    )
+    merged = materialise(listed.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     several = merged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
     open_ = merged.join(materialise(several.select("key")), "key", "left_semi")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = open_.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     second = _candidates(cells.join(bitmaps, "cls"), rule, boundary, forest=False)
     left = materialise(second.join(first, ["u", "v"], "left_anti"))
-    return sure.unionByName(_checked(left, sets, rule.percent))
+    return sure.unionByName(_checked(left, sets_of(left), rule.percent))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
