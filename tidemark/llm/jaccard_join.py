@@ -20,9 +20,9 @@ counts all of them; errors of the sketch make lists longer, never a link lost.
 
 A list may hold a third of all sets. Where its size is above ``CELL``, it is cut into cells that
 are searched apart: a first round finds, within each cell, a forest of candidate links; checked,
-they merge most of a family, and the lists whose sets are in one component by then are done. A
-second round searches the others whole, pairs of cells by pairs, but only for pairs between
-different components. Neither emits all pairs of a group.
+they merge most of a family, and the lists whose sets are in one component by then are done, as
+are sets without a candidate. A second round searches the rest whole, pairs of cells by pairs, but
+only for pairs between different components. Neither emits all pairs of a group.
 
 A text with fewer words than a shingle has is one shorter shingle, one without words is empty
 and linked with nothing. NULL counts as empty. A NULL id never names a component unless all
@@ -436,8 +436,7 @@ def near_duplicates(
     lists = _inverted_lists(keys, rule, boundary)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-        return _sets(docs, classes.join(ends, "cls", "left_semi"), width, id_column, text_column)
+        return _sets(docs, classes.join(_ends(pairs), "cls", "left_semi"), width, id_column, text_column)
 
     links = links.unionByName(_heavy_links(lists, rows, rule, boundary, links, sets_of))
 
@@ -452,6 +451,10 @@ def near_duplicates(
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+
+
 def _heavy_links(
     lists: DataFrame,
     rows: DataFrame,
@@ -474,8 +477,12 @@ def _heavy_links(
     first = materialise(_candidates(single.join(bitmaps, "cls"), rule, boundary, forest=True))
     sure = _checked(first, sets_of(first), rule.percent)
 
+    # A set without any candidate in a list that was searched whole has none in the second round.
     labels = components(links.unionByName(sure)).withColumnRenamed("node", "cls").withColumnRenamed("label", "comp")
-    merged = materialise(listed.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    found = materialise(_ends(first))
+    whole = listed.filter("parts = 1").join(found, "cls", "left_semi")
+    again = whole.unionByName(listed.filter("parts > 1"))
+    merged = materialise(again.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     several = merged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
     open_ = merged.join(materialise(several.select("key")), "key", "left_semi")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
