@@ -101,6 +101,14 @@ def test_a_workspace_removes_its_tables(spark, clean):
         tables.remove_dir("/")
 
 
+def test_a_scratch_block_keeps_what_it_is_told_to(spark, clean):
+    with tables.scratch(spark) as space:
+        gone, kept = tm.materialise(clean), tables.materialise(clean, keep=True)
+        assert gone.count() == kept.count() and len(list(Path(space.root).iterdir())) == 1
+    assert not Path(space.root).exists() and kept.count() == clean.count()
+    assert not tm.materialise(clean).inputFiles()[0].startswith(f"file://{space.root}")
+
+
 def test_a_program_leaves_nothing_behind(tmp_path):
     script = (
         "import tidemark as tm\n"

@@ -4,7 +4,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 from urllib.parse import urlparse
 
@@ -107,9 +109,28 @@ class Workspace:
         self.drop()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Where ``materialise`` saves while a ``scratch`` block runs.
+_scope: ContextVar[Workspace | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Workspace]:
+    """Tables that ``materialise`` saves within the block go at its end, but for those it keeps."""
+    space = Workspace(spark)
+    token = _scope.set(space)
+    try:
+        yield space
+    finally:
+        _scope.reset(token)
+        space.drop()
+
+
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, read by many, safe to lose
-    executors over."""
+    executors over. ``keep`` saves it beyond the ``scratch`` block that runs."""
+    space = _scope.get()
+    if space and not keep:
+        return space.save(df)
     return save_table(df, shared_dir(df.sparkSession))
 
 
