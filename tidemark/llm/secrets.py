@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, slices, texts_of
-from tidemark.sources.tables import materialise
+from tidemark.sources.tables import materialise, scratch
 
 # The patterns, in the order of their kinds, and the least lengths of a match.
 KINDS = ("assign", "access", "hex")
@@ -339,6 +339,11 @@ def _tags(tokens: Tokens, values: list[tuple[int, int]]) -> np.ndarray:
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Field:
     """Learns the field from the sample of ``docs``, in one task."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, id_column, text_column)
+
+
+def _fit(docs: DataFrame, id_column: str, text_column: str) -> Field:
     place = F.xxhash64(F.lit(SEED), F.col(id_column))
     known = docs.filter(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
     marked = known.select(F.col(id_column).alias("id"), place.alias("place"), F.col(text_column).rlike(LIKELY).alias("likely"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow
-from tidemark.sources.tables import materialise
+from tidemark.sources.tables import materialise, scratch
 
 LIMIT = 1 << 26
 BINS = 1024
@@ -207,7 +207,12 @@ def top_k(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
-    """query_id, rank from 1, vec_id, score: each query's k highest scores."""
+    """query_id, rank from 1, vec_id, score: each query's k highest scores, saved."""
+    with scratch(table.sparkSession):
+        return materialise(_top_k(table, k, every, id_column, vector_column), keep=True)
+
+
+def _top_k(table: DataFrame, k: int, every: int, id_column: str, vector_column: str) -> DataFrame:
     vectors = integer_vectors(table, id_column, vector_column)
     cells = _packed(vectors, BLOCK)
     asked = materialise(vectors.filter(F.col("id") % every == 0))

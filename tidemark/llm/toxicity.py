@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_crc32, map_arrow, row_struct, slices, texts_of
-from tidemark.sources.tables import materialise
+from tidemark.sources.tables import materialise, scratch
 
 #: Words of a window, and the step between windows.
 WINDOW, STEP = 6, 2
@@ -243,6 +243,11 @@ def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text"
 ) -> Model:
     """Learns from the labels (doc_id, toxic) for which ``learn``, a condition on doc_id, holds."""
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, learn, id_column, text_column)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str, text_column: str) -> Model:
     usable = labels.filter(F.col("toxic").isNotNull() & learn).select(
         "doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")
     )
@@ -253,8 +258,9 @@ def fit(
     ]
     sample = materialise(by_hash[0].unionByName(by_hash[1]))
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    # At most 2 * MAX_LABELLED ids.
-    texts = picked.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    # At most 2 * MAX_LABELLED ids; the limit only tells where many texts share a labelled id.
+    met = picked.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    texts = met.limit(4 * MAX_LABELLED).repartition(1)
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for piece in slices(batch, "text") for r in piece.to_pylist()]
