@@ -11,8 +11,8 @@ reach the threshold when they share o(a, b) shingles, so
 - heavy: sets too large for that scan inverted lists. A list holds the sets that have a shingle
   among their first ones in a global order, rarest first; a linked pair meets in the list of
   its first common shingle, at places that leave room for the overlap. Pairs are further cut
-  by a bitmap of the parity of ``BITS`` counters, which never cuts a linked pair, and what is
-  left is checked on the whole sets.
+  by a bitmap of the parity of ``BITS`` counters, of ``WIDE_BITS`` for large sets, which never cuts
+  a linked pair, and what is left is checked on the whole sets.
 
 The boundary size is where the estimated rows of both ways add up to the least. The order and
 the estimate come from a sketch of the number of classes per shingle, of fixed size, which
@@ -44,12 +44,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow, row_struct, slices, texts_of
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, set_digest, shingle_set
-from tidemark.sources.tables import materialise
+from tidemark.sources.tables import materialise, scratch
 
 WIDTH = 3
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 90
 BITS = 1024
+#: Bits of a second bitmap for candidates of more than ``BITS`` shingles, which fill the first.
+WIDE_BITS = 8192
 #: Counters of the sketch, as powers of two, and those of one of its rows.
 SKETCH_BITS, CHUNK_BITS = 18, 12
 #: The boundary is looked for up to this size of a set.
@@ -62,7 +64,7 @@ BROADCAST_IDS = 1_000_000
 PRINTS = "doc_id bigint, n bigint, cls bigint, bits binary, chunk int, part int"
 KEYS = "key bigint, salt int, hot boolean, cls bigint, n int, place int"
 LISTED = "key bigint, cls bigint, n int, place int"
-SETS = "cls bigint, shingles binary"
+SETS = "cls bigint, n bigint, wide binary, shingles binary"
 PAIRS = "u bigint, v bigint"
 
 
@@ -120,8 +122,8 @@ def light_rows(hashes: np.ndarray, keys: list[tuple[int, int, int]]) -> list[tup
     return rows
 
 
-def _parity(hashes: np.ndarray) -> bytes:
-    counts = np.bincount((hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype("i8"), minlength=BITS)
+def _parity(hashes: np.ndarray, bits: int) -> bytes:
+    counts = np.bincount((hashes >> np.uint64(64 - bits.bit_length() + 1)).astype("i8"), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
@@ -141,7 +143,7 @@ def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> Da
                     hashes = shingle_set(text, width)
                     n.append(len(hashes))
                     cls.append(set_digest(hashes))
-                    bits.append(_parity(hashes))
+                    bits.append(_parity(hashes, BITS))
                     if cls[-1] not in seen:
                         seen.add(cls[-1])
                         slots = (hashes >> np.uint64(64 - SKETCH_BITS)).astype("i8")
@@ -163,7 +165,7 @@ def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> Da
             )
 
     picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return materialise(map_arrow(picked, read, PRINTS))
+    return materialise(map_arrow(picked, read, PRINTS), keep=True)
 
 
 def _sketch(prints: DataFrame) -> np.ndarray:
@@ -186,7 +188,10 @@ def best_boundary(sizes: dict[int, int], sketch: np.ndarray, rule: Rule) -> int:
     """The size up to which sets are light. A subset costs a row; a place in a list costs a row
     and a visit to the list's other sets, as many as the sketch expects."""
     total = float(sketch.sum())
-    visits = max(0.0, float((sketch.astype("f8") ** 2).sum()) / total - total / len(sketch)) if total else 0.0
+    # Of the sets that share a shingle's counter, those that chance alone puts there don't count,
+    # nor does the set itself.
+    shared = float((sketch.astype("f8") ** 2).sum()) / total if total else 0.0
+    visits = max(0.0, shared - total / len(sketch) - 1)
 
     def cost(boundary: int) -> float:
         rows = 0.0
@@ -382,9 +387,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_c
                 for cls, text in zip(piece.column("cls").to_pylist(), texts_of(piece.column("text"))):
                     hashes = shingle_set(text, width)
                     if set_digest(hashes) == cls:
-                        rows.append((cls, hashes.astype("<u8").tobytes()))
-                cls, sets = zip(*rows) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+                        wide = _parity(hashes, WIDE_BITS) if len(hashes) > BITS else b""
+                        rows.append((cls, len(hashes), wide, hashes.astype("<u8").tobytes()))
+                columns = zip(*rows) if rows else ((), (), (), ())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["cls", "n", "wide", "shingles"]
+                )
 
     def key(column: Column) -> Column:
         return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))
@@ -396,22 +405,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_c
     return materialise(map_arrow(picked.join(wanted, "id_key").select("cls", "text"), read, SETS))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold, saved."""
+def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose whole sets reach the threshold, saved. Pairs of large sets meet by their
+    second bitmaps first, so that few large sets have to meet."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b, n in zip(*(batch.column(c).to_pylist() for c in ("wide_u", "wide_v", "n"))):
+                apart = np.bitwise_count(np.frombuffer(a, "u1") ^ np.frombuffer(b, "u1")).sum(dtype="i8") if a and b else 0
+                good.append(bool(apart <= n - 2 * rule.overlap(n)))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            for a, b in zip(batch.column("shingles_u").to_pylist(), batch.column("shingles_v").to_pylist()):
                 a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 common = len(a) + len(b) - len(np.union1d(a, b))
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
+                good.append(100 * common >= rule.percent * (len(a) + len(b) - common))
             yield batch.filter(pa.array(good, pa.bool_())).select(["u", "v"])
 
-    left = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
-    met = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return materialise(map_arrow(met, check, PAIRS).distinct())
+    met = pairs.join(side("u", "n", "wide"), "u").join(side("v", "n", "wide"), "v")
+    close = materialise(map_arrow(met.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"), "wide_u", "wide_v"), prune, PAIRS).distinct())
+    needed = materialise(_ends(close))
+    if needed.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(needed), "cls", "left_semi")
+    met = close.join(side("u", "shingles"), "u").join(side("v", "shingles"), "v")
+    return materialise(map_arrow(met.select("u", "v", "shingles_u", "shingles_v"), check, PAIRS).distinct())
 
 
 def near_duplicates(
@@ -424,8 +448,18 @@ def near_duplicates(
     """doc_id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
     rule = Rule(percent)
     prints = _prints(docs, width, id_column, text_column)
-    sketch = _sketch(prints)
     rows = prints.filter(F.col("chunk").isNull())
+    with scratch(docs.sparkSession):
+        of_class = materialise(_components(docs, prints, rows, rule, width, id_column, text_column), keep=True)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
+    )
+
+
+def _components(docs, prints, rows, rule, width, id_column, text_column) -> DataFrame:
+    """The component of every class that is not empty."""
+    sketch = _sketch(prints)
     classes = rows.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"))
     classes = materialise(classes)
     counted = classes.filter(F.col("n") <= rule.largest(LARGEST_LIGHT)).groupBy("n").count().collect()
@@ -439,16 +473,11 @@ def near_duplicates(
         return _sets(docs, classes.join(_ends(pairs), "cls", "left_semi"), width, id_column, text_column)
 
     links = links.unionByName(_heavy_links(lists, rows, rule, boundary, links, sets_of))
-
     labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = materialise(named)
     smallest = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_class = materialise(named.join(smallest, "label").select("cls", "component_id"))
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
-    )
+    return named.join(smallest, "label").select("cls", "component_id")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -475,7 +504,7 @@ def _heavy_links(
 
     single = listed.withColumn("comp", F.col("cls")).withColumn("low", F.col("own")).withColumn("high", F.col("own"))
     first = materialise(_candidates(single.join(bitmaps, "cls"), rule, boundary, forest=True))
-    sure = _checked(first, sets_of(first), rule.percent)
+    sure = _checked(first, sets_of(first), rule)
 
     # A set without any candidate in a list that was searched whole has none in the second round.
     labels = components(links.unionByName(sure)).withColumnRenamed("node", "cls").withColumnRenamed("label", "comp")
@@ -489,7 +518,7 @@ def _heavy_links(
     cells = open_.withColumn("other", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     second = _candidates(cells.join(bitmaps, "cls"), rule, boundary, forest=False)
     left = materialise(second.join(first, ["u", "v"], "left_anti"))
-    return sure.unionByName(_checked(left, sets_of(left), rule.percent))
+    return sure.unionByName(_checked(left, sets_of(left), rule))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
