@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 4096
 
 
+#: Rows of an Arrow batch: texts are long, and Spark as well as Python hold a batch whole.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to ``ARROW_ROWS``, for the operators that read texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +41,7 @@ def texts_of(column: pa.Array) -> list[str]:
 def map_arrow(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

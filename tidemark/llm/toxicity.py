@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_crc32, map_arrow, row_struct, slices, texts_of
+from tidemark.llm.common import id_crc32, map_arrow, row_struct, slices, small_batches
 from tidemark.sources.tables import materialise, scratch
 
 #: Words of a window, and the step between windows.
@@ -297,6 +297,8 @@ def _held_back(toxic: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """Struct ``row`` with the columns of ``docs``, and ``score``."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores([t or "" for t in texts]))
