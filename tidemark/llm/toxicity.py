@@ -165,7 +165,8 @@ def train(texts: list[str], labels: np.ndarray) -> np.ndarray:
     bias = np.zeros(2, "f4")
     seen_v, seen_s = np.full(size, 1e-8, "f4"), np.full((DIMENSIONS, 2), 1e-8, "f4")
     toxic = labels[bags.owner] == 1
-    touched = np.bincount(bags.bucket, minlength=size) > 0
+    touched = np.zeros(size, bool)
+    touched[bags.bucket] = True
     for epoch in range(EPOCHS):
         use = np.ones(len(bags.size), bool)
         if epoch >= ALL_EPOCHS:
