@@ -18,8 +18,9 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct words, and half as many runs, that a Python worker keeps; beyond it a cache starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words, and a quarter as many runs, that a Python worker keeps; beyond it a cache starts
+#: anew.
+CACHE_WORDS = 500_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCTUATION = r".,;:!?%$#&*()\"|@\-"
@@ -30,6 +31,17 @@ _PLAIN = re.compile(f"[{_LETTERS}{_PUNCTUATION}]+")
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Words(dict):
+    """Ids of words, learned at the first look-up."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class Encoder:
     """``encode(text)`` gives an array of ids, of the smallest unsigned type that holds them."""
 
@@ -51,8 +63,10 @@ class Encoder:
         plain = [chr(c) for c in range(33, 256) if _PLAIN.fullmatch(chr(c))]
         self.written = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in [" ", *plain]})
         self.feed = self._whole("\n").tobytes()
-        self.pieces: dict[str, bytes] = {}
-        #: Runs as the model takes them.
+        #: How the model takes the space before a word, if it keeps it.
+        self.space = " ".translate(self.written) if self.keeps_space else ""
+        self.pieces = Words(self._learn)
+        #: Runs that no space comes before, as the model takes them.
         self.runs: dict[str, bytes] = {}
 
     def _known(self, config: dict) -> bool:
@@ -79,40 +93,42 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _run(self, key: str) -> bytes:
+    def _ids(self, run: str) -> bytes:
         """The ids of a run as the model takes it."""
-        known = self.runs.get(key)
+        return array(self.code, [t.id for t in self.model.tokenize(run)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """The same for a run that no space comes before, kept."""
+        known = self.runs.get(run)
         if known is None:
-            known = array(self.code, [t.id for t in self.model.tokenize(key)]).tobytes()
-            if len(self.runs) > CACHE_WORDS // 2:
+            if len(self.runs) > CACHE_WORDS // 4:
                 self.runs.clear()
-            self.runs[key] = known
+            known = self.runs[run] = self._ids(run)
         return known
 
-    def _learn(self, pieces: set[str]) -> bool:
-        """Keeps the ids of new pieces; False if one of them isn't a word free of white space."""
-        cache, run = self.pieces, self._run
-        space = " ".translate(self.written) if self.keeps_space else ""
-        for piece in pieces:
-            begins = piece[:1] == "\n"
-            word = piece[1:] if begins else piece
-            if word.isascii() and word.isalpha():
-                runs = [word.lower() if self.lowers else word]
-            elif _PLAIN.fullmatch(word):
-                runs = _RUNS.findall(word.lower() if self.lowers else word)
-                if not word.isascii():
-                    runs = [r.translate(self.written) for r in runs]
-            elif len(word.split()) == 1 and len(word.split()[0]) == len(word):
-                cache[piece] = self._whole(piece if begins else " " + word).tobytes()
-                continue
-            else:
-                return False
+    def _learn(self, piece: str) -> bytes:
+        """The ids of a new piece; an error if it isn't a word free of white space."""
+        begins = piece[:1] == "\n"
+        word = piece[1:] if begins else piece
+        letters = word.isascii() and word.isalpha()
+        if letters or _PLAIN.fullmatch(word):
+            plain = word.lower() if self.lowers else word
+            if letters and plain == word and not begins:
+                return self._ids(self.space + word)
+            if plain != word:
+                return self.pieces["\n" + plain if begins else plain]
+            first, *rest = _RUNS.findall(plain)
+            written = [r if r.isascii() else r.translate(self.written) for r in rest]
             if begins:
-                cache[piece] = self.feed + b"".join(map(run, runs))
+                start = self.feed + self._run(first.translate(self.written))
+            elif rest:
+                start = self.pieces[first]
             else:
-                runs[0] = space + runs[0]
-                cache[piece] = run(runs[0]) if len(runs) == 1 else b"".join(map(run, runs))
-        return True
+                return self._ids(self.space + first.translate(self.written))
+            return start + b"".join(map(self._run, written))
+        if len(word.split()) == 1 and len(word.split()[0]) == len(word):
+            return self._whole(piece if begins else " " + word).tobytes()
+        raise ValueError("white space beside a space or line feed")
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -124,11 +140,10 @@ class Encoder:
         # A piece is a word after a space, or a line feed and the word after it. The first word
         # is looked up as if a line feed came before.
         pieces = f"\n{text}".replace("\n", " \n")[1:].split(" ")
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            if not self._learn({p for p, ids in zip(pieces, found) if ids is None}):
-                return self._whole(text)
-            found = list(map(self.pieces.get, pieces))
+        try:
+            found = list(map(self.pieces.__getitem__, pieces))
+        except ValueError:
+            return self._whole(text)
         found[0] = found[0][len(self.feed) :]
         return np.frombuffer(b"".join(found), self.dtype)
 
