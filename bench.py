@@ -4,14 +4,24 @@ Clean events are saved once in every layout, as the reference numbers were taken
 tables. Each query then runs once unmeasured and $BENCH_REPEATS times measured; the median
 counts. The result of every run is collected in full, or written to a no-op sink where it
 has as many rows as the events.
+
+$BENCH_SCALE repeats every event so many times, each copy under ids and users of its own;
+$BENCH_SKEW moves that share of all rows to one user. With either, only the operators that
+meet events user by user are timed, and on standard error each also shows the longest and the
+median task of its longest stage, read from Spark's event log.
 """
 
 import json
 import os
 import statistics
 import sys
+import tempfile
 import time
+from collections import defaultdict
 from datetime import date
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 import tidemark as tm
 from tidemark.operators import quality
@@ -22,6 +32,8 @@ from workload.fixture import raw_events
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = int(os.environ.get("BENCH_REPEATS", "5"))
+SCALE = int(os.environ.get("BENCH_SCALE", "1"))
+SKEW = float(os.environ.get("BENCH_SKEW", "0"))
 SLICE_DAY = date(2024, 1, 15)
 
 
@@ -35,7 +47,59 @@ def timed(action):
     return time.perf_counter() - started
 
 
+def enlarged(raw):
+    """The raw events $BENCH_SCALE times over, a share of $BENCH_SKEW with one user."""
+    copies = raw.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SCALE - 1))))
+    one = F.pmod(F.xxhash64("event_id", "copy"), F.lit(1000)) < round(1000 * SKEW)
+    user = F.when(F.col("user_id").isNull(), None).when(one, F.lit(0)).otherwise(F.col("user_id") * SCALE + F.col("copy"))
+    return copies.select(
+        (F.col("event_id") * SCALE + F.col("copy")).alias("event_id"), user.cast("bigint").alias("user_id"), *raw.columns[2:]
+    )
+
+
+def slowest_stage(log, since):
+    """Longest and median task, in seconds, of the stage that took longest since a time."""
+    tasks = defaultdict(list)
+    for line in log.open():
+        event = json.loads(line)
+        if event["Event"] == "SparkListenerTaskEnd" and event["Task Info"]["Launch Time"] >= since * 1000:
+            tasks[event["Stage ID"]].append(event["Task Metrics"]["Executor Run Time"] / 1000)
+    longest = max(tasks.values(), key=sum, default=[0.0])
+    return max(longest), statistics.median(longest)
+
+
+def skewed(spark, log, root) -> tuple[dict, dict]:
+    raw = tm.save_table(enlarged(raw_events(spark, SF_DIR)), f"{root}/raw")
+    events = tm.save_table(tm.clean_events(raw), f"{root}/events")
+    runs = {
+        "clean_events": lambda: noop(tm.clean_events(raw)),
+        "first_touch_users": lambda: noop(tm.first_touch_users(events)),
+        "sessionise_rows": lambda: noop(tm.sessionise(events)),
+        "session_summary": lambda: noop(tm.session_summary(events)),
+        "funnel": lambda: tm.funnel(events).collect(),
+        "retention": lambda: tm.retention(events, tm.first_touch_users(events)).collect(),
+        "quality_audit": lambda: tm.quality_audit(raw, events).collect(),
+    }
+    queries = {}
+    for name, run in runs.items():
+        run()
+        began = time.time()
+        queries[name] = round(statistics.median(timed(run) for _ in range(REPEATS)), 4)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        most, middle = slowest_stage(next(Path(log).iterdir()), began)
+        print(f"{name:24} {queries[name]:8.3f} s, longest task {most:.3f} s, median {middle:.3f} s", file=sys.stderr)
+    return queries, {"raw_events": raw.count(), "stg_events": events.count()}
+
+
 def main() -> None:
+    log = tempfile.mkdtemp(prefix="bench-log-")
+    logged = {
+        "spark__eventLog__enabled": "true",
+        "spark__eventLog__dir": f"file://{log}",
+        "spark__eventLog__compress": "false",
+        "spark__eventLog__rolling__enabled": "false",
+        "spark__eventLog__buffer__kb": "1k",
+    }
     spark = tm.build_session(
         "bench",
         master=f"local[{CPUS}]",
@@ -45,9 +109,12 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
         # The tables are small: keep one file and one task per core instead of one per MB.
         spark__sql__adaptive__coalescePartitions__minPartitionSize="64KB",
+        **(logged if SCALE > 1 or SKEW else {}),
     )
     spark.sparkContext.setLogLevel("ERROR")
     root = shared_dir(spark)
+    if SCALE > 1 or SKEW:
+        return report(*skewed(spark, log, root))
 
     raw = tm.save_table(raw_events(spark, SF_DIR), f"{root}/raw")
     device_raw = tm.save_table(raw_events(spark, SF_DIR, "device"), f"{root}/device_raw")
@@ -91,7 +158,12 @@ def main() -> None:
         queries[name] = round(statistics.median(timed(run) for _ in range(REPEATS)), 4)
         print(f"{name:24} {queries[name]:.4f}", file=sys.stderr)
     build_models(raw, f"{root}/warm")
-    queries["build_models"] = round(timed(lambda: build_models(raw, f"{root}/models")), 4)
+    again = [timed(lambda i=i: build_models(raw, f"{root}/models{i}")) for i in range(REPEATS)]
+    queries["build_models"] = round(statistics.median(again), 4)
+    report(queries, {"raw_events": raw.count(), "stg_events": base.count()})
+
+
+def report(queries: dict, rows: dict) -> None:
     print(
         json.dumps(
             {
@@ -100,7 +172,9 @@ def main() -> None:
                 "unit": "sec",
                 "queries": queries,
                 "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf") or 0),
-                "rows": {"raw_events": raw.count(), "stg_events": base.count()},
+                "scale": SCALE,
+                "skew": SKEW,
+                "rows": rows,
             }
         )
     )
