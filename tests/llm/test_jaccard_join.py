@@ -125,6 +125,34 @@ def test_one_of_each_component_stays(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_one_row_of_each_component_stays_whatever_the_ids(make_docs, monkeypatch, broadcast):
+    """Repeated and NULL ids: no unrelated text goes, no near copy stays."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", broadcast)
+
+    def text(name, edit=""):
+        return " ".join([*(f"{name}{i}" for i in range(40)), edit])
+
+    groups = [
+        [(3, text("a")), (5, text("a", "near")), (None, text("a", "other"))],
+        [(5, text("b"))],
+        [(7, text("c")), (7, text("c", "near"))],
+        [(None, text("d")), (None, text("d", "near"))],
+        [(8, text("e")), (8, text("e")), (9, text("e", "near"))],
+        [(None, text("f")), (5, text("f", "near")), (5, text("f", "near"))],
+        [(None, text("g"))],
+        [(5, "")], [(5, "")], [(None, None)], [(None, None)],
+    ]
+    docs = make_docs([r for g in groups for r in g], clashes=True)
+    kept = jaccard_join.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(left) == len(groups)
+    for group in groups:
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert any(row in left for row in group if row[0] == least)
+
+
 def test_an_empty_table(make_docs):
     none = make_docs([(1, "x")]).limit(0)
     assert jaccard_join.near_duplicates(none).count() == 0

@@ -38,7 +38,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, row_struct, slices, texts_of
@@ -61,7 +61,7 @@ CELL, LIST_ROWS = 2048, 1 << 16
 #: Ids up to this number go along with the tasks that read texts again.
 BROADCAST_IDS = 1_000_000
 
-PRINTS = "doc_id bigint, n bigint, cls bigint, bits binary, chunk int, part int"
+PRINTS = "doc_id bigint, key binary, n bigint, cls bigint, bits binary, chunk int, part int"
 KEYS = "key bigint, salt int, hot boolean, cls bigint, n int, place int"
 LISTED = "key bigint, cls bigint, n int, place int"
 SETS = "cls bigint, n bigint, wide binary, shingles binary"
@@ -127,15 +127,21 @@ def _parity(hashes: np.ndarray, bits: int) -> bytes:
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
+def _key(id_column: str, text_column: str) -> Column:
+    """128 bits of the SHA-256 of a row's id and text: rows that share it are copies."""
+    name = F.coalesce(F.col(id_column).cast("bigint").cast("string"), F.lit("null"))
+    whole = F.concat(name, F.lit(":"), F.coalesce(F.col(text_column), F.lit("")))
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
+
+
 def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """Per row of ``docs`` its id, size of set, class and bitmap; and the tasks' sketches, as rows
-    with a ``chunk``."""
+    """Per row of ``docs`` its id, key, size of set, class and bitmap; and the tasks' sketches, as
+    rows with a ``chunk``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, part = np.zeros(1 << SKETCH_BITS, "u4"), set(), TaskContext.get().partitionId()
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("part", pa.int32())]
-        )
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        schema = pa.schema(list(zip([c.split()[0] for c in PRINTS.split(", ")], kinds)))
         for batch in batches:
             for piece in slices(batch, "text"):
                 n, cls, bits = [], [], []
@@ -152,19 +158,21 @@ def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> Da
                         else:
                             sketch += np.bincount(slots, minlength=len(sketch)).astype("u4")
                 size = len(n)
-                columns = [piece.column("doc_id"), pa.array(n), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
+                columns = [piece.column("doc_id"), piece.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
                 nulls = pa.nulls(size, pa.int32())
                 yield pa.RecordBatch.from_arrays([*columns, nulls, nulls], schema=schema)
         if seen:
             chunks = sketch.reshape(-1, 1 << CHUNK_BITS).astype("<u4")
             size = len(chunks)
-            rows = [pa.nulls(size, pa.int64())] * 3
+            rows = [pa.nulls(size, kind) for kind in kinds[:4]]
             yield pa.RecordBatch.from_arrays(
                 [*rows, pa.array([c.tobytes() for c in chunks], pa.binary()), pa.array(range(size), pa.int32()), pa.array([part] * size, pa.int32())],
                 schema=schema,
             )
 
-    picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    picked = docs.select(
+        F.col(id_column).cast("bigint").alias("doc_id"), _key(id_column, text_column).alias("key"), F.col(text_column).alias("text")
+    )
     return materialise(map_arrow(picked, read, PRINTS), keep=True)
 
 
@@ -446,19 +454,23 @@ def near_duplicates(
     text_column: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    found = _found(docs, width, percent, id_column, text_column)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _found(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """Per row of ``docs`` its id, key, size of set and, unless it is empty, its component's label and id."""
     rule = Rule(percent)
     prints = _prints(docs, width, id_column, text_column)
     rows = prints.filter(F.col("chunk").isNull())
     with scratch(docs.sparkSession):
         of_class = materialise(_components(docs, prints, rows, rule, width, id_column, text_column), keep=True)
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
-    )
+    return rows.select("doc_id", "key", "n", "cls").join(of_class, "cls", "left")
 
 
 def _components(docs, prints, rows, rule, width, id_column, text_column) -> DataFrame:
-    """The component of every class that is not empty."""
+    """The component (label and smallest id) of every class that is not empty."""
     sketch = _sketch(prints)
     classes = rows.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"))
     classes = materialise(classes)
@@ -477,7 +489,7 @@ def _components(docs, prints, rows, rule, width, id_column, text_column) -> Data
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = materialise(named)
     smallest = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    return named.join(smallest, "label").select("cls", "component_id")
+    return named.join(smallest, "label").select("cls", "label", "component_id")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -521,13 +533,39 @@ def _heavy_links(
     return sure.unionByName(_checked(left, sets_of(left), rule))
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the one with the smallest id. Rows of a
-    component without any id all stay."""
-    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    small = gone.count() <= BROADCAST_IDS
-    kept = docs.select(row_struct(docs), F.col(id_column).alias("id")).join(
-        F.broadcast(gone) if small else gone, F.col("id") == F.col("gone"), "left_anti"
+def drop_near_duplicates(
+    docs: DataFrame,
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that stay: all empty ones, and of every component exactly one, with the
+    smallest id (a NULL id comes last; of rows that share the id, one)."""
+    found = _found(docs, width, percent, id_column, text_column)
+    with scratch(docs.sparkSession):
+        judged = materialise(_judged(found), keep=True)
+    small = judged.count() <= BROADCAST_IDS
+    met = docs.select(row_struct(docs), _key(id_column, text_column).alias("key")).join(
+        F.broadcast(judged) if small else judged, "key", "left"
     )
-    return kept.select("row.*")
+    kept = met.filter(F.col("first").isNull()).select("row.*")
+    if judged.filter("first").limit(1).count():
+        # By a struct, which the join is not dealt by: copies are cut to one per task before they shuffle.
+        copies = Window.partitionBy(F.struct("key")).orderBy("key")
+        firsts = met.filter("first").withColumn("n", F.row_number().over(copies)).filter("n = 1")
+        kept = kept.unionByName(firsts.select("row.*"))
+    return kept
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """The keys of which not every row stays: none, or one of several copies (``first``)."""
+    keys = found.filter(F.col("label").isNotNull()).groupBy("label", "doc_id", "key").agg(F.count("*").alias("copies"))
+    keys = materialise(keys)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    several = keys.groupBy("label").agg(F.min(order).alias("least"), F.sum("copies").alias("rows")).filter("rows > 1")
+    several = materialise(several.select("label", F.col("least.key").alias("least")))
+    if several.count() <= BROADCAST_IDS:
+        several = F.broadcast(several)
+    first = F.col("key") == F.col("least")
+    return keys.join(several, "label").filter(~first | (F.col("copies") > 1)).select("key", first.alias("first"))
