@@ -72,3 +72,21 @@ def test_empty_table(spark):
 def test_repeated_rows(spark, k):
     rows = [(i % 60, [float(i % 7), float(i % 5)]) for i in range(60)] + [(61, [1.0, 1.0])] * 3
     check(spark, rows, k=k, every=30)
+
+
+def test_unscaled_vectors_take_part(spark):
+    rng = random.Random(4)
+    scales = (1.0, 3e5, 1e6, 2e6)
+    check(spark, [(i, [rng.uniform(-1, 1) * rng.choice(scales) for _ in range(6)]) for i in range(150)], k=4, every=10)
+
+
+def test_products_of_more_than_64_bits_may_cancel(spark):
+    big = 2.0**40
+    rows = [(0, [big, big]), (1, [big, -big]), (2, [-big, big]), (3, [3 * big, -3 * big]), (4, [0.5, -0.5]), (5, [2.0**5, 2.0**6])]
+    check(spark, rows + [(6, [2.0**6 - 2.0**-16, 2.0**6 - 2.0**-16]), (7, [-(2.0**6), -(2.0**6)])], k=3)
+
+
+def test_a_score_that_does_not_fit_is_an_error(spark):
+    table = spark.createDataFrame([(0, [2.0**30, 1.0], 0, 1, "x", 2), (1, [2.0**30, 1.0], 0, 1, "x", 2)], SCHEMA)
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(table).collect()

@@ -13,9 +13,9 @@ that reach the kth score a task likewise sends the k best by score and id, which
 part that the result can hold. A vector that a third of all rows share therefore costs k rows
 per task and query, not a row per copy.
 
-Vectors that are NULL, hold a NULL or non-finite component, or one whose integer is ``LIMIT``
-or more away from 0 (so that no sum of up to 1,024 products leaves 64 bits) take no part, nor
-do rows without an id. Vectors are compared with those of the same length only. Every row whose
+Vectors that are NULL, hold a NULL or non-finite component, or one whose integer is no 64-bit
+number (``LIMIT`` or more away from 0) take no part, nor do rows without an id. Scores are exact
+over all 64 bits; one that does not fit them is an error, not a row less. Vectors are compared with those of the same length only. Every row whose
 id is divisible by ``every`` is a query; rows that have its id are not its candidates. With
 fewer than k candidates all of them are returned; an empty table gives an empty result.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow
 from tidemark.sources.tables import materialise, scratch
 
-LIMIT = 1 << 26
+LIMIT = 1 << 63
 BINS = 1024
 #: Vectors of a block of candidates, and of queries.
 BLOCK = 2048
@@ -39,11 +39,11 @@ QUERY_BLOCK = 512
 #: Blocks of either kind that meet in one group, and slices of candidates at least.
 GROUP_BLOCKS = 16
 SLICES = 64
-#: Below every score.
-BOTTOM = -(1 << 62)
+#: The least score.
+BOTTOM = -(1 << 63)
 
 BLOCKS = "dim int, block bigint, ids binary, vectors binary"
-HISTOGRAM = "dim int, block bigint, place int, low bigint, width bigint, bin int, n bigint"
+HISTOGRAM = "dim int, block bigint, place int, bin int, low bigint, high bigint, n bigint"
 HITS = "dim int, block bigint, place int, query_id bigint, vec_id bigint, score bigint"
 
 
@@ -54,10 +54,10 @@ def integer_vectors(table: DataFrame, id_column: str = "vec_id", vector_column:
         return 256 * x.cast("double")
 
     def usable(x: Column) -> Column:
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < LIMIT)
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < float(LIMIT))
 
     fit = F.coalesce(F.forall(F.col(vector_column), usable), F.lit(False))
-    whole = F.transform(F.col(vector_column), lambda x: F.floor(scaled(x)).cast("int"))
+    whole = F.transform(F.col(vector_column), lambda x: F.floor(scaled(x)))
     rows = table.filter(F.col(id_column).isNotNull() & fit)
     return rows.select(
         F.col(id_column).cast("bigint").alias("id"), whole.alias("vector"), F.size(vector_column).alias("dim")
@@ -73,7 +73,9 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
 
         def block(dim: int) -> pa.RecordBatch:
             ids, data = zip(*held.pop(dim))
-            row = ([dim], [next(numbers)], [np.concatenate(ids).astype("<i8").tobytes()], [np.concatenate(data).astype("<i4").tobytes()])
+            whole = np.concatenate(data)
+            small = not whole.size or max(int(whole.max()), -int(whole.min())) < 1 << 31
+            row = ([dim], [next(numbers)], [np.concatenate(ids).astype("<i8").tobytes()], [whole.astype("<i4" if small else "<i8").tobytes()])
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, kinds)], names=["dim", "block", "ids", "vectors"]
@@ -95,14 +97,34 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
     return materialise(map_arrow(vectors.select("dim", "id", "vector"), pack, BLOCKS))
 
 
-def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def _matrix(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    """The vectors of a block, which has 4 bytes a component, or 8 where one needs them."""
+    size = len(raw) // (rows * dim) if rows and dim else 8
+    return np.frombuffer(raw, f"<i{size}").reshape(rows, dim).astype("i8")
+
+
+def _products(queries: np.ndarray, vectors: np.ndarray, qids: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Exact integer inner products; in doubles where no partial sum can pass 2**53."""
     if not queries.size or not vectors.size:
         return np.zeros((len(queries), len(vectors)), "i8")
     largest = int(np.abs(queries).max()) * int(np.abs(vectors).max())
     if largest * queries.shape[1] < 1 << 53:
         return (queries.astype("f8") @ vectors.astype("f8").T).astype("i8")
-    return queries @ vectors.T
+    # Right modulo 2**64, and so right where the score fits.
+    scores = queries @ vectors.T
+    if largest * queries.shape[1] >= 1 << 63:
+        _check_fit(queries, vectors, qids[:, None] != ids[None, :])
+    return scores
+
+
+def _check_fit(queries: np.ndarray, vectors: np.ndarray, asked: np.ndarray) -> None:
+    """An error if the score of an ``asked`` pair passes 64 bits. Doubles tell for most pairs; the others are summed exactly."""
+    a, b = queries.astype("f8"), vectors.astype("f8")
+    slack = (np.abs(a) @ np.abs(b).T) * (2 * (queries.shape[1] + 4) * 2.0**-53)
+    for i, j in zip(*np.nonzero(asked & (np.abs(a @ b.T) + slack >= 2.0**62))):
+        score = sum(x * y for x, y in zip(queries[i].tolist(), vectors[j].tolist()))
+        if not BOTTOM <= score < -BOTTOM:
+            raise OverflowError(f"a score does not fit 64 bits: {score}")
 
 
 def _blocks(cells: pa.Table, queries: pa.Table) -> Iterator[tuple[dict, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -110,13 +132,12 @@ def _blocks(cells: pa.Table, queries: pa.Table) -> Iterator[tuple[dict, np.ndarr
     held = cells.select(["dim", "ids", "vectors"]).to_pylist()
     for query in queries.to_pylist():
         dim, qids = query["dim"], np.frombuffer(query["ids"], "<i8")
-        matrix = np.frombuffer(query["vectors"], "<i4").reshape(len(qids), dim).astype("i8")
+        matrix = _matrix(query["vectors"], len(qids), dim)
 
         def scored():
             for cell in held:
                 ids = np.frombuffer(cell["ids"], "<i8")
-                vectors = np.frombuffer(cell["vectors"], "<i4").reshape(len(ids), dim).astype("i8")
-                yield ids, _products(matrix, vectors)
+                yield ids, _products(matrix, _matrix(cell["vectors"], len(ids), dim), qids, ids)
 
         yield query, qids, scored()
 
@@ -128,28 +149,33 @@ def _count(k: int):
         parts = []
         for query, qids, scored in _blocks(cells, queries):
             low, high = np.array(query["low"], "i8"), np.array(query["high"], "i8")
-            width = np.maximum(1, -(-(high - low) // BINS))
+            # As unsigned numbers, as a range may be all of 64 bits.
+            span = (high - low).view("u8")
+            width = span // np.uint64(BINS) + np.uint64(1)
             n = len(qids)
             # One bin each for what is below the range (the first) and above it (the last).
             counts = np.zeros((n, BINS + 2), "i8")
             for ids, scores in scored:
-                bins = np.clip((scores - low[:, None]) // width[:, None], -1, BINS - 1) + 1
-                bins[scores >= high[:, None]] = BINS + 1
+                bins = ((scores - low[:, None]).view("u8") // width[:, None]).view("i8") + 1
+                bins[scores < low[:, None]] = 0
+                bins[scores > high[:, None]] = BINS + 1
                 bins[qids[:, None] == ids[None, :]] = 0
                 flat = bins + np.arange(n)[:, None] * (BINS + 2)
                 counts += np.bincount(flat.ravel(), minlength=counts.size).reshape(counts.shape)
             counts = counts[:, 1:]
             above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
             place, bins = np.nonzero((counts > 0) & (above < k))
+            first = bins.astype("u8") * width[place]
+            last = np.minimum(first + width[place] - np.uint64(1), span[place])
             parts.append(
                 pa.table(
                     {
                         "dim": np.full(len(place), query["dim"], "i4"),
                         "block": np.full(len(place), query["block"], "i8"),
                         "place": place.astype("i4"),
-                        "low": low[place],
-                        "width": width[place],
                         "bin": bins.astype("i4"),
+                        "low": (low[place].view("u8") + first).view("i8"),
+                        "high": (low[place].view("u8") + last).view("i8"),
                         "n": counts[place, bins],
                     }
                 )
@@ -188,7 +214,7 @@ def _keep(k: int):
 
 
 def _best(place: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((ids, -scores, place))
+    order = np.lexsort((ids, ~scores, place))
     place, ids, scores = place[order], ids[order], scores[order]
     top = np.arange(len(place)) - np.searchsorted(place, place) < k
     return place[top], ids[top], scores[top]
@@ -236,8 +262,8 @@ def _top_k(table: DataFrame, k: int, every: int, id_column: str, vector_column:
         return cells.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(function, schema)
 
     state = materialise(_first_ranges(queries, vectors))
-    widest = F.max(F.array_max(F.zip_with("high", "low", lambda h, l: h - l)))
-    while (state.select(widest).first()[0] or 0) > 1:
+    wide = F.exists(F.zip_with("high", "low", lambda h, l: h > l), lambda x: x)
+    while state.filter(wide).limit(1).count():
         state = materialise(_narrowed(state, met(state, _count(k), HISTOGRAM), k))
     hits = met(state, _keep(k), HITS)
     per_query = Window.partitionBy("dim", "block", "place").orderBy(F.col("score").desc(), "vec_id")
@@ -246,18 +272,18 @@ def _top_k(table: DataFrame, k: int, every: int, id_column: str, vector_column:
 
 
 def _first_ranges(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Adds the range of all scores a query may have: its sum of absolute components times the
-    largest component of any vector."""
+    """Adds the range of all scores a query may have, both ends included: its sum of absolute
+    components times the largest component of any vector, or all 64 bits."""
     largest = vectors.select(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 0
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reach = []
             for row in batch.to_pylist():
-                matrix = np.frombuffer(row["vectors"], "<i4").astype("i8").reshape(-1, row["dim"]) if row["dim"] else np.zeros((len(row["ids"]) // 8, 0), "i8")
-                reach.append(np.abs(matrix).sum(axis=1) * largest)
+                matrix = _matrix(row["vectors"], len(row["ids"]) // 8, row["dim"])
+                reach.append([min(sum(v) * largest, -BOTTOM - 1) for v in np.abs(matrix).tolist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([-r for r in reach], pa.list_(pa.int64())), pa.array([r + 1 for r in reach], pa.list_(pa.int64()))],
+                [*batch.columns, pa.array([[-x - (x == -BOTTOM - 1) for x in r] for r in reach], pa.list_(pa.int64())), pa.array(reach, pa.list_(pa.int64()))],
                 names=[*batch.schema.names, "low", "high"],
             )
 
@@ -267,18 +293,17 @@ def _first_ranges(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 def _narrowed(state: DataFrame, counted: DataFrame, k: int) -> DataFrame:
     """The state with each query's range cut to the bin that holds its kth score."""
     query = ("dim", "block", "place")
-    sums = counted.groupBy(*query, "low", "width", "bin").agg(F.sum("n").alias("n"))
+    sums = counted.groupBy(*query, "bin", "low", "high").agg(F.sum("n").alias("n"))
     from_top = Window.partitionBy(*query).orderBy(F.col("bin").desc())
     reached = sums.withColumn("reached", F.sum("n").over(from_top))
     holds = reached.filter((F.col("reached") >= k) & (F.col("reached") - F.col("n") < k))
-    start = F.col("low") + F.col("bin") * F.col("width")
     ranges = holds.groupBy("dim", "block").agg(
         F.map_from_entries(
-            F.collect_list(F.struct("place", F.struct(start.alias("low"), (start + F.col("width")).alias("high"))))
+            F.collect_list(F.struct("place", F.struct("low", "high")))
         ).alias("ranges")
     )
     # A query that never reaches k has fewer candidates: all of them are its result.
-    all_scores = F.struct(F.lit(BOTTOM).alias("low"), F.lit(BOTTOM + 1).alias("high"))
+    all_scores = F.struct(F.lit(BOTTOM).alias("low"), F.lit(BOTTOM).alias("high"))
     places = F.sequence(F.lit(0), F.size("low") - 1)
     found = F.transform(places, lambda p: F.coalesce(F.try_element_at(F.col("ranges"), p), all_scores))
     met = state.join(ranges, ["dim", "block"], "left")
