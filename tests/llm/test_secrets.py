@@ -119,3 +119,11 @@ def test_nothing_to_learn_from(make_docs):
     got = secrets.scan(docs, blank).collect()
     assert sorted(r.spans for r in got) == ["", "assign:2:24"]
     assert secrets.scan(docs.limit(0), blank).count() == 0
+
+
+def test_hex_runs_across_the_cuts_of_a_text():
+    cut = 2 * secrets.PART
+    short = "z" * (cut - 10) + "0123456789abcdef0123" + "z"
+    texts = ["a" * (cut + 8), short, "z" * cut + "f" * 16, "z" * (cut - 4) + "f" * 15 + "z"]
+    got = [base for base, _ in secrets.scan_texts(texts, secrets.Field.blank())]
+    assert got == [[(0, 2, cut + 8)], [(cut - 10, 2, cut + 10)], [(cut, 2, cut + 16)], []]

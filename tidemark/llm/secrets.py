@@ -57,6 +57,7 @@ SPANS = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base str
 
 _ASSIGN = re.compile(ASSIGN, re.I | re.A)
 _ACCESS = re.compile(ACCESS)
+_HEX = re.compile(rf"{HEX[:-1]}{{{LEAST['hex']},}}")
 
 
 @cache
@@ -374,20 +375,18 @@ def _parts(text: str) -> Iterator[tuple[int, str]]:
 
 def scan_texts(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int]]]]:
     """Per text the patterns' spans (start, kind, end) and the spans that the field adds."""
-    tokens, owners, offsets = [], [], []
+    tokens, owners, offsets, hexes = [], [], [], []
     for i, text in enumerate(texts):
         for offset, part in _parts(text):
             tokens.append(Tokens(part))
             owners.append(i)
             offsets.append(offset)
-    hexes: list[list[tuple[int, int]]] = [[] for _ in texts]
+        # A run may lie across the cuts of a text.
+        whole = bool(text) and len(part) == len(text)
+        hexes.append(tokens[-1].hexes if whole else [m.span() for m in _HEX.finditer(text)])
     added: list[list[tuple[int, int]]] = [[] for _ in texts]
     paths = viterbi([field.emissions(t.features) for t in tokens], field.moves)
     for t, i, offset, path in zip(tokens, owners, offsets, paths):
-        for a, b in t.hexes:
-            if hexes[i] and hexes[i][-1][1] == offset + a:  # one run across a cut
-                a, b = hexes[i].pop()[0] - offset, b
-            hexes[i].append((offset + a, offset + b))
         inside = path != OUTSIDE
         if inside.any():
             edges = np.concatenate([[False], inside, [False]])
