@@ -153,6 +153,22 @@ def test_one_row_of_each_component_stays_whatever_the_ids(make_docs, monkeypatch
         assert any(row in left for row in group if row[0] == least)
 
 
+def test_texts_that_share_an_id_are_read_once(make_docs, monkeypatch):
+    """A text is fetched by itself, not with every other of its id."""
+    read, map_ = [], jaccard_join.map_arrow
+
+    def counted(df, function, schema):
+        if schema == jaccard_join.SETS:
+            read.append(df.count())
+        return map_(df, function, schema)
+
+    monkeypatch.setattr(jaccard_join, "map_arrow", counted)
+    texts = [" ".join([*(f"{k}w{i}" for i in range(60)), *edit]) for k in range(12) for edit in ([], ["near"])]
+    rows = [(i, t) for t in texts for i in (7, None)][::2] + [(None, t) for t in texts[:6]] + [(7, texts[0])]
+    check(make_docs, rows)
+    assert read and max(read) <= 2 * len(texts)
+
+
 def test_an_empty_table(make_docs):
     none = make_docs([(1, "x")]).limit(0)
     assert jaccard_join.near_duplicates(none).count() == 0

@@ -386,15 +386,19 @@ def _candidates(cells: DataFrame, rule: Rule, boundary: int, forest: bool) -> Da
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """The whole sets of the classes ``wanted`` (cls, doc_id), from one text of each, saved."""
+    """The whole sets of the classes ``wanted`` (cls, text_key), from one text of each, saved."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 rows = []
                 for cls, text in zip(piece.column("cls").to_pylist(), texts_of(piece.column("text"))):
+                    if cls in seen:
+                        continue
                     hashes = shingle_set(text, width)
                     if set_digest(hashes) == cls:
+                        seen.add(cls)
                         wide = _parity(hashes, WIDE_BITS) if len(hashes) > BITS else b""
                         rows.append((cls, len(hashes), wide, hashes.astype("<u8").tobytes()))
                 columns = zip(*rows) if rows else ((), (), (), ())
@@ -403,14 +407,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_c
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=["cls", "n", "wide", "shingles"]
                 )
 
-    def key(column: Column) -> Column:
-        return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))
-
-    wanted = materialise(wanted.select("cls", key(F.col("doc_id")).alias("id_key")))
-    if wanted.count() <= BROADCAST_IDS:
+    wanted = materialise(wanted.select("cls", "text_key"))
+    classes = wanted.count()
+    if classes <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    picked = docs.select(key(F.col(id_column).cast("bigint")).alias("id_key"), F.col(text_column).alias("text"))
-    return materialise(map_arrow(picked.join(wanted, "id_key").select("cls", "text"), read, SETS))
+    picked = docs.select(F.xxhash64(_key(id_column, text_column)).alias("text_key"), F.col(text_column).alias("text"))
+    sets = materialise(map_arrow(picked.join(wanted, "text_key").select("cls", "text"), read, SETS))
+    # Copies with one id are read by several tasks.
+    return sets if sets.count() <= classes else materialise(sets.dropDuplicates(["cls"]))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -472,7 +476,9 @@ def _found(docs: DataFrame, width: int, percent: int, id_column: str, text_colum
 def _components(docs, prints, rows, rule, width, id_column, text_column) -> DataFrame:
     """The component (label and smallest id) of every class that is not empty."""
     sketch = _sketch(prints)
-    classes = rows.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.filter("n > 0").groupBy("cls", "n").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("key")).alias("text_key")
+    )
     classes = materialise(classes)
     counted = classes.filter(F.col("n") <= rule.largest(LARGEST_LIGHT)).groupBy("n").count().collect()
     boundary = best_boundary({r["n"]: r["count"] for r in counted}, sketch, rule)
