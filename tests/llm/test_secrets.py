@@ -127,3 +127,11 @@ def test_hex_runs_across_the_cuts_of_a_text():
     texts = ["a" * (cut + 8), short, "z" * cut + "f" * 16, "z" * (cut - 4) + "f" * 15 + "z"]
     got = [base for base, _ in secrets.scan_texts(texts, secrets.Field.blank())]
     assert got == [[(0, 2, cut + 8)], [(cut - 10, 2, cut + 10)], [(cut, 2, cut + 16)], []]
+
+
+def test_windows_are_picked_from_the_whole_text(monkeypatch):
+    secrets._powers()  # cached at its full size
+    monkeypatch.setattr(secrets, "PART", 4096)
+    text = "plain words here " * 2000 + "password = abcdef0123456789XYZ " + "more of them " * 2000
+    windows = secrets.tagged_windows(text, np.random.default_rng(1))
+    assert any((tags == secrets.BEGIN).any() for _, tags in windows)

@@ -314,18 +314,34 @@ def _expected(scores: np.ndarray, moves: np.ndarray, on: np.ndarray) -> tuple[np
 
 def tagged_windows(text: str, rng: np.random.Generator) -> list[tuple[list[np.ndarray], np.ndarray]]:
     """Windows of a text to learn from: around the patterns' matches, and others."""
-    text = text[:PART]
-    tokens = Tokens(text)
-    count = len(tokens.start)
+    _, values = base_spans(text, [m.span() for m in _HEX.finditer(text)])
+
+    def tagged(offset: int, part: str) -> tuple[Tokens, np.ndarray]:
+        end, tokens = offset + len(part), Tokens(part)
+        own = [(max(a, offset) - offset, min(b, end) - offset) for a, b in values if a < end and b > offset]
+        return tokens, _tags(tokens, own)
+
+    # Tokens of a long text are made twice, so that those of one part are held at a time.
+    counts, begins = [0], []
+    for offset, part in _parts(text):
+        tokens, tags = tagged(offset, part)
+        begins.append(np.flatnonzero(tags == BEGIN) + counts[-1])
+        counts.append(counts[-1] + len(tokens.start))
+    count = counts[-1]
     if not count:
         return []
-    _, values = base_spans(text, tokens.hexes)
-    tags = _tags(tokens, values)
-    begins = np.flatnonzero(tags == BEGIN)
+    begins = np.concatenate(begins)
     middles = begins[np.linspace(0, len(begins) - 1, min(len(begins), WINDOWS)).astype(int)] if len(begins) else begins
-    starts = [max(0, int(m) - WINDOW // 2) for m in middles]
+    # Of a window around a match, the part that holds the match.
+    starts = [max(counts[np.searchsorted(counts, m, side="right") - 1], int(m) - WINDOW // 2) for m in middles]
     starts += rng.integers(0, max(1, count - WINDOW), max(1, WINDOWS - len(starts))).tolist()
-    return [([f[s : s + WINDOW] for f in tokens.features], tags[s : s + WINDOW]) for s in dict.fromkeys(starts)]
+    found = {}
+    for (offset, part), first, last in zip(_parts(text), counts, counts[1:]):
+        wanted = [s for s in dict.fromkeys(starts) if first <= s < last]
+        if wanted:
+            tokens, tags = tagged(offset, part)
+            found |= {s: ([f[s - first : s - first + WINDOW] for f in tokens.features], tags[s - first : s - first + WINDOW]) for s in wanted}
+    return [found[s] for s in dict.fromkeys(starts)]
 
 
 def _tags(tokens: Tokens, values: list[tuple[int, int]]) -> np.ndarray:
