@@ -101,10 +101,114 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM prints WINDOW same AS (PARTITION BY text_sha256)
 """
 
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """A codebook table per round; ``nearest_r`` has the parts' entries in codebook ``r``."""
+    steps = [
+        f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cut AS MATERIALIZED (
+  SELECT r, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS s
+  FROM kept, range({parts}) AS parts(p)
+),
+firsts AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept),
+book_0 AS MATERIALIZED (SELECT p, e, s FROM cut JOIN firsts USING (r) WHERE e < {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""
+nearest_{i} AS MATERIALIZED (
+  SELECT r, p, any_value(c.s) AS s, min({{'d': CAST(coalesce(list_sum(list_transform(range(1, len(c.s) + 1),
+    lambda j: (c.s[j] - b.s[j]) * (c.s[j] - b.s[j]))), 0) AS BIGINT), 'e': e}}) AS best
+  FROM cut c JOIN book_{i} b USING (p) GROUP BY r, p
+)""")
+        if i < rounds:
+            steps.append(f"""
+mean_{i} AS (
+  SELECT p, best.e AS e, j, CAST(floor(CAST(sum(s[j]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+  FROM nearest_{i}, unnest(range(1, len(s) + 1)) AS places(j) GROUP BY p, best.e, j
+),
+book_{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.s, b.s) AS s
+  FROM book_{i} b LEFT JOIN (SELECT p, e, list(m ORDER BY j) AS s FROM mean_{i} GROUP BY p, e) n USING (p, e)
+)""")
+    return f"""WITH {",".join(steps)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM nearest_{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) FROM book_{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+OP12 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+failing AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS e
+  FROM texts
+),
+flags AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+masks AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failing LEFT JOIN flags USING (doc_id) GROUP BY part, a, b, c, d, e
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT concat(p.f, q.f, r.f, s.f, u.f) AS filter_order
+  FROM letters p JOIN letters q ON q.f <> p.f JOIN letters r ON r.f NOT IN (p.f, q.f)
+    JOIN letters s ON s.f NOT IN (p.f, q.f, r.f) JOIN letters u ON u.f NOT IN (p.f, q.f, r.f, s.f)
+),
+gone AS (
+  SELECT m.*, filter_order, least(
+      CASE WHEN a THEN strpos(filter_order, 'A') ELSE 6 END, CASE WHEN b THEN strpos(filter_order, 'B') ELSE 6 END,
+      CASE WHEN c THEN strpos(filter_order, 'C') ELSE 6 END, CASE WHEN d THEN strpos(filter_order, 'D') ELSE 6 END,
+      CASE WHEN e THEN strpos(filter_order, 'E') ELSE 6 END) AS place
+  FROM masks m CROSS JOIN orders
+),
+steps AS (
+  SELECT *, substr(filter_order, step, 1) AS f,
+    CASE substr(filter_order, step, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+    CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) + CAST(d AS INTEGER) + CAST(e AS INTEGER) AS failures
+  FROM gone, range(1, 6) AS numbers(step)
+),
+counted AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, f,
+    sum(CASE WHEN place > step THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN place = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND place < step THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails AND failures = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN place = step THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN place = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLES = {
     "op1_topk": OP1,
     "op7_jaccard_join": OP7,
     "op8_mixing": OP8,
     "op9_exact_dedup": OP9,
     "op10_warc": OP10,
+    "op11_vector_codes": _op11(),
+    "op12_filter_audit": OP12,
 }

@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, jaccard_join, language, mixing, packing, secrets, token_files, topk, toxicity, warc
+from tidemark.llm import (
+    exact_dedup,
+    filter_audit,
+    fingerprints,
+    jaccard_join,
+    language,
+    mixing,
+    packing,
+    secrets,
+    token_files,
+    topk,
+    toxicity,
+    vector_codes,
+    warc,
+)
 from tidemark.llm.common import table
 from tidemark.llm.encoding import public_path
 from tidemark.sources.tables import shared_dir
@@ -76,9 +90,36 @@ def op10_warc(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.sha256())
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    masked = filter_audit.document_failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.weigh(masked, table(spark, sf_dir, "labels")))
+
+
+def op13_fingerprints(spark, sf_dir):
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_topk, op2_toxicity, op3_token_files, op4_language, op5_packing, op6_secrets, op7_jaccard_join, op8_mixing, op9_exact_dedup, op10_warc
+        op1_topk,
+        op2_toxicity,
+        op3_token_files,
+        op4_language,
+        op5_packing,
+        op6_secrets,
+        op7_jaccard_join,
+        op8_mixing,
+        op9_exact_dedup,
+        op10_warc,
+        op11_vector_codes,
+        op12_filter_audit,
+        op13_fingerprints,
     )
 }
