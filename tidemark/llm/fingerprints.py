@@ -10,8 +10,8 @@ and sample, so it stands for what was picked, and a fingerprint is 16 bits of it
 likeness of two fingerprints is the share of samples that agree; its standard error is at most
 0.5 / sqrt(samples).
 
-The gamma draws come from two tables of 65,536 draws each, made of uniform hashes (one row, a scalar
-subquery); the hash of shingle and sample picks from both by 16 bits each and gives b by 32. A sample
+The gamma draws come from two tables of 4,096 draws each, made of uniform hashes (one row, a scalar
+subquery); the hash of shingle and sample picks from both by 12 bits each and gives b by 32. A sample
 is a ``min`` of doubles per text, beside the shingles' generator in the same stage: shingles
 never shuffle.
 
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import materialise, scratch
 
-WIDTH, SAMPLES = 5, 64
-TABLE_BITS = 16
+WIDTH, SAMPLES = 5, 32
+TABLE_BITS = 12
 #: Copies that one task writes out of one row.
 PIECE = 10_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -86,9 +86,12 @@ def weighted_shingles(text: Column, width: int = WIDTH) -> Column:
         end = F.coalesce(F.get(at, j + 1), F.size(sorted_))
         return F.struct(F.get(sorted_, s).alias("term"), (end - s).alias("n"))
 
-    none = F.array().cast("array<struct<term:bigint,n:int>>")
-    counted = _let(F.sort_array(_let(words, shingles)), lambda s: F.when(F.size(s) == 0, none).otherwise(starts(s)))
-    return counted
+    def counted(found: Column) -> Column:
+        once = F.transform(found, lambda x: F.struct(x.alias("term"), F.lit(1).alias("n")))
+        repeats = F.size(F.array_distinct(found)) < F.size(found)
+        return F.when(repeats, _let(F.sort_array(found), starts)).otherwise(once)
+
+    return _let(_let(words, shingles), counted)
 
 
 def _samples(samples: int) -> list[Column]:
