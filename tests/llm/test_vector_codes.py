@@ -1,0 +1,124 @@
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from documents_fixture import make_docs  # noqa: F401
+from tidemark.llm import vector_codes
+
+SCHEMA = "id int, embedding array<float>, label int, vec_id bigint, code string, error int, of int, part int"
+
+
+def table(spark, rows):
+    """Vectors from (vec_id, vector, label), among columns with the names that the operator uses."""
+    return spark.createDataFrame([(9, v, label, i, "c", 1, 2, 3) for i, v, label in rows], SCHEMA).repartition(3)
+
+
+def brute(rows, parts=8, entries=16, rounds=6):
+    """In Python's integers, row by row."""
+    kept = [
+        (i, [math.floor(4096 * float(np.float32(x))) for x in v], label)
+        for i, v, label in rows
+        if v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    if not kept:
+        return [], ""
+    width = len(kept[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in kept]
+    first = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1]))[:entries]
+    books = [[list(cut[k][p]) for k in first] for p in range(parts)]
+
+    def nearest(p, v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, entry)), e) for e, entry in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own = {}
+            for c in cut:
+                own.setdefault(nearest(p, c[p])[1], []).append(c[p])
+            for e, vectors in own.items():
+                books[p][e] = [sum(x) // len(vectors) for x in zip(*vectors)]
+    found, errors = [], {}
+    for (i, _, label), c in zip(kept, cut):
+        best = [nearest(p, c[p]) for p in range(parts)]
+        error = sum(d for d, _ in best)
+        errors[label] = errors.get(label, 0) + error
+        found.append((i, "".join(f"{e:02x}" for _, e in best), error, label))
+    text = ",".join(str(x) for book in books for entry in book for x in entry)
+    return sorted([(i, c, e, errors[label]) for i, c, e, label in found], key=str), hashlib.sha256(text.encode()).hexdigest()
+
+
+def run(df, **more):
+    coded, books = vector_codes.compress(df, **more)
+    assert coded.columns == ["id", "label", "code", "error", "label_error"]
+    return sorted([(r.id, r.code, r.error, r.label_error) for r in coded.collect()], key=str), books
+
+
+def vectors(n, dims, seed):
+    draw = random.Random(seed)
+    centres = [[draw.gauss(0, 0.3) for _ in range(dims)] for _ in range(7)]
+    return [(i, [x + draw.gauss(0, 0.02) for x in draw.choice(centres)], draw.choice([1, 2, None])) for i in range(n)]
+
+
+ODD = [
+    (100, None, 1), (101, [], 1), (102, [None] * 16, 2), (103, [math.nan] * 16, 2), (104, [0.5] * 15 + [math.inf], None),
+    (3, [0.25] * 16, 1), (3, [0.25] * 16, 1), (3, [-0.25] * 16, 5), (None, [0.1] * 16, 5), (None, [-7.0] * 16, None), (0, [0.0] * 16, 2),
+]
+
+
+@pytest.mark.parametrize("dims, n", [(16, 150), (64, 40), (8, 5), (16, 16)])
+def test_codes_and_codebooks_by_brute_force(spark, dims, n):
+    rows = vectors(n, dims, n)
+    got, books = run(table(spark, rows))
+    want, digest = brute(rows)
+    assert got == want and books.sha256() == digest
+
+
+def test_null_odd_repeated_and_tied_vectors(spark):
+    rows = [r for r in ODD if r[1] != []] + vectors(40, 16, 1)
+    got, books = run(table(spark, rows))
+    assert (got, books.sha256()) == brute(rows)
+
+
+def test_small_blocks_and_other_sizes(spark, monkeypatch):
+    monkeypatch.setattr(vector_codes, "BLOCK_ROWS", 3)
+    rows = vectors(50, 12, 4)
+    got, books = run(table(spark, rows), parts=4, entries=5, rounds=2)
+    assert (got, books.sha256()) == brute(rows, 4, 5, 2)
+    assert books.decode(got[0][1]).shape == (12,)
+
+
+def test_decoded_vectors_are_as_far_as_the_error_says(spark):
+    rows = vectors(80, 16, 6)
+    coded, books = vector_codes.compress(table(spark, rows))
+    plain = {i: np.floor(4096 * np.array(v, "f4").astype("f8")) for i, v, _ in rows}
+    for r in coded.collect():
+        assert ((plain[r.id] - books.decode(r.code) * 4096) ** 2).sum() == r.error
+
+
+def test_a_hot_label_and_vector(spark):
+    rows = vectors(60, 16, 7) + [(i, [0.125] * 16, 9) for i in range(1000, 1400)]
+    got, books = run(table(spark, rows))
+    assert (got, books.sha256()) == brute(rows)
+
+
+def test_no_vectors_at_all(spark):
+    for rows in ([], [(1, None, 1)], [(2, [math.nan] * 8, None)]):
+        got, books = run(table(spark, rows))
+        assert got == [] and books.entries.shape == (8, 0, 0)
+
+
+def test_empty_vectors_have_parts_without_components(spark):
+    got, _ = run(table(spark, [(1, [], 1), (2, [], None)]))
+    assert got == [(1, "00" * 8, 0, 0), (2, "00" * 8, 0, 0)]
+
+
+def test_what_has_no_code_is_an_error(spark):
+    with pytest.raises(ValueError):
+        vector_codes.compress(table(spark, [(1, [0.0] * 9, 1)]))
+    with pytest.raises(Exception, match="components were expected"):
+        vector_codes.compress(table(spark, vectors(20, 8, 1) + [(99, [0.0] * 16, 1)]))
+    with pytest.raises(Exception, match="63 bits"):
+        vector_codes.compress(table(spark, vectors(20, 8, 1) + [(99, [1e30] * 8, 1)]))
