@@ -211,3 +211,20 @@ def test_a_repeated_step_counts_at_both_places(make_events):
     got = [(r.step_index, r.step, r.users_reached) for r in tm.funnel(events, steps=steps).collect()]
     assert got == [(1, "signup", 2), (2, "activate", 2), (3, "signup", 2), (4, "first_search", 1)]
     assert rows(tm.step_user_counts(events, steps)) == [("activate", 2), ("first_search", 1), ("signup", 2)]
+
+
+@pytest.mark.parametrize("n", [5, 100])
+def test_users_are_not_multiplied_by_steps(make_events, spark, n):
+    steps = [f"s{i}" for i in range(n)]
+    events = make_events([{"user_id": f"u{i % 7}", "event_name": f"s{i}", "revenue": 1.0} for i in range(n)])
+    plan = tm.funnel(events, steps=steps)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    got = tm.funnel(events, steps=steps, goal=steps[-1]).collect()
+    assert [(r.step_index, r.step, r.users_reached) for r in got] == [(i + 1, s, 1) for i, s in enumerate(steps)]
+
+
+def test_no_events_and_no_known_user(make_events):
+    assert tm.funnel(make_events([{}]).limit(0)).count() == 0
+    unknown = make_events([{"user_id": None, "event_name": "signup", "revenue": 3.0}])
+    (row,) = tm.funnel(unknown).collect()
+    assert (row.step, row.users_reached, row.max_recoverable_revenue) == ("signup", 0, None)

@@ -3,6 +3,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 import tidemark as tm
 
@@ -150,3 +151,71 @@ def test_days_follow_calendar_dates(make_events, ts):
     )
     table, _ = cohorts(events)
     assert rows(table, "signup_date", "d1_exact") == [(date(2026, 3, 2), 1)]
+
+
+def month(make_events, n=400, seed=3):
+    """Events of 30 days, some before 1970 and some far later, with a hot user and a NULL one."""
+    rng = random.Random(seed)
+    start = datetime(2026, 1, 20)
+    found = []
+    for i in range(n):
+        user = rng.choice(["hot", "hot", None, *[f"u{j}" for j in range(25)]])
+        day = start + timedelta(days=rng.randrange(30), hours=rng.randrange(24))
+        found.append({"user_id": user, "event_ts": day, "channel": rng.choice(["email", "social", None])})
+    found += [{"user_id": "old", "event_ts": datetime(1969, 12, 30)}, {"user_id": "old", "event_ts": datetime(1970, 1, 6)}]
+    found += [{"user_id": "u1", "event_ts": None}, {"user_id": "undated", "event_ts": None}]
+    return make_events(found)
+
+
+def test_the_activity_of_parts_adds_up_to_that_of_all(make_events, spark, tmp_path):
+    """First 20 days and 10 more, an overlap, and one day at a time, against all 30 at once."""
+    events, path = month(make_events), f"{tmp_path}/activity"
+    users = tm.first_touch_users(events.filter("event_ts is not null"))
+    day = F.to_date("event_ts")
+    first, last = events.filter(day < "2026-02-09"), events.filter((day >= "2026-02-09") | day.isNull())
+    whole = tm.active_days(events)
+    assert rows(tm.merge_activity(tm.active_days(first), tm.active_days(last))) == rows(whole)
+    assert rows(tm.merge_activity(whole, tm.active_days(first), tm.active_days(first))) == rows(whole)
+    for only in [r.d for r in events.select(day.alias("d")).distinct().collect()]:
+        grown = tm.extend_activity(spark, path, events.filter(day.eqNullSafe(F.lit(only))))
+    assert rows(grown) == rows(tm.open_table(spark, path)) == rows(whole)
+    options = {"exact": (0, 1, 7, 64), "plus": (0, 1, 7, 20, 30), "rates": ()}
+    assert rows(tm.retention_of(grown, users, **options)) == rows(tm.retention(events, users, **options))
+    assert rows(tm.retention_curve_of(grown, users, max_day=70)) == rows(tm.retention_curve(events, users, max_day=70))
+    again = tm.extend_activity(spark, path, first)
+    assert rows(again) == rows(whole)
+
+
+def test_retention_by_brute_force(make_events):
+    events = month(make_events, 700, 5)
+    users = tm.first_touch_users(events.filter("event_ts is not null"))
+    active = {}
+    for r in events.filter("event_ts is not null").collect():
+        active.setdefault(r.user_id, set()).add(r.event_ts.date())
+    expected = {}
+    for u in users.collect():
+        size = expected.setdefault((u.signup_date, u.channel), [0] * 6)
+        size[0] += u.user_id is not None
+        if u.channel is not None and u.user_id is not None:
+            ages = {(d - u.signup_date).days for d in active[u.user_id]}
+            for i, hit in enumerate((1 in ages, 7 in ages, max(ages) >= 1, max(ages) >= 7, max(ages) >= 30), 1):
+                size[i] += hit
+    columns = "cohort_users d1_exact d7_exact d1_plus d7_plus d30_plus".split()
+    got = {(r.signup_date, r.channel): [r[c] for c in columns] for r in tm.retention(events, users).collect()}
+    assert got == expected
+    curve = {(r.channel, r.day_number): r.rate for r in tm.retention_curve(events, users).collect()}
+    sizes, seen = {}, {}
+    for u in users.collect():
+        sizes[u.channel] = sizes.get(u.channel, 0) + 1
+        for d in active[u.user_id] if u.user_id is not None else ():
+            age = (d - u.signup_date).days
+            if age <= 30:
+                seen[u.channel, age] = seen.get((u.channel, age), 0) + 1
+    assert curve == {(c, d): pytest.approx(n / sizes[c]) for (c, d), n in seen.items() if c is not None}
+
+
+def test_activity_is_a_row_per_user_and_64_days(make_events):
+    events = make_events([{"event_ts": datetime(2026, 1, 1) + timedelta(days=i % 40, minutes=i)} for i in range(500)])
+    assert 1 <= tm.active_days(events).count() <= 2
+    plan = tm.active_days(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan

@@ -1,8 +1,10 @@
 import random
 from datetime import timedelta
+from functools import reduce
 
 import pytest
 from conftest import at, rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tidemark as tm
@@ -128,3 +130,50 @@ def test_an_undated_event_stops_the_operators(make_events):
     for numbered in (tm.sessionise(events), tm.session_summary(events), tm.session_count(events)):
         with pytest.raises(Exception, match="no event_ts"):
             numbered.collect()
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """More ranges than users, none of them merged again."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_go_on_across_ranges(make_events, spark, many_ranges, seed):
+    """A hot user, a NULL user and many small ones over 40 ranges; long runs within one minute too."""
+    rng = random.Random(seed)
+    events, users = [], ["hot", "hot", "hot", None, *"abcdefghij"]
+    for i in range(1200):
+        minutes = rng.choice([0, 0, rng.randrange(3000), 30 * rng.randrange(100), 31 * rng.randrange(100)])
+        events.append((rng.choice(users), at("00:00:00") + timedelta(minutes=minutes, seconds=rng.randrange(60)), f"e{i:05d}"))
+    table = make_events([{"user_id": u, "event_ts": t, "event_id": e} for u, t, e in events])
+    assert {(r.user_id, r.event_id): r.session_index for r in tm.sessionise(table).collect()} == brute_force(events)
+
+
+def test_one_user_spreads_over_ranges_and_events_are_read_once(make_events, spark, many_ranges, tmp_path):
+    """Even one user at one time, told apart by ids."""
+    make_events([{"event_ts": "10:00:00", "platform": f"p{i}"} for i in range(2000)]).write.parquet(f"{tmp_path}/e")
+    events = spark.read.parquet(f"{tmp_path}/e")
+    numbered = tm.sessionise(events)
+    assert rows(numbered.groupBy("session_index").count()) == [(1, 2000)]
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Exchange" not in plan
+    assert plan.count("Scan parquet") == 1 and f"{tmp_path}/e" not in plan
+    files = [spark.read.parquet(f) for f in numbered.inputFiles()]
+    sizes = [r["count"] for r in reduce(DataFrame.unionByName, files).groupBy("_range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 200
+
+
+def test_ids_of_any_type(make_events):
+    events = make_events([{"user_id": u, "event_ts": t} for u, t in (("1", "10:00:00"), ("1", "11:00:00"), (None, "09:00:00"), ("2", "10:00:00"))])
+    for kind in ("bigint", "int", "double", "decimal(20,0)", "string", "binary"):
+        numbered = tm.sessionise(events.withColumn("user_id", F.col("user_id").cast("string" if kind == "binary" else kind).cast(kind)))
+        assert sorted(r.session_index for r in numbered.collect()) == [1, 1, 1, 2]
+    assert tm.sessionise(events.limit(0)).count() == 0
+    assert tm.sessionise(events.drop("event_id")).count() == 4

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import ROOT, at, rows
+from pyspark.sql import functions as F
 from test_funnel import ladder
 
 import tidemark as tm
@@ -65,7 +66,91 @@ def test_saving_replaces_a_table(clean, tmp_path):
     again = tm.save_table(clean.filter("user_id = 'u1'"), path)
     assert again.count() == 3
     assert again.schema == clean.schema
-    assert list(Path(path).glob("*.zstd.parquet"))
+    assert list(Path(path).rglob("*.zstd.parquet"))
+    assert tm.open_table(clean.sparkSession, path).count() == 3
+
+
+def broken(df):
+    """``df`` with an error in its last rows, which a task meets after others have written theirs."""
+    bad = F.when(F.col("user_id") == "u59", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("user_id"))
+    return df.repartition(8, "user_id").withColumn("user_id", bad)
+
+
+def test_a_write_that_fails_leaves_the_old_table(spark, clean, tmp_path):
+    path = f"{tmp_path}/t"
+    tm.save_table(clean, path)
+    before = sorted(Path(path).iterdir())
+    with pytest.raises(Exception, match="lost"):
+        tm.save_table(broken(clean), path)
+    assert rows(tm.open_table(spark, path)) == rows(clean)
+    assert sorted(Path(path).iterdir()) == before
+
+
+def test_a_write_that_is_killed_leaves_the_old_table(spark, clean, tmp_path):
+    """The program dies while its tasks write: its version has files but no commit."""
+    path = f"{tmp_path}/t"
+    tm.save_table(clean, path)
+    script = (
+        "import os, threading, time, glob, tidemark as tm\n"
+        "from pyspark.sql import functions as F\n"
+        "spark = tm.build_session(master='local[2]', spark__ui__enabled='false')\n"
+        f"old = tm.open_table(spark, '{path}')\n"
+        "slow = old.repartition(40).withColumn('user_id', F.expr(\"if(java_method('java.lang.Thread', 'sleep', 20L) is null, user_id, user_id)\"))\n"
+        "def kill():\n"
+        f"    while not glob.glob('{path}/v-*/_temporary/**/*.parquet', recursive=True): time.sleep(0.01)\n"
+        "    os.kill(os.getpid(), 9)\n"
+        "threading.Thread(target=kill, daemon=True).start()\n"
+        f"tm.save_table(slow.union(slow), '{path}')\n"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd=ROOT, capture_output=True, timeout=120)
+    assert done.returncode == -9
+    versions = list(Path(path).glob("v-*"))
+    assert len(versions) == 2 and rows(tm.open_table(spark, path)) == rows(clean)
+    assert tm.collect_garbage(spark, path) == [] and len(list(Path(path).glob("v-*"))) == 2
+    assert len(tm.collect_garbage(spark, path, hours=0)) == 1
+    assert rows(tm.open_table(spark, path)) == rows(clean)
+
+
+def test_a_reader_keeps_the_version_it_opened(spark, clean, tmp_path):
+    path = f"{tmp_path}/t"
+    tm.save_table(clean, path)
+    reading = tm.open_table(spark, path)
+    tm.save_table(reading.limit(7), path)
+    assert reading.count() == clean.count() and tm.open_table(spark, path).count() == 7
+    assert tm.open_table(spark, path, back=1).count() == clean.count()
+    tm.save_table(clean.limit(1), path)
+    assert len(list(Path(path).glob("v-*"))) == 2 == len(list(Path(path, "_commits").glob("0*")))
+    assert tm.collect_garbage(spark, path, keep=0) and tm.open_table(spark, path).count() == 1
+    with pytest.raises(ValueError, match="1 versions"):
+        tm.open_table(spark, path, back=1)
+    with pytest.raises(ValueError, match="0 versions"):
+        tm.open_table(spark, f"{tmp_path}/nothing")
+
+
+def test_an_empty_table_is_replaced_and_read(spark, clean, tmp_path):
+    path = f"{tmp_path}/t"
+    tm.save_table(clean.limit(0), path)
+    assert tm.open_table(spark, path).schema == clean.schema and tm.open_table(spark, path).count() == 0
+
+
+def test_a_folder_that_stays_does_not_keep_the_others(spark, monkeypatch):
+    held, free = tables.shared_dir(spark), tables.shared_dir(spark)
+    Path(free).mkdir()
+    monkeypatch.setitem(tables._made, "nowhere://x/y", spark._jsc.hadoopConfiguration())
+    tables._remove_all()
+    assert "nowhere://x/y" in tables._made and held not in tables._made and not Path(free).exists()
+
+
+def test_folders_go_after_the_session_has_stopped(tmp_path):
+    script = (
+        "import tidemark as tm\n"
+        "spark = tm.build_session(master='local[1]', spark__ui__enabled='false', spark__checkpoint__dir='viewfs://s/a', "
+        f"**{{'spark__hadoop__fs__viewfs__mounttable__s__link__/a': 'file://{tmp_path}'}})\n"
+        "assert tm.materialise(spark.range(3)).count() == 3\n"
+        "spark.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=ROOT, capture_output=True, timeout=120)
+    assert not list(tmp_path.glob("tidemark-*"))
 
 
 def session(master, **conf):

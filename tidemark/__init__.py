@@ -1,5 +1,6 @@
 """Product analytics over event tables, on Spark DataFrames."""
 
+from tidemark.operators.activity import active_days, extend_activity, merge_activity
 from tidemark.operators.comparison import two_proportion_test
 from tidemark.operators.funnel import (
     arpu,
@@ -41,6 +42,8 @@ from tidemark.operators.retention import (
     retention,
     retention_by_segment,
     retention_curve,
+    retention_curve_of,
+    retention_of,
     week_one_dropoff,
 )
 from tidemark.operators.sessions import session_count, session_summary, sessionise
@@ -56,6 +59,6 @@ from tidemark.sources.tables import (
     materialise,
     read_events,
     register_views,
-    save_table,
     write_json,
 )
+from tidemark.sources.versions import collect_garbage, open_table, save_table

@@ -33,14 +33,18 @@ def _users_by_step(events: DataFrame, steps: Sequence[str], *totals: Column) ->
     return events.groupBy("user_id").agg(F.array(*words).alias("done"), *totals)
 
 
-def _reached(users: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """A row per user and step done, with the step and its index from 1."""
-    names = F.array(*[F.lit(step) for step in steps])
-    return (
-        users.select("*", F.posexplode(names).alias("bit", "step"))
-        .filter(F.expr(f"getbit(done[bit div {WORD}], bit % {WORD}) = 1"))
-        .withColumn("step_index", F.col("bit") + 1)
-    )
+def _counted(steps: Sequence[str], *values: Column) -> list[Column]:
+    """Per value an array with its sum over the known users of each step: a counter per step, read
+    off the users' bits in one pass."""
+    return [
+        F.array(
+            *[
+                F.sum(F.when((F.getbit(F.col("done")[i // WORD], F.lit(i % WORD)) == 1) & F.col("user_id").isNotNull(), value))
+                for i in range(len(steps))
+            ]
+        )
+        for value in values
+    ]
 
 
 def funnel(
@@ -54,11 +58,23 @@ def funnel(
     users lost times revenue per user who reached ``goal``, NULL when nobody did.
     """
     per_user = _users_by_step(events, steps, F.sum("revenue").alias("user_revenue"))
-    paid = F.sum(F.when(F.col("user_id").isNotNull(), F.col("user_revenue")))
+    # One row, however many users: a counter and a sum per step.
+    reached, paid = _counted(steps, F.lit(1), F.col("user_revenue"))
+    anyone = F.array(*[F.count_if(F.getbit(F.col("done")[i // WORD], F.lit(i % WORD)) == 1) for i in range(len(steps))])
+    sums = per_user.agg(F.struct(reached.alias("reached"), paid.alias("paid"), anyone.alias("anyone")).alias("sums")).scalar()
+    names = F.array(*[F.lit(step) for step in steps])
+    place = F.col("id").cast("int")
     totals = (
-        _reached(per_user, steps)
-        .groupBy("step_index", "step")
-        .agg(F.count("user_id").alias("users_reached"), paid.alias("paid"))
+        events.sparkSession.range(len(steps), numPartitions=1)
+        .select(place.alias("place"), F.get(names, place).alias("step"), sums.alias("sums"))
+        .select(
+            (F.col("place") + 1).alias("step_index"),
+            "step",
+            F.coalesce(F.get("sums.reached", F.col("place")), F.lit(0)).alias("users_reached"),
+            F.get("sums.paid", F.col("place")).alias("paid"),
+            F.get("sums.anyone", F.col("place")).alias("anyone"),
+        )
+        .filter("anyone > 0")
     )
     in_order = Window.orderBy("step_index")
     users = F.col("users_reached")
@@ -94,13 +110,16 @@ def funnel_by(
 ) -> DataFrame:
     """Per segment and step: users and the share of the segment's previous step."""
     per_user = _users_by_step(events.filter(F.col("event_name").isin(*steps)), steps)
-    segmented = per_user.join(users.select("user_id", by), "user_id")
+    (reached,) = _counted(steps, F.lit(1))
+    counted = per_user.join(users.select("user_id", by), "user_id").groupBy(by).agg(reached.alias("reached"))
+    # A segment is one row here, with a number per step.
+    names = F.array(*[F.lit(step) for step in steps])
     in_segment = Window.partitionBy(by).orderBy("step_index")
     users_reached = F.col("users_reached")
     return (
-        _reached(segmented, steps)
-        .groupBy(by, "step_index", "step")
-        .agg(F.count("user_id").alias("users_reached"))
+        counted.select(by, F.posexplode("reached").alias("place", "users_reached"))
+        .filter("users_reached > 0")
+        .select(by, (F.col("place") + 1).alias("step_index"), F.get(names, F.col("place")).alias("step"), "users_reached")
         .withColumn(
             "step_conversion", ratio(users_reached, F.lag("users_reached").over(in_segment))
         )

@@ -1,8 +1,9 @@
 """Retention by cohort, by segment and by day.
 
-Activity is reduced to the set of dates a user was active on before it meets the users. A
-user with any number of events is then one row, and the set is no longer than the calendar.
-``users`` holds one row per user, as ``first_touch_users`` returns.
+Events are reduced to the days each user was active on (``active_days``) before they meet the
+users: one row per user and 64 days, a bit per day. Each report also takes that activity itself, which
+can be kept and extended (``extend_activity``) instead of reading all events again. ``users`` holds one
+row per user, as ``first_touch_users`` returns.
 """
 
 from collections.abc import Mapping, Sequence
@@ -13,11 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import defaults
 from tidemark.functions.numbers import ratio
-
-
-def _active_dates(events: DataFrame) -> DataFrame:
-    dates = F.collect_set(F.to_date("event_ts"))
-    return events.groupBy("user_id").agg(dates.alias("active_dates"))
+from tidemark.operators.activity import active_days, active_on
 
 
 def retention(
@@ -33,20 +30,28 @@ def retention(
     ``rates`` names the counts also given as a share of the cohort. A cohort with a NULL
     in ``by`` keeps its size and shows no activity.
     """
-    keys = dict.fromkeys(["user_id", "signup_date", *by])
-    active = users.select(*keys).join(_active_dates(events), "user_id", "left")
-    named = reduce(Column.__and__, [F.col(column).isNotNull() for column in by], F.lit(True))
-
-    def on(day: int) -> Column:
-        return F.array_contains("active_dates", F.date_add("signup_date", day))
+    return retention_of(active_days(events), users, by, exact, plus, rates)
 
-    def since(day: int) -> Column:
-        return F.array_max("active_dates") >= F.date_add("signup_date", day)
 
+def retention_of(
+    activity: DataFrame,
+    users: DataFrame,
+    by: Sequence[str] = ("signup_date", "channel"),
+    exact: Sequence[int] = defaults.EXACT_DAYS,
+    plus: Sequence[int] = defaults.PLUS_DAYS,
+    rates: Sequence[str] = tuple(defaults.RETENTION_RATES),
+) -> DataFrame:
+    """``retention`` from the activity of the events."""
+    keys = dict.fromkeys(["user_id", "signup_date", *by])
+    words = users.select(*keys).join(activity, "user_id", "left")
+    active = words.groupBy(*keys).agg(
+        F.max("last_day").alias("last_day"), *[F.max(active_on(F.col("signup_date"), n)).alias(f"on_{n}") for n in exact]
+    )
+    named = reduce(Column.__and__, [F.col(column).isNotNull() for column in by], F.lit(True))
     counts = active.groupBy(*by).agg(
         F.count("user_id").alias("cohort_users"),
-        *[F.count_if(named & on(n)).alias(f"d{n}_exact") for n in exact],
-        *[F.count_if(named & since(n)).alias(f"d{n}_plus") for n in plus],
+        *[F.count_if(named & F.col(f"on_{n}")).alias(f"d{n}_exact") for n in exact],
+        *[F.count_if(named & (F.col("last_day") >= F.date_add("signup_date", n))).alias(f"d{n}_plus") for n in plus],
     )
     shares = [ratio(F.col(c), F.col("cohort_users"), 4).alias(f"{c}_rate") for c in rates]
     return counts.select("*", *shares).orderBy(*[F.col(c).asc_nulls_last() for c in by])
@@ -117,14 +122,26 @@ def retention_curve(
     max_day: int = defaults.CURVE_DAYS,
 ) -> DataFrame:
     """Share of each segment active on each day 0..``max_day`` after signup."""
+    return retention_curve_of(active_days(events), users, by, max_day)
+
+
+def retention_curve_of(
+    activity: DataFrame,
+    users: DataFrame,
+    by: str = "channel",
+    max_day: int = defaults.CURVE_DAYS,
+) -> DataFrame:
+    """``retention_curve`` from the activity of the events. A day lies in one word of a user, so
+    its users are counted on the words, a counter per day; days nobody was active on are left out."""
+    signed_up = users.select("user_id", "signup_date", by)
+    on = [F.count_if(active_on(F.col("signup_date"), n)) for n in range(max_day + 1)]
     active = (
-        users.select("user_id", "signup_date", by)
-        .join(_active_dates(events), "user_id")
-        .select("signup_date", by, F.explode("active_dates").alias("active_date"))
-        .withColumn("day_number", F.datediff("active_date", "signup_date"))
-        .filter(F.col("day_number").between(0, max_day))
-        .groupBy(by, "day_number")
-        .agg(F.count("*").alias("active"))
+        signed_up.filter(F.col(by).isNotNull())
+        .join(activity, "user_id")
+        .groupBy(by)
+        .agg(F.array(*on).alias("active"))
+        .select(by, F.posexplode("active").alias("day_number", "active"))
+        .filter("active > 0")
     )
     sizes = users.groupBy(by).agg(F.count("*").alias("size"))
     return (

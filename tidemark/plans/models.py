@@ -9,7 +9,8 @@ from tidemark.operators.quality import quality_audit
 from tidemark.operators.retention import retention
 from tidemark.operators.sessions import session_summary
 from tidemark.operators.staging import clean_events, first_touch_users
-from tidemark.sources.tables import save_table, shared_dir
+from tidemark.sources.tables import shared_dir
+from tidemark.sources.versions import save_table
 
 
 def build_models(raw: DataFrame, root: str | None = None, clean: bool = True) -> dict[str, DataFrame]:

@@ -5,17 +5,20 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from functools import cache
 from urllib.parse import urlparse
 
+from py4j.java_gateway import JavaObject
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark import defaults
 from tidemark.session import NANOS
+from tidemark.sources.versions import save_table
 
 
 def as_events(df: DataFrame, **columns: str) -> DataFrame:
@@ -35,9 +38,9 @@ def read_events(spark: SparkSession, path: str, nanos: bool = False, **columns:
     return events
 
 
-def save_table(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` as ZSTD parquet, replacing what is there, and returns the saved table."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as ZSTD parquet in a folder that nobody else knows yet."""
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,8 +49,8 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
-#: Folders that this process made and has not removed.
-_made: set[str] = set()
+#: Folders that this process made and has not removed, with the Hadoop settings to reach them by.
+_made: dict[str, JavaObject | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,30 +65,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    _made.add(path)
+    _made[path] = spark._jsc.hadoopConfiguration() if hasattr(spark, "_jsc") else None
     return path
 
 
 def remove_dir(path: str) -> None:
-    """Removes a folder that ``shared_dir`` named, if anything was written there."""
+    """Removes a folder that ``shared_dir`` named, if anything was written there. The session may
+    have stopped since; a folder that can't be removed is not forgotten."""
     if path not in _made:
         raise ValueError(f"{path} was not made by this process")
-    _made.discard(path)
     where = urlparse(path)
     if where.scheme in ("", "file"):
         shutil.rmtree(where.path, ignore_errors=True)
-    elif spark := SparkSession.getActiveSession():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    elif (conf := _made[path]) is not None:  # the JVM outlives the session
+        folder = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    del _made[path]
 
 
 @atexit.register
 def _remove_all() -> None:
+    """One folder that can't be removed does not keep the others."""
     for path in list(_made):
-        try:
+        with suppress(Exception):
             remove_dir(path)
-        except Exception:  # the session is gone, and its gateway with it
-            return
 
 
 class Workspace:
@@ -96,7 +99,9 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """``df`` saved under ``name``; a table of that name is replaced."""
-        return save_table(df, f"{self.root}/{name or uuid.uuid4().hex}")
+        if name is None:
+            return _write(df, f"{self.root}/{uuid.uuid4().hex}")
+        return save_table(df, f"{self.root}/{name}")
 
     def drop(self) -> None:
         if self.root in _made:
@@ -131,7 +136,7 @@ def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     space = _scope.get()
     if space and not keep:
         return space.save(df)
-    return save_table(df, shared_dir(df.sparkSession))
+    return _write(df, shared_dir(df.sparkSession))
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:

@@ -150,6 +150,15 @@ def retention(spark, sf_dir):
     return _cohorts(*_events_and_users(spark, sf_dir))
 
 
+def retention_extended(spark, sf_dir):
+    """The same from an activity table: started with the first 20 days, extended by the other 10."""
+    events, users = _events_and_users(spark, sf_dir)
+    path, early = tables.shared_dir(spark), F.col("event_date") < date(2024, 1, 21)
+    tm.extend_activity(spark, path, events.filter(early))
+    activity = tm.extend_activity(spark, path, events.filter(~early))
+    return tm.retention_of(activity, users, plus=PLUS_DAYS, rates=tuple(RATES))
+
+
 def retention_by_channel(spark, sf_dir):
     events, users = _events_and_users(spark, sf_dir)
     cohorts = _cohorts(events, users)
@@ -441,6 +450,7 @@ QUERIES = {
         opportunity,
         detectable_effect,
         retention,
+        retention_extended,
         retention_by_channel,
         pooled_retention,
         week_one,
