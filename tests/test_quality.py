@@ -1,8 +1,9 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from conftest import at, rows
 from test_funnel import ladder
 
 import tidemark as tm
@@ -271,3 +272,58 @@ def test_suite_fails_on_uncleaned_data(planted):
     assert json.loads(suite["no_null_user_ids"].first_row) == {"null_rows": suite["not_null_stg_events_user_id"].failed_rows}
     assert json.loads(suite["no_platform_hour_skew"].first_row)["platform"] == "android"
     assert json.loads(suite["no_duplicate_events"].first_row)["n"] == 2
+
+
+def at_hours(spark, hours):
+    """Events of groups whose circular means are the given fractions of an hour, two hours mixed each."""
+    rows_ = []
+    for group, (hour, weight) in enumerate(hours):
+        rows_ += [(group, at("00:00:00").replace(hour=hour))] * weight + [(group, at("00:00:00").replace(hour=(hour + 1) % 24))]
+    return spark.createDataFrame(rows_, "g int, event_ts timestamp_ntz")
+
+
+def test_hour_spread_is_exact_all_around_the_clock(spark):
+    """1,000 groups against every other one; then few, half a day apart, where bins are empty."""
+    rng = random.Random(4)
+    for hours in (
+        [(rng.randrange(24), rng.randrange(1, 9)) for _ in range(1000)],
+        [(0, 1), (12, 9), (12, 1), (12, 3)],
+        [(23, 1), (11, 1)],
+        [(5, 2)],
+        [(5, 2), (5, 2), (5, 2)],
+    ):
+        events = at_hours(spark, hours)
+        means = {r.g: r.mean_hour for r in tm.circular_mean_hour(events, "g").collect()}
+
+        def apart(a, b):
+            d = abs(a - b) % 24
+            return min(d, 24 - d)
+
+        got = {r.g: r.hours_apart for r in tm.hour_spread(events, "g", min_rows=0).collect()}
+        distinct = set(means.values())
+        expected = {g: max(apart(m, other) for other in distinct) for g, m in means.items()}
+        assert got.keys() == expected.keys()
+        assert all(got[g] == pytest.approx(expected[g], abs=0.00501) for g in got)
+
+
+def test_hour_spread_of_groups_without_a_time(make_events):
+    events = make_events([{"platform": "web", "event_ts": None}, {"platform": "ios"}, {"platform": None, "event_ts": "22:00:00"}])
+    assert rows(tm.hour_spread(events, min_rows=0)) == [("ios", 10.0, 12.0), ("web", None, None), (None, 22.0, 12.0)]
+    assert tm.hour_spread(events.limit(0), min_rows=0).count() == 0
+
+
+def test_a_flat_profile_is_reported(spark, make_events):
+    every = [{"event_ts": f"{h:02}:00:00"} for h in range(24)]
+    assert rows(tm.hour_profile(make_events(every * 2 + every[:1]))) == [(2, 3)]
+    assert rows(tm.flat_hours(make_events(every * 2 + every[:4]))) == [(2, 3)]
+    assert rows(tm.flat_hours(make_events(every + every[:1] * 2))) == [(1, 3)]
+    assert rows(tm.flat_hours(make_events(every + every[:1] * 3))) == []
+    assert rows(tm.flat_hours(make_events(every[:23]))) == []
+    assert rows(tm.flat_hours(make_events(every).limit(0))) == [(None, None)]
+
+
+def test_data_tests_find_what_was_not_planted(planted):
+    """The rates of defects and the hours are as they should be; the ladder of steps is another."""
+    outcome = {r.name: r.failed_rows for r in tm.run_data_tests(tm.build_models(planted)).collect()}
+    wrong = {name for name, failed in outcome.items() if failed}
+    assert len(outcome) == 8 and wrong == {"channels_in_order", "step_rates_recovered"}

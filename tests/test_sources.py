@@ -43,16 +43,19 @@ def test_nanosecond_timestamps(spark, tmp_path):
         }
     )
     pq.write_table(table, f"{tmp_path}/e.parquet", version="2.6")
-    with pytest.raises(ValueError, match="nanos"):
-        tm.read_events(spark, f"{tmp_path}/e.parquet", nanos=True, event_ts="when")
-    spark.conf.set(NANOS, "true")
-    try:
-        events = tm.read_events(spark, f"{tmp_path}/e.parquet", nanos=True, event_ts="when")
-        assert dict(events.dtypes)["event_ts"] == "timestamp"
-        micros = events.selectExpr("event_id", "unix_micros(event_ts)")
-        assert rows(micros) == [("e1", 1772445600123456), ("e2", -1)]
-    finally:
-        spark.conf.unset(NANOS)
+    micros = table.set_column(3, "when", table["when"].cast(pa.timestamp("us", "UTC"), safe=False))
+    pq.write_table(micros, f"{tmp_path}/m.parquet")
+    naive = table.set_column(3, "when", table["when"].cast(pa.timestamp("ns")))
+    pq.write_table(naive, f"{tmp_path}/n.parquet", version="2.6")
+    for _ in range(2):  # either unit after the other, in a session without settings for it
+        for name in "emn":
+            events = tm.read_events(spark, f"{tmp_path}/{name}.parquet", event_ts="when")
+            assert dict(events.dtypes)["event_ts"] == "timestamp"
+            found = events.selectExpr("event_id", "unix_micros(event_ts)")
+            assert rows(found) == [("e1", 1772445600123456), ("e2", 0 if name == "m" else -1)]
+    assert spark.conf.get(NANOS, "false") == "false"
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tm.read_events(spark, f"{tmp_path}/none.parquet")
 
 
 def test_other_column_names(make_events):
@@ -305,3 +308,55 @@ def test_layouts_of_an_empty_table(spark, clean, tmp_path):
     paths = tm.write_layouts(clean.limit(0), str(tmp_path))
     got = {r.layout: tuple(r)[1:] for r in tm.layout_sizes(spark, paths).collect()}
     assert got == {"base": (0, 0, 8, None), "clustered": (0, 0, 8, None), "narrow": (0, 0, 3, None), "by_date": (0, 0, 8, None)}
+
+
+def files(path):
+    return {str(f.relative_to(path)) for f in Path(path).rglob("*.parquet")}
+
+
+def test_late_events_rewrite_their_dates_only(spark, clean, tmp_path):
+    path = f"{tmp_path}/d"
+    layouts.write_by_date(clean, path)
+    before = files(path)
+    late = clean.filter("user_id = 'u1'").withColumns({"event_id": F.concat("event_id", F.lit("x")), "channel": F.lit("late")})
+    dates = tm.add_to_dates(late, path)
+    assert dates == sorted({r.event_date for r in late.collect()}) and len(dates) < 4
+    stays = {f for f in before if not any(f"event_date={d}/" in f for d in dates)}
+    assert stays and stays <= files(path) and not (before - stays) & files(path)
+    stored = spark.read.parquet(path)
+    assert rows(stored.select(*clean.columns)) == rows(clean.unionByName(late))
+    # The same rows again, changed: they take the place of those with their ids.
+    tm.add_to_dates(late.withColumn("channel", F.lit("later")), path)
+    assert rows(spark.read.parquet(path).groupBy("channel").count(), "channel", "count")[0] == ("later", late.count())
+    assert spark.read.parquet(path).count() == clean.count() + late.count()
+    assert tm.add_to_dates(late.limit(0), path) == []
+
+
+def test_a_new_date_and_no_date(spark, clean, tmp_path):
+    path = f"{tmp_path}/d"
+    layouts.write_by_date(clean, path)
+    before = files(path)
+    new = clean.limit(2).withColumn("event_date", F.when(F.col("event_id") == clean.first().event_id, F.lit(date(2030, 1, 1))))
+    assert tm.add_to_dates(new, path)[-1] is None or len(new.collect()) == 2
+    assert before <= files(path) and spark.read.parquet(path).count() == clean.count() + 2
+
+
+def test_a_bucketed_table_groups_by_user_without_a_shuffle(spark, clean, tmp_path):
+    table = tm.write_bucketed(clean, "tests_bucketed", f"{tmp_path}/b", buckets=4)
+    try:
+        assert rows(table) == rows(clean)
+        users = tm.first_touch_users(table)
+        frames = {
+            "session_summary": tm.session_summary(table),
+            "first_touch_users": users,
+            "active_days": tm.active_days(table).groupBy("user_id").agg(F.max("last_day")),
+        }
+        for frame in frames.values():
+            assert "Exchange" not in plan(frame)
+        assert "Exchange hashpartitioning(user_id" not in plan(tm.funnel(table))
+        assert "Exchange hashpartitioning(user_id" not in plan(tm.retention(table, users))
+        assert rows(tm.session_summary(table)) == rows(tm.session_summary(clean))
+        assert rows(tm.funnel(table)) == rows(tm.funnel(clean))
+        assert rows(tm.retention(table, users)) == rows(tm.retention(clean, tm.first_touch_users(clean)))
+    finally:
+        spark.sql("DROP TABLE tests_bucketed")

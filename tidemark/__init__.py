@@ -17,7 +17,9 @@ from tidemark.operators.quality import (
     dup_keys,
     events_before_signup,
     expected_step_rates,
+    flat_hours,
     funnel_not_monotonic,
+    hour_profile,
     hour_skew,
     hour_spread,
     missing,
@@ -48,11 +50,11 @@ from tidemark.operators.retention import (
 )
 from tidemark.operators.sessions import session_count, session_summary, sessionise
 from tidemark.operators.staging import clean_events, first_touch_users
-from tidemark.plans.checks import run_suite
+from tidemark.plans.checks import run_data_tests, run_suite
 from tidemark.plans.models import build_models
 from tidemark.plans.report import question_report, write_report
 from tidemark.session import build_session
-from tidemark.sources.layouts import day_slice, layout_sizes, write_layouts
+from tidemark.sources.layouts import add_to_dates, day_slice, layout_sizes, write_bucketed, write_layouts
 from tidemark.sources.tables import (
     Workspace,
     as_events,

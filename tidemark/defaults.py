@@ -40,6 +40,9 @@ SCENARIOS = {"conservative": 0.05, "central": 0.10, "optimistic": 0.20}
 SKEW_MIN_ROWS = 1000
 SKEW_MAX_HOURS = 3.0
 
+# The busiest hour of the day has more than so many times the events of the quietest.
+PROFILE_TIMES = 3
+
 # Bands the audit rates must lie in, both ends excluded.
 DUPLICATE_RATE_BAND = (0.012, 0.018)
 NULL_USER_RATE_BAND = (0.003, 0.005)

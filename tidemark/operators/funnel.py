@@ -70,19 +70,20 @@ def funnel(
         .select(
             (F.col("place") + 1).alias("step_index"),
             "step",
-            F.coalesce(F.get("sums.reached", F.col("place")), F.lit(0)).alias("users_reached"),
+            # NULL for a step nobody did, which the windows below pass over.
+            F.when(F.get("sums.anyone", F.col("place")) > 0, F.coalesce(F.get("sums.reached", F.col("place")), F.lit(0))).alias("users_reached"),
             F.get("sums.paid", F.col("place")).alias("paid"),
-            F.get("sums.anyone", F.col("place")).alias("anyone"),
         )
-        .filter("anyone > 0")
     )
     in_order = Window.orderBy("step_index")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     users = F.col("users_reached")
-    previous = F.lag("users_reached").over(in_order)
+    previous = F.last("users_reached", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("users_reached", ignorenulls=True).over(whole)
     per_goal_user = F.max(F.when(F.col("step") == goal, ratio(F.coalesce("paid", F.lit(0)), users)))
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        totals.withColumn("users_previous_step", previous)
+        totals.select("*", previous.alias("users_previous_step"), first.alias("first"), per_goal_user.over(whole).alias("per_goal"))
+        .filter(users.isNotNull())
         .withColumn("users_lost", F.col("users_previous_step") - users)
         .select(
             "step_index",
@@ -90,13 +91,9 @@ def funnel(
             "users_reached",
             "users_previous_step",
             ratio(users, F.col("users_previous_step"), 4).alias("step_conversion"),
-            ratio(users, F.first_value("users_reached").over(in_order), 4).alias(
-                "cumulative_conversion"
-            ),
+            ratio(users, F.col("first"), 4).alias("cumulative_conversion"),
             "users_lost",
-            F.round(F.col("users_lost") * per_goal_user.over(whole), 2).alias(
-                "max_recoverable_revenue"
-            ),
+            F.round(F.col("users_lost") * F.col("per_goal"), 2).alias("max_recoverable_revenue"),
         )
         .orderBy("step_index")
     )

@@ -122,27 +122,72 @@ def hour_skew(
     )
 
 
+#: Bins of the circle: one per minute of the day.
+BINS = 1440
+
+
+def _bin(hour: Column) -> Column:
+    return F.floor(hour * (BINS // 24)).cast("int") % BINS
+
+
+def _next_bins(means: DataFrame) -> Column:
+    """Per bin the greatest mean of the bins before it and the least of those after it, around the
+    circle, as an array of structs: of 1,440 rows, however many means there are."""
+    bins = means.groupBy(_bin(F.col("mean_hour")).alias("bin")).agg(F.min("mean_hour").alias("least"), F.max("mean_hour").alias("most"))
+    circle = means.sparkSession.range(BINS, numPartitions=1).select(F.col("id").cast("int").alias("bin")).join(bins, "bin", "left")
+    along = Window.orderBy("bin")
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    most, least = F.last("most", ignorenulls=True), F.first("least", ignorenulls=True)
+    before = F.coalesce(most.over(along.rowsBetween(first, -1)), most.over(along.rowsBetween(first, last)))
+    after = F.coalesce(least.over(along.rowsBetween(1, last)), least.over(along.rowsBetween(first, last)))
+    return circle.select(F.struct("bin", before.alias("before"), after.alias("after")).alias("ends")).agg(
+        F.sort_array(F.collect_list("ends"))
+    ).scalar()
+
+
 def hour_spread(
     events: DataFrame, by: str = "platform", min_rows: int = defaults.SKEW_MIN_ROWS
 ) -> DataFrame:
     """Each group's circular mean hour and how far the farthest other group's lies from it.
 
-    Groups are compared with the least and the greatest mean of each whole hour, 48 numbers
-    however many groups there are. A distance of up to 11 hours is exact; above, a mean between
-    the two of one hour may be up to an hour farther.
+    The farthest mean is the one nearest to the opposite hour, on either side of it: the means of
+    the same minute as that hour are searched in their order, and beyond it the next minute that
+    has any. That is exact, and linear in the number of groups but for the sort.
     """
     means = circular_mean_hour(events, by).filter(F.col("rows") > min_rows).select(by, "mean_hour")
-    hour = F.floor("mean_hour").cast("int")
-    ends = means.groupBy(hour.alias("hour")).agg(
-        F.array(F.min("mean_hour"), F.max("mean_hour")).alias("ends")
+    opposite = F.pmod(F.col("mean_hour") + 12.0, F.lit(24.0))
+    asked = means.select(F.lit(True).alias("asked"), by, "mean_hour", opposite.alias("place"), F.lit(None).cast("double").alias("mean"))
+    there = means.select("mean_hour").distinct().select(
+        F.lit(False).alias("asked"),
+        F.lit(None).cast(means.schema[by].dataType).alias(by),
+        "mean_hour",
+        F.col("mean_hour").alias("place"),
+        F.col("mean_hour").alias("mean"),
     )
-    every = ends.agg(F.flatten(F.collect_list("ends"))).scalar()
-    return (
-        means.select(by, "mean_hour", F.explode(every).alias("other"))
-        .groupBy(by, "mean_hour")
-        .agg(F.round(F.max(hours_apart(F.col("mean_hour"), F.col("other"))), 2).alias("hours_apart"))
-        .withColumn("mean_hour", F.round("mean_hour", 2))
+    in_bin = Window.partitionBy(_bin(F.col("place"))).orderBy("place")
+    below = F.last("mean", ignorenulls=True).over(in_bin.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("mean", ignorenulls=True).over(in_bin.rangeBetween(0, Window.unboundedFollowing))
+    ends = F.get(_next_bins(means), _bin(F.col("place")))
+    near = there.unionByName(asked).select(
+        "asked", by, "mean_hour", below.alias("below"), above.alias("above"), ends["before"].alias("before"), ends["after"].alias("after")
     )
+    farthest = F.greatest(*[hours_apart(F.col("mean_hour"), F.col(c)) for c in ("below", "above", "before", "after")])
+    return near.filter("asked").select(by, F.round("mean_hour", 2).alias("mean_hour"), F.round(farthest, 2).alias("hours_apart"))
+
+
+def hour_profile(events: DataFrame) -> DataFrame:
+    """One row: how many events the least and the most frequent hour of the day have."""
+    hourly = events.filter(F.col("event_ts").isNotNull()).groupBy(F.hour("event_ts").alias("hour")).agg(F.count("*").alias("n"))
+    # Hours without an event count as zero; no event at all gives NULLs.
+    least = F.when(F.count("*") == 24, F.min("n")).when(F.count("*") > 0, F.lit(0))
+    return hourly.agg(least.alias("least"), F.max("n").alias("most"))
+
+
+def flat_hours(events: DataFrame, times: float = defaults.PROFILE_TIMES) -> DataFrame:
+    """The hour profile when its most frequent hour does not have more than ``times`` the events of
+    the least: a clock shift would not show in such events, so that ``hour_spread`` proves nothing."""
+    profile = hour_profile(events)
+    return profile.filter(~F.coalesce(F.col("most") > F.col("least") * F.lit(times), F.lit(False)))
 
 
 # --- assertions on events ----------------------------------------------------

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark import defaults
 from tidemark.operators import quality
+from tidemark.operators.funnel import funnel_by
+from tidemark.operators.retention import pooled_retention
+from tidemark.operators.sessions import sessionise
 
 
 def model_checks(models: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -27,6 +30,23 @@ def model_checks(models: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return checks | {f"unique_{t}_{c}": quality.not_unique(models[t], c) for t, c in UNIQUE}
 
 
+def data_tests(models: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Assertions on what the numbers should come out as, beyond the form of the tables: they hold
+    for the product they were set for, while ``model_checks`` hold for any."""
+    events, users, audit = (models[t] for t in ("stg_events", "stg_users", "audit_data_quality"))
+    pooled = pooled_retention(models["mart_retention"])
+    return {
+        "one_signup_per_user": quality.repeat_signups(events),
+        "session_gaps": quality.session_gaps(sessionise(events)),
+        "sessions_cover_users": quality.session_floor(models["mart_sessions"], users),
+        "duplicate_rate_in_band": quality.rate_in_band(audit, "duplicate_rate", *defaults.DUPLICATE_RATE_BAND),
+        "null_user_rate_in_band": quality.rate_in_band(audit, "null_user_rate", *defaults.NULL_USER_RATE_BAND),
+        "channels_in_order": quality.segments_out_of_order(pooled, "d7_plus_rate", defaults.CHANNELS),
+        "step_rates_recovered": quality.rate_mismatch(funnel_by(events, users), quality.expected_step_rates(events.sparkSession)),
+        "hours_not_flat": quality.flat_hours(events),
+    }
+
+
 # The columns declared unique, present, or limited to a list.
 UNIQUE = (
     ("raw_events", "event_id"),
@@ -72,6 +92,11 @@ def column_checks(models: Mapping[str, DataFrame]) -> list[DataFrame]:
     return outcomes
 
 
+def run_data_tests(models: Mapping[str, DataFrame]) -> DataFrame:
+    """Name, offending rows and first offending row of every data test."""
+    return quality.run_checks(data_tests(models))
+
+
 def run_suite(models: Mapping[str, DataFrame]) -> DataFrame:
     """Name, offending rows and first offending row of every check."""
     return reduce(DataFrame.unionByName, column_checks(models), quality.run_checks(model_checks(models)))

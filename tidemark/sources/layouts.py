@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.numbers import ratio
+from tidemark.sources.tables import materialise
 
 NARROW_COLUMNS = ("user_id", "event_name", "event_ts")
 
@@ -46,6 +47,45 @@ def write_by_date(events: DataFrame, path: str) -> None:
     _write(by_date.sortWithinPartitions("event_date", "user_id"), path, "event_date")
 
 
+def add_to_dates(events: DataFrame, path: str, key: str = "event_id") -> list[date]:
+    """Adds ``events`` to the by-date layout at ``path``, in place of rows with the same ``key`` on
+    the same date, and returns the dates. Only their folders are written anew; the files of all
+    other dates stay as they are.
+
+    The new folders are complete before the old ones go, date by date. Rows without a date have a
+    folder of their own.
+    """
+    spark = events.sparkSession
+    dates = sorted((r[0] for r in events.select("event_date").distinct().collect()), key=lambda d: (d is None, d))
+    if not dates:
+        return []
+    named = [d for d in dates if d is not None]
+    touched = F.col("event_date").isin(*named) if named else F.lit(False)
+    if None in dates:
+        touched = touched | F.col("event_date").isNull()
+    known = spark.read.schema(events.schema).parquet(path).filter(touched)
+    same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in (key, "event_date")]
+    kept = known.alias("old").join(events.select(key, "event_date").distinct().alias("new"), same, "left_anti")
+    # Saved first: the folders that it reads are about to be replaced.
+    merged = materialise(kept.unionByName(events))
+    by_date = merged.hint("rebalance", "event_date").sortWithinPartitions("event_date", "user_id")
+    writer = by_date.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy("event_date").parquet(path)
+    return dates
+
+
+def write_bucketed(events: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A catalog table of all columns in ``buckets`` files by user, sorted by user and time, and what
+    it reads. Funnels, retention, sessions and first touches of it group by user where the rows lie,
+    without a shuffle of events; two such tables join the same way. Each file is a user's as a
+    whole, so a busy one makes a large file: ``write_clustered`` spreads it instead."""
+    order = ("user_id", "event_ts")
+    dealt = events.repartition(buckets, "user_id")
+    writer = dealt.write.mode("overwrite").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets, "user_id").sortBy(*order).saveAsTable(table)
+    return events.sparkSession.table(table)
+
+
 LAYOUTS = {
     "base": write_base,
     "clustered": write_clustered,

@@ -12,9 +12,10 @@ from urllib.parse import urlparse
 
 from py4j.java_gateway import JavaObject
 from pyspark import SparkContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from tidemark import defaults
 from tidemark.session import NANOS
@@ -26,13 +27,25 @@ def as_events(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(columns.get(c, c)).alias(c) for c in defaults.EVENT_COLUMNS])
 
 
-def read_events(spark: SparkSession, path: str, nanos: bool = False, **columns: str) -> DataFrame:
-    """Events from parquet. ``nanos`` reads nanosecond timestamps, which Spark does not have,
-    and rounds them down to microseconds; the session must be built with ``nanos`` as well."""
-    if nanos and spark.conf.get(NANOS, "false") != "true":
-        raise ValueError("build the session with nanos=True")
-    events = as_events(spark.read.parquet(path), **columns)
-    if nanos and isinstance(events.schema["event_ts"].dataType, LongType):
+def _nanos_schema(spark: SparkSession, path: str) -> StructType:
+    """The schema of a file with nanosecond timestamps, those as numbers: asked for in a session of
+    its own, so that the caller's reads other files as before."""
+    probe = spark.newSession()
+    probe.conf.set(NANOS, "true")
+    return probe.read.parquet(path).schema
+
+
+def read_events(spark: SparkSession, path: str, **columns: str) -> DataFrame:
+    """Events from parquet, with timestamps of any unit. Spark has none finer than microseconds:
+    where ``event_ts`` is in nanoseconds it is read as a number and rounded down. The files of one
+    ``path`` have one unit; another path may have another, in the same session."""
+    try:
+        return as_events(spark.read.parquet(path), **columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PARQUET_TYPE_ILLEGAL":
+            raise
+    events = as_events(spark.read.schema(_nanos_schema(spark, path)).parquet(path), **columns)
+    if isinstance(events.schema["event_ts"].dataType, LongType):
         micros = F.expr("event_ts div 1000 - if(event_ts % 1000 < 0, 1, 0)")
         events = events.withColumn("event_ts", F.timestamp_micros(micros))
     return events

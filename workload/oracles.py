@@ -262,6 +262,12 @@ HOURS = """
       FROM hours a JOIN hours b ON a.platform < b.platform WHERE a.n > 1000 AND b.n > 1000
     )"""
 
+HOURLY = """
+    profile AS (
+      SELECT min(n) AS least, max(n) AS most FROM (
+        SELECT h, count(event_ts) AS n FROM range(24) AS hours(h) LEFT JOIN stg ON hour(event_ts) = h GROUP BY h)
+    )"""
+
 BEFORE_SIGNUP = """
     early AS (
       SELECT user_id, min(event_ts) FILTER (WHERE event_name = 'signup') AS signup_ts, min(event_ts) AS first_ts
@@ -430,9 +436,9 @@ ORACLES = {
     "session_totals": _customer(
         SESSIONS, select="SELECT count(*) AS sessions, count(DISTINCT user_id) AS users FROM sessions"
     ),
-    "session_floor": _customer(
+    "session_floor": _device(
         SESSIONS, USERS,
-        select="""SELECT * FROM (SELECT (SELECT count(*) FROM sessions WHERE converted = 1) AS sessions,
+        select="""SELECT * FROM (SELECT (SELECT count(*) FROM sessions WHERE session_index = 1 AND converted = 1) AS sessions,
         (SELECT count(*) FROM users) AS users) WHERE sessions < users""",
     ),
     "session_gaps": _customer(
@@ -468,6 +474,7 @@ ORACLES = {
               FROM funnel WHERE step_conversion IS NOT NULL)""",
     ),
     "retention": _device(USERS, RETENTION, select="SELECT * FROM retention"),
+    "retention_extended": _device(USERS, RETENTION, select="SELECT * FROM retention"),
     "retention_by_channel": _device(
         USERS, COHORTS, AGED,
         select=f"""SELECT channel, CAST(sum(cohort_users) AS BIGINT) AS users_all_cohorts, {_eligible(1)},
@@ -541,6 +548,22 @@ ORACLES = {
         round(max(12 - abs(12 - abs(a.mean_hour - b.mean_hour))), 2) AS hours_apart
         FROM hours a, hours b WHERE a.n > 1000 AND b.n > 1000 GROUP BY a.platform""",
     ),
+    "hour_spread_half_day": _customer(
+        """bands AS (
+          SELECT concat('from ', hour(event_ts) // 3 * 3) AS band,
+                 (degrees(atan2(avg(sin(radians(15 * hour(event_ts)))), avg(cos(radians(15 * hour(event_ts)))))) / 15 + 24)
+                   % 24 AS mean_hour
+          FROM stg GROUP BY band
+        )""",
+        stage=DIRTY,
+        select="""SELECT a.band, round(any_value(a.mean_hour), 2) AS mean_hour,
+        round(max(12 - abs(12 - abs(a.mean_hour - b.mean_hour))), 2) AS hours_apart
+        FROM bands a, bands b GROUP BY a.band""",
+    ),
+    "hour_profile": _customer(HOURLY, stage=DIRTY, select="SELECT * FROM profile"),
+    "flat_hours": """SELECT min(n) AS least, max(n) AS most FROM (
+        SELECT h, count(ts) AS n FROM range(24) AS hours(h) LEFT JOIN events ON hour(ts) = h GROUP BY h)
+        HAVING max(n) <= 3 * min(n)""",
     "dup_keys": _customer(
         stage=DIRTY,
         select="""SELECT user_id, event_name, event_ts, count(*) AS n FROM stg
@@ -642,6 +665,11 @@ ORACLES = {
     "layout_clustered": _customer(select=f"SELECT {EVENT_COLUMNS} FROM stg"),
     "layout_narrow": _customer(select="SELECT user_id, event_name, event_ts FROM stg"),
     "layout_by_date": _customer(select=SLICE),
+    "layout_late_events": _customer(
+        select="""SELECT event_date, count(*) AS events,
+        count(*) FILTER (WHERE event_date = DATE '2024-01-30' AND event_name = 'purchase') AS late FROM stg GROUP BY event_date"""
+    ),
+    "layout_bucketed": _device(FUNNEL, select="SELECT * FROM funnel"),
     "json_result": _device(FUNNEL, select="SELECT * FROM funnel"),
     "mart_views": _customer(
         USERS, SESSIONS,
@@ -650,3 +678,36 @@ ORACLES = {
     ),
     "report": REPORT,
 }
+
+
+def _failures(**checks: str) -> str:
+    """The number of offending rows of each check."""
+    return "\nUNION ALL\n".join(f"SELECT '{name}' AS name, count(*) AS failed_rows FROM ({sql})" for name, sql in checks.items())
+
+
+def _out_of_band(rate: str, low: float, high: float) -> str:
+    return _device(AUDIT, select=f"SELECT * FROM audit WHERE {rate} <= {low} OR {rate} >= {high} OR {rate} IS NULL")
+
+
+ORACLES["data_tests"] = _failures(
+    one_signup_per_user=_device(
+        select="SELECT user_id FROM stg WHERE event_name = 'signup' GROUP BY user_id HAVING count(*) > 1"
+    ),
+    session_gaps=_device(
+        NUMBERED,
+        select="""SELECT * FROM (
+          SELECT date_diff('minute', lag(m) OVER timeline, m) AS minutes_since,
+                 session_index <> lag(session_index) OVER timeline AS starts
+          FROM (SELECT DISTINCT user_id, session_index, date_trunc('minute', event_ts) AS m FROM numbered)
+          WINDOW timeline AS (PARTITION BY user_id ORDER BY m, session_index))
+        WHERE starts <> (minutes_since > 30)""",
+    ),
+    sessions_cover_users=_device(
+        SESSIONS, USERS, select="SELECT 1 WHERE (SELECT count(*) FROM sessions) < (SELECT count(*) FROM users)"
+    ),
+    duplicate_rate_in_band=_out_of_band("duplicate_rate", 0.012, 0.018),
+    null_user_rate_in_band=_out_of_band("null_user_rate", 0.003, 0.005),
+    channels_in_order=ORACLES["segment_order"],
+    step_rates_recovered=ORACLES["rate_mismatch"],
+    hours_not_flat=_device(HOURLY, select="SELECT * FROM profile WHERE most <= 3 * least"),
+)

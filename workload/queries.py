@@ -81,10 +81,10 @@ def session_totals(spark, sf_dir):
 
 
 def session_floor(spark, sf_dir):
-    """Sessions with a purchase are fewer than the users, so there is a row."""
-    events = tables.materialise(_clean(spark, sf_dir))
-    bought = tm.session_summary(events).filter("converted = 1")
-    return tm.session_floor(bought, tm.first_touch_users(events))
+    """First sessions with a purchase, one per user at most and not of every user, so there is a row."""
+    events, users = _events_and_users(spark, sf_dir)
+    bought = tm.session_summary(events).filter("session_index = 1 and converted = 1")
+    return tm.session_floor(bought, users)
 
 
 def session_gaps(spark, sf_dir):
@@ -228,6 +228,22 @@ def hour_spread(spark, sf_dir):
     return tm.hour_spread(_dirty(spark, sf_dir))
 
 
+def hour_spread_half_day(spark, sf_dir):
+    """Groups all around the clock, by the three hours that an event falls in: the farthest from each
+    is about half a day away."""
+    band = F.concat(F.lit("from "), F.expr("hour(event_ts) div 3 * 3").cast("string"))
+    return tm.hour_spread(_dirty(spark, sf_dir).withColumn("band", band), "band", min_rows=0)
+
+
+def hour_profile(spark, sf_dir):
+    return tm.hour_profile(_dirty(spark, sf_dir))
+
+
+def flat_hours(spark, sf_dir):
+    """The events as given come at all hours alike, so there is a row."""
+    return tm.flat_hours(spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("ts", "event_ts"))
+
+
 def dup_keys(spark, sf_dir):
     return tm.dup_keys(_dirty(spark, sf_dir))
 
@@ -331,6 +347,10 @@ def check_suite_dirty(spark, sf_dir):
     return _suite(spark, sf_dir, False)
 
 
+def data_tests(spark, sf_dir):
+    return tm.run_data_tests(build_models(raw_events(spark, sf_dir, "device"))).drop("first_row")
+
+
 # --- layouts -----------------------------------------------------------------
 
 
@@ -377,6 +397,23 @@ def layout_by_date(spark, sf_dir):
     return tm.day_slice(spark.read.parquet(path), SLICE_DAY)
 
 
+def layout_late_events(spark, sf_dir):
+    """The by-date layout without its last day's purchases, which come late: rows of each date after
+    they were added."""
+    events, path = tables.materialise(_money(_clean(spark, sf_dir))), tables.shared_dir(spark)
+    late = (F.col("event_date") == date(2024, 1, 30)) & (F.col("event_name") == "purchase")
+    layouts.write_by_date(events.filter(~late), path)
+    tm.add_to_dates(events.filter(late), path)
+    return spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("events"), F.count_if(late).alias("late"))
+
+
+def layout_bucketed(spark, sf_dir):
+    """The funnel on the table bucketed by user, which takes no shuffle of events."""
+    path = tables.shared_dir(spark)
+    table = f"events_{path.rsplit('-', 1)[-1]}"
+    return tm.funnel(tm.write_bucketed(_clean(spark, sf_dir, "device"), table, path, buckets=8))
+
+
 def json_result(spark, sf_dir):
     """The funnel written as JSON lines and read back."""
     path = tables.shared_dir(spark)
@@ -464,6 +501,9 @@ QUERIES = {
         circular_mean_hour_clean,
         hour_skew,
         hour_spread,
+        hour_spread_half_day,
+        hour_profile,
+        flat_hours,
         dup_keys,
         null_users,
         before_signup,
@@ -480,12 +520,15 @@ QUERIES = {
         check_suite_clean,
         check_suite_dirty,
         check_first_rows,
+        data_tests,
         day_slice,
         layout_sizes,
         layout_contents,
         layout_clustered,
         layout_narrow,
         layout_by_date,
+        layout_late_events,
+        layout_bucketed,
         json_result,
         mart_views,
         report,
