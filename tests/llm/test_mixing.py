@@ -3,13 +3,15 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from documents_fixture import make_docs  # noqa: F401
 from tidemark.llm import mixing
 
 
-def draws(seed, key, rate):
-    """Copies of a row: the inverted distribution, piece by piece."""
+def draws(seed, row, rate):
+    """Copies of a row (id, text, ...): the inverted distribution, piece by piece."""
+    key = hashlib.md5("\x1f".join("null" if v is None else str(v) for v in row[:2]).encode()).hexdigest()
     pieces = max(1, math.ceil(rate / 16))
     mean, total = rate / pieces, 0
     for i in range(1, pieces + 1):
@@ -34,7 +36,7 @@ def sources(counts):
 
 
 def expected(rows, rates):
-    copies = {i: draws(mixing.SEED, "null" if i is None else i, rates[s]) for i, _, _, s in rows}
+    copies = {row[0]: draws(mixing.SEED, row, rates[row[3]]) for row in rows}
     return Counter({i: n for i, n in copies.items() if n})
 
 
@@ -79,3 +81,29 @@ def test_empty_table_and_no_weights(make_docs):
     assert mixing.mix_sources(make_docs([(1, "x")]).limit(0)).count() == 0
     assert mixing.mix_sources(make_docs([(1, "x")]), weights={}).count() == 0
     assert mixing.mix_sources(make_docs([(1, "x")]), weights={"other": 1.0}).count() == 0
+
+
+def test_rows_without_an_id_or_of_one_id_draw_for_themselves(make_docs):
+    """Two thirds of the rows have no id, a tenth shares one: no seed loses a group or puts it in one task."""
+    rows = [(None if i % 3 else 7 if i % 10 == 0 else i, f"text {i}", "en", "ab"[i % 2]) for i in range(1500)]
+    docs = make_docs(rows).cache()
+    for seed in range(12):
+        mixed = mixing.mix_sources(docs, seed=seed)
+        groups = Counter(r.doc_id if r.doc_id in (None, 7) else 0 for r in mixed.select("row.doc_id").collect())
+        assert 850 < groups[None] < 1150 and 20 < groups[7] < 90
+    assert Counter(r.text for r in mixed.select("row.text").collect()) == Counter(
+        {row[1]: n for row in rows if (n := draws(11, row, 1.0))}
+    )
+    sizes = [r["count"] for r in mixing.mix_sources(docs).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_one_row_of_half_the_weight_is_made_by_many_tasks(make_docs, spark):
+    rows = [(1, "rare", "en", "b"), *[(i, f"text {i}", "en", "a") for i in range(2, 50)]]
+    mixed = mixing.mix_sources(make_docs(rows), weights={"a": 0.5, "b": 0.5}, total=20_000)
+    counts = Counter(r.doc_id for r in mixed.select("row.doc_id").collect())
+    assert counts[1] == draws(mixing.SEED, rows[0], 10_000) and abs(counts[1] - 10_000) < 500
+    numbered = [r["copy"] for r in mixed.filter("row.doc_id = 1").select("copy").collect()]
+    assert sorted(numbered) == list(range(1, counts[1] + 1))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(digest" in plan

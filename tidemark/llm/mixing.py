@@ -2,18 +2,23 @@
 
 A source that should hold a share ``w`` of ``total`` rows and has ``n`` repeats each of its
 rows ``w * total / n`` times on average. Each row draws its number of copies from a Poisson
-distribution with that mean, by inverting it at a uniform number hashed from seed and id:
-the draw needs no state, repeats after a lost executor and is the same on any cluster. Rows
-are exploded by their count and dealt out by a hash of seed, id and copy, which shuffles the
-mixture globally.
+distribution with that mean, by inverting it at a uniform number hashed from seed and a digest of the
+row's ``identity`` (id and text): the draw needs no state, repeats after a lost executor and is the
+same on any cluster. Rows are exploded by their count and dealt out by a hash of seed, digest and
+copy, which shuffles the mixture globally.
 
 Poisson means add up, so a mean above ``PIECE`` is drawn as the sum of equal pieces, each
 with a uniform number of its own; the terms beyond ``TERMS`` of a piece have a probability
-below the resolution of a double. A NULL source is a source of its own, a NULL id hashes as
-the text ``null``, rows that share an id share a draw, and an empty table gives an empty one.
+below the resolution of a double. Where a source repeats its rows more than ``CHUNK`` times, chunks of
+copies shuffle before they are written out, so that not one task makes all copies of a row.
+
+A NULL source is a source of its own. NULLs of the identity count as the text ``null``; rows that share
+an id, or have none, draw for themselves by their texts, and rows with id and text alike are one
+document given twice and share a draw. A row of any length is hashed whole. Columns come along
+whatever their names, as the struct ``row``. An empty table gives an empty one.
 """
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +28,7 @@ from tidemark.sources.tables import materialise
 
 PIECE = 16
 TERMS = 100
+CHUNK = 1000
 SEED = 20240
 #: Of the default weights: each source's number of rows to this power, as a share of the sum.
 EXPONENT = 0.5
@@ -82,7 +88,7 @@ def mix_sources(
     weights: Mapping[str, float] | None = None,
     total: int | None = None,
     seed: int = SEED,
-    id_column: str = "doc_id",
+    identity: Sequence[str] = ("doc_id", "text"),
     source_column: str = "source",
     exponent: float = EXPONENT,
 ) -> DataFrame:
@@ -90,20 +96,24 @@ def mix_sources(
     in shuffled order."""
     # Saved, so that its join is planned on its true size; a hot source can then be split.
     rates = materialise(source_rates(docs, weights, total, source_column, exponent))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in identity]
     keyed = docs.select(
-        row_struct(docs),
-        F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("key"),
-        F.col(source_column).alias("from"),
-    )
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("pieces")),
-        F.lit(0),
-        lambda sum_, i: sum_
-        + F.size(F.filter(F.col("cdf"), lambda c: c <= _uniform(seed, F.col("key"), i))),
+        row_struct(docs), F.md5(F.concat_ws("\x1f", *named).cast("binary")).alias("digest"), F.col(source_column).alias("from")
     )
+
+    def draw(i: Column) -> Column:
+        """A piece's copies; its uniform number is bound to a name, so that it is computed once."""
+        uniform = F.array(_uniform(seed, F.col("digest"), i))
+        return F.transform(uniform, lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))[0]
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("pieces")), F.lit(0), lambda sum_, i: sum_ + draw(i))
     met = keyed.join(rates.select("source", "pieces", "cdf"), F.col("from").eqNullSafe(F.col("source")))
-    counted = met.select("row", "key", drawn.alias("copies")).filter("copies > 0")
-    copies = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    place = F.xxhash64(F.lit(seed), "key", "copy")
+    counted = met.select("row", "digest", drawn.alias("copies")).filter("copies > 0")
+    chunks = counted.select("*", F.explode(F.expr(f"sequence(0, (copies - 1) div {CHUNK})")).alias("chunk"))
+    if rates.filter(F.col("rate") > CHUNK).limit(1).count():
+        chunks = chunks.repartition("digest", "chunk")
+    each = F.expr(f"sequence(int(chunk * {CHUNK} + 1), int(least(copies, (chunk + 1) * {CHUNK})))")
+    copies = chunks.select("row", "digest", "copies", F.explode(each).alias("copy"))
+    place = F.xxhash64(F.lit(seed), "digest", "copy")
     dealt = copies.withColumn("place", place).repartition("place").sortWithinPartitions("place")
     return dealt.select("row", "copy", "copies")

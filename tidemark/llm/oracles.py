@@ -65,7 +65,8 @@ spread AS (SELECT source, list(below ORDER BY k) AS cdf FROM terms GROUP BY sour
 drawn AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
     (SELECT sum(len(list_filter(s.cdf, lambda c: c <= CAST(concat('0x', substr(md5(concat('20240:',
-        coalesce(CAST(d.doc_id AS VARCHAR), 'null'), ':', i)), 1, 13)) AS BIGINT) / 4503599627370496.0)))
+        md5(concat(coalesce(CAST(d.doc_id AS VARCHAR), 'null'), chr(31), coalesce(d.text, 'null'))), ':', i)), 1, 13))
+        AS BIGINT) / 4503599627370496.0)))
      FROM generate_series(1, p.pieces) AS g(i)) AS copies
   FROM documents d
   JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source
