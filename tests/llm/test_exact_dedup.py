@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+import pytest
+
 from conftest import rows
+from pyspark.sql.readwriter import DataFrameWriter
 
 from documents_fixture import make_docs  # noqa: F401
 from tidemark.llm import exact_dedup
@@ -49,14 +52,52 @@ def test_a_hot_group_and_many_texts(make_docs):
     assert exact_dedup.exact_dedup(make_docs(texts)).count() == 2001
 
 
-def test_a_filter_too_large_to_broadcast(make_docs, monkeypatch):
-    monkeypatch.setattr(exact_dedup.probe, "__defaults__", (0,))
-    assert sorted(map(tuple, exact_dedup.dedup_report(make_docs(TEXTS)).collect()), key=str) == brute(TEXTS)
+def test_a_filter_too_large_to_broadcast(make_docs):
+    assert sorted(map(tuple, exact_dedup.dedup_report(make_docs(TEXTS), limit=0).collect()), key=str) == brute(TEXTS)
+
+
+@pytest.mark.parametrize("limit", [0, 4096, 3 * 4096, 1 << 25])
+def test_files_are_taken_in_groups_within_the_limit(make_docs, limit):
+    texts = TEXTS + [(i, f"text {i % 170}") for i in range(100, 500)]
+    docs = make_docs(texts, clashes=True).repartition(7)
+    kept = exact_dedup.exact_dedup(docs, limit=limit)
+    assert kept.schema == docs.schema
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(
+        str((i, t)) for i, t in kept_texts(texts)
+    )
+
+
+def kept_texts(texts):
+    """Of equal texts the row with the smallest id, the text as that row has it."""
+    best = {}
+    for i, text in texts:
+        plain = re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+        if plain not in best or (i is not None and (best[plain][0] is None or i < best[plain][0])):
+            best[plain] = (i, text)
+    return best.values()
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 25])
+def test_texts_never_shuffle(make_docs, spark, monkeypatch, limit):
+    """Of every plan that runs, no exchange has a text, or the struct it is kept in, among its columns."""
+    seen = []
+
+    def spy(self, *args, _plain=DataFrameWriter.parquet, **more):
+        seen.append(explained(self._df))
+        return _plain(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    docs = spark.range(300).selectExpr("id doc_id", "concat('some text ', id % 200) text")
+    kept = exact_dedup.exact_dedup(docs, limit=limit)
+    seen.append(explained(kept))
+    assert kept.count() == 200 and len(seen) >= 6
+    shuffled = [line for text in seen for line in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", text)]
+    assert len(shuffled) >= 4 and not [line for line in shuffled if re.search(r"\b(text|doc)#", line)]
+    assert not any("Python" in text or "Arrow" in text for text in seen)
 
 
-def test_only_possible_repeats_are_shuffled(make_docs):
-    plan = exact_dedup.exact_dedup(make_docs([(i, f"t {i}") for i in range(50)]))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "WindowGroupLimit" in plan
+def explained(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
 def test_an_empty_table(make_docs):

@@ -3,25 +3,35 @@
 Texts are equal when identical after every run of ASCII white space became one space; NULL
 counts as empty. The first pass reduces each row to a digest and counts how many rows hit each
 bit of a blocked Bloom filter; the bits hit twice form the filter of possibly repeated digests.
-The second pass probes it: only rows that hit it are shuffled and grouped by digest, all
+The second pass probes it: only digests that hit it are shuffled and grouped, all
 others are unique for certain and pass straight through.
 
+Texts never shuffle, at any size: what is grouped are digests with the place of their row. In
+``exact_dedup`` the verdict comes back as one bit per row. Rows are saved with their places, which run through
+each file, and the bits of a run of 32,768 places meet their rows in a broadcast join. As many runs as fit
+the limit are sent along at a time; beyond it the files are taken in groups, each read once with its
+own bits.
+
 Of equal texts the row with the smallest ``doc_id`` stays (a NULL id comes last; of rows that
-share id and text, one stays). Every other column is carried along unread, whatever its name.
-An empty table gives an empty result.
+share id and text, one stays). Texts of any length are hashed whole. Every other column is carried
+along unread, whatever its name. An empty table gives an empty result.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import row_struct
-from tidemark.sources.tables import materialise
+from tidemark.sources.tables import materialise, scratch, shared_dir
 
 #: Bits of one block, as the bitmap functions of Spark have them (4,096 bytes).
 BLOCK_BITS = 32768
 BITS_PER_ROW = 16
-#: A filter up to this size is broadcast; a larger one meets the rows' digests by a join.
+#: A filter up to this size is broadcast; a larger one meets the rows' digests by a join. Also
+#: what is broadcast of the verdicts at a time.
 BROADCAST_BYTES = 32 << 20
+#: A place is the file in its upper bits and the row within it in the lower 33; a run is as many
+#: places as a bitmap has bits.
+PLACE_BITS, RUN_BITS = 33, 15
 
 
 def normalised(text: Column) -> Column:
@@ -68,9 +78,24 @@ def probe(rows: DataFrame, bitmaps: DataFrame, n_blocks: int, limit: int = BROAD
     return met.select(*rows.columns, F.coalesce(both, F.lit(False)).alias("maybe"))
 
 
-def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _judged(prints: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``prints`` (doc_id, digest, row) in two: the rows whose digest is no other's for certain, and
+    the possibly repeated ones with ``n``, the size of their group, and ``first`` (doc_id, row), the
+    one that stays; both NULL for a row that is alone after all."""
+    probed = probe(prints, *repeated_filter(prints, prints.count()), limit)
+    maybe = materialise(probed.filter("maybe").drop("maybe"), keep=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    groups = maybe.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first"))
+    # Saved, so that its join is planned on its true size and a hot digest can be split.
+    groups = materialise(groups.filter("n > 1"), keep=True)
+    return probed.filter("not maybe").drop("maybe"), maybe.join(groups, "digest", "left")
+
+
+def dedup_report(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id (the id of the row that stays), group_size,
-    kept, text_sha256 of the normalised text."""
+    kept, text_sha256 of the normalised text. A filter above ``limit`` bytes is joined."""
     prints = materialise(
         docs.select(
             F.col(id_column).alias("doc_id"),
@@ -78,20 +103,15 @@ def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             F.monotonically_increasing_id().alias("row"),
         )
     )
-    probed = probe(prints, *repeated_filter(prints, prints.count()))
-    maybe = materialise(probed.filter("maybe").drop("maybe"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    groups = maybe.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first"))
-    # Saved, so that its join is planned on its true size and a hot digest can be split.
-    groups = materialise(groups.filter("n > 1"))
-    repeated = maybe.join(groups, "digest", "left").select(
+    alone, repeated = _judged(prints, limit)
+    repeated = repeated.select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
-    alone = probed.filter("not maybe").select(
+    alone = alone.select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("bigint").alias("group_size"),
@@ -101,18 +121,52 @@ def dedup_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return alone.unionByName(repeated)
 
 
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns.
-
-    Possibly repeated rows are cut to one per digest in each map task before they shuffle.
-    """
-    keyed = docs.select(
-        row_struct(docs),
-        F.col(id_column).alias("id"),
-        digest_of(F.col(text_column)).alias("digest"),
-    )
-    digests = materialise(keyed.select("digest"))
-    probed = probe(keyed, *repeated_filter(digests, digests.count()))
-    by_digest = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last())
-    firsts = probed.filter("maybe").withColumn("n", F.row_number().over(by_digest)).filter("n = 1")
-    return probed.filter("not maybe").select("row.*").unionByName(firsts.select("row.*"))
+def exact_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns. ``limit`` bounds, in bytes, the filter and
+    the verdicts that are broadcast at a time."""
+    spark = docs.sparkSession
+    placed = materialise(docs.select(row_struct(docs, "doc"), F.monotonically_increasing_id().alias("place")), keep=True)
+    with scratch(spark):
+        prints = materialise(
+            placed.select(
+                F.col(f"doc.`{id_column}`").alias("doc_id"), digest_of(F.col(f"doc.`{text_column}`")).alias("digest"), F.col("place").alias("row")
+            )
+        )
+        repeated = _judged(prints, limit)[1].filter("first.row <> row")
+        run = F.shiftright("row", RUN_BITS)
+        bits = repeated.select(run.alias("run"), F.col("row").bitwiseAND(F.lit(BLOCK_BITS - 1)).alias("bit"))
+        verdicts = materialise(bits.groupBy("run").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), keep=True)
+    keyed = placed.withColumn("run", F.shiftright("place", RUN_BITS))
+    parts = _groups_of_files(verdicts, limit)
+    kept = [_kept(keyed, verdicts)] if len(parts) < 2 else [_kept(*(f.filter(F.col("run").between(*p)) for f in (keyed, verdicts))) for p in parts]
+    if len(kept) == 1:
+        return kept[0]
+    root = shared_dir(spark)
+    for i, part in enumerate(kept):  # one after the other: each frees its broadcast
+        part.write.parquet(f"{root}/{i}")
+    return spark.read.schema(docs.schema).parquet(*[f"{root}/{i}" for i in range(len(kept))])
+
+
+def _groups_of_files(verdicts: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """First and last run of consecutive files whose verdicts come to ``limit`` bytes at most, or to
+    one file's; the outer groups are open-ended. The driver sees one row per file."""
+    file = F.shiftright("run", PLACE_BITS - RUN_BITS)
+    sizes = verdicts.groupBy(file.alias("file")).agg(F.count("*").alias("n")).collect()
+    groups, used = [], 0
+    for number, n in sorted(sizes):
+        size = n * (BLOCK_BITS // 8)
+        if groups and used + size <= limit:
+            used += size
+        else:
+            groups.append(number)
+            used = size
+    starts = [0, *[number << (PLACE_BITS - RUN_BITS) for number in groups[1:]]]
+    return list(zip(starts, [*[s - 1 for s in starts[1:]], (1 << 63) - 1]))
+
+
+def _kept(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    met = keyed.join(F.broadcast(verdicts), "run", "left")
+    gone = _bit_set(F.col("place").bitwiseAND(F.lit(BLOCK_BITS - 1)))
+    return met.filter(~F.coalesce(gone, F.lit(False))).select("doc.*")
