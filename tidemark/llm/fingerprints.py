@@ -143,8 +143,8 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Per key: its id, number of ``copies`` and ``n_chars``, the ``next`` key in descending order of
-    ids, and ``user``, the key whose next one it is, with ``user_half``, half the characters of that."""
+    """Per key: its id, number of ``copies`` and ``n_chars``, and ``user``, the key whose next one in
+    descending order of ids it is, with ``user_half``, half the characters of that."""
     slim = rows.groupBy("key").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.min(F.char_length("text")).cast("bigint").alias("n_chars")
     )
@@ -154,26 +154,24 @@ def neighbours(rows: DataFrame) -> DataFrame:
     ranged = materialise(ranged)
     within = Window.partitionBy("range").orderBy(*order)
     place = F.struct(*order, "n_chars")
-    ends = ranged.groupBy("range").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    ends = ranged.groupBy("range").agg(F.min(place).alias("least"))
     # One row per range partition.
     along = Window.orderBy("range")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select(
         "range",
-        F.coalesce(F.lag("most").over(along), F.last("most").over(whole)).alias("below"),
         F.coalesce(F.lead("least").over(along), F.first("least").over(whole)).alias("above"),
     )
     linked = ranged.select(
-        "range", "key", "id", "copies", "n_chars", F.lag("key").over(within).alias("lower"), F.lead(place).over(within).alias("upper")
+        "range", "key", "id", "copies", "n_chars", F.lead(place).over(within).alias("upper")
     )
-    # Ascending, so the next one in descending order is the one below.
+    # The order is ascending: in descending order this key comes next after the one above.
     user = F.coalesce("upper", "above")
     return linked.join(ends, "range").select(
         "key",
         "id",
         "copies",
         "n_chars",
-        F.coalesce("lower", F.col("below.key")).alias("next"),
         user["key"].alias("user"),
         F.floor(user["n_chars"] / 2).cast("int").alias("user_half"),
     )
@@ -190,12 +188,13 @@ def compare(
     hexadecimal digits, near_edited and near_next."""
     rows = _rows(docs, id_column, text_column)
     with scratch(docs.sparkSession):
-        links = materialise(neighbours(rows), keep=True)
+        links = materialise(neighbours(rows))
         firsts = Window.partitionBy("key").orderBy("key")
         texts = rows.select("key", "text").withColumn("n", F.row_number().over(firsts)).filter("n = 1").drop("n")
-        owned = texts.join(links.select("key", "copies", "user", "user_half"), "key")
+        owned = texts.join(links, "key")
         heads = owned.select(F.col("user").alias("key"), F.expr("left(text, user_half)").alias("head"))
-        both = owned.select("key", "text", "copies").join(heads, "key")
+        known = ["key", "id", "copies", "n_chars", "user"]
+        both = owned.select(*known, "text").join(heads, "key")
         half = F.floor(F.char_length("text") / 2).cast("int")
         stays = F.substring(F.col("text"), F.lit(1), F.char_length("text") - half)
         edited, doubled = F.concat(stays, "head"), F.concat(stays, F.substring(F.col("text"), F.lit(1), half))
@@ -206,16 +205,14 @@ def compare(
 
         own = F.array(version(0, F.col("text")), version(1, edited))
         versions = F.when(F.col("copies") > 1, F.array_append(own, version(2, doubled))).otherwise(own)
-        spread = both.select("key", F.explode(versions).alias("v")).select("key", "v.kind", "v.sha", "v.text")
+        spread = both.select(*known, F.explode(versions).alias("v")).select(*known, "v.kind", "v.sha", "v.text")
         made = fingerprints(spread, samples, width)
         picked = [
             F.max(F.when(F.col("kind") == kind, F.col(c))).alias(name)
             for kind, c, name in ((0, "print", "own"), (1, "sha", "sha"), (1, "print", "edited"), (2, "sha", "sha2"), (2, "print", "doubled"))
         ]
-        prints = materialise(made.groupBy("key").agg(*picked), keep=True)
-        links = links.select("key", "id", "copies", "n_chars", "next")
-        following = prints.select(F.col("key").alias("next"), F.col("own").alias("after"))
-        met = materialise(links.join(following, "next").drop("next").join(prints, "key").drop("key"), keep=True)
+        prints = materialise(made.groupBy(*known).agg(*picked), keep=True)
+    after = prints.select(F.col("user").alias("key"), F.col("own").alias("after"))
 
     def result(sha: str, print_: str, after: Column) -> list[Column]:
         return [
@@ -228,9 +225,9 @@ def compare(
             likeness(F.col("own"), after, samples).alias("near_next"),
         ]
 
-    once = met.select(*result("sha", "edited", F.col("after")))
+    once = prints.join(after, "key").select(*result("sha", "edited", F.col("after")))
     # All copies but one have a copy as the next document; a hot row's are dealt out in pieces.
-    again = met.filter("copies > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (copies - 2) div {PIECE})")))
+    again = prints.filter("copies > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (copies - 2) div {PIECE})")))
     again = again.withColumn("left", F.least(F.lit(PIECE), F.col("copies") - 1 - F.col("piece") * PIECE).cast("int"))
     again = again.repartition("own", "piece").withColumn("copy", F.explode(F.expr("sequence(1, left)")))
     return once.unionByName(again.select(*result("sha2", "doubled", F.col("own"))))
