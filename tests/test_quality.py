@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import at, rows
+from pyspark.sql import functions as F
 from test_funnel import ladder
 
 import tidemark as tm
@@ -327,3 +328,30 @@ def test_data_tests_find_what_was_not_planted(planted):
     outcome = {r.name: r.failed_rows for r in tm.run_data_tests(tm.build_models(planted)).collect()}
     wrong = {name for name, failed in outcome.items() if failed}
     assert len(outcome) == 8 and wrong == {"channels_in_order", "step_rates_recovered"}
+
+
+@pytest.mark.parametrize("gathered", [False, True])
+def test_many_groups_are_compared_evenly(spark, gathered):
+    """1,500 groups all around the clock, and most of them in two hours half a day apart."""
+    rng = random.Random(8)
+    hours = [(rng.choice([3, 15] if gathered and i % 10 else range(24)), rng.randrange(1, 9)) for i in range(1500)]
+    events = at_hours(spark, hours)
+    means = {r.g: r.mean_hour for r in tm.circular_mean_hour(events, "g").collect()}
+    pairs = tm.hour_skew(events, "g", min_rows=0, max_hours=11.5)
+    expected = 0
+    listed = sorted(means.items())
+    for i, (_, a) in enumerate(listed):
+        for _, b in listed[i + 1 :]:
+            d = abs(a - b) % 24
+            expected += round(min(d, 24 - d), 2) > 11.5
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        sizes = [r["count"] for r in tm.hour_skew(events, "g", min_rows=0, max_hours=11.5).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert pairs.count() == sum(sizes) == expected
+    assert len(sizes) == 4 and max(sizes) < 2 * sorted(sizes)[1]

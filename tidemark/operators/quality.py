@@ -82,6 +82,11 @@ def circular_mean_hour(events: DataFrame, by: str = "platform") -> DataFrame:
     )
 
 
+#: Each side of a bin is cut into so many cells: a row is written so many times, and a task
+#: compares this many times this many fewer pairs.
+CELLS = 8
+
+
 def hour_skew(
     events: DataFrame,
     by: str = "platform",
@@ -91,8 +96,10 @@ def hour_skew(
     """Pairs of groups whose circular mean hours lie more than ``max_hours`` apart.
 
     Each group is matched only with whole-hour bins that can be far enough away, an
-    equality join on the bin; the exact distance then decides. The result is as large as
-    the number of such pairs, the square of the number of groups at worst; ``hour_spread``
+    equality join on the bin; the exact distance then decides. Both sides of a bin are cut into
+    ``CELLS`` by a hash of the group, and each cell of one meets each cell of the other under a key
+    of its own, so that groups which gather in few bins do not gather in few tasks. The result is as
+    large as the number of such pairs, the square of the number of groups at worst; ``hour_spread``
     answers whether any group is off in one row per group.
     """
     means = (
@@ -103,13 +110,17 @@ def hour_skew(
     # Bins d apart hold hours less than d + 1 apart; 0.005 covers the rounding below.
     nearest = min(12, max(0, ceil(max_hours - 1.005)))
     far = F.explode(F.array(*[F.lit(d) for d in range(nearest, min(24, 25 - nearest))]))
-    left = means.select(
-        F.col(by).alias(f"{by}_a"), F.col("mean_hour").alias("hour_a"), "bin", far.alias("away")
-    ).select(f"{by}_a", "hour_a", ((F.col("bin") + F.col("away")) % 24).alias("bin"))
-    right = means.select(F.col(by).alias(f"{by}_b"), F.col("mean_hour").alias("hour_b"), "bin")
+    cell = F.pmod(F.xxhash64(by), F.lit(CELLS)).cast("int")
+    cells = F.explode(F.array(*[F.lit(i) for i in range(CELLS)]))
+    left = (
+        means.select(F.col(by).alias(f"{by}_a"), F.col("mean_hour").alias("hour_a"), cell.alias("cell_a"), "bin", far.alias("away"))
+        .withColumn("bin", (F.col("bin") + F.col("away")) % 24)
+        .select(f"{by}_a", "hour_a", "bin", "cell_a", cells.alias("cell_b"))
+    )
+    right = means.select(F.col(by).alias(f"{by}_b"), F.col("mean_hour").alias("hour_b"), "bin", cells.alias("cell_a"), cell.alias("cell_b"))
     apart = F.round(hours_apart(F.col("hour_a"), F.col("hour_b")), 2)
     return (
-        left.join(right, "bin")
+        left.join(right, ["bin", "cell_a", "cell_b"])
         .filter(F.col(f"{by}_a") < F.col(f"{by}_b"))
         .select(
             f"{by}_a",
