@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -135,3 +136,19 @@ def test_windows_are_picked_from_the_whole_text(monkeypatch):
     text = "plain words here " * 2000 + "password = abcdef0123456789XYZ " + "more of them " * 2000
     windows = secrets.tagged_windows(text, np.random.default_rng(1))
     assert any((tags == secrets.BEGIN).any() for _, tags in windows)
+
+
+def test_added_spans_keep_clear_of_base_ones():
+    draw = random.Random(6)
+    for n in (0, 1, 5, 60):
+        base = sorted((a, draw.randrange(3), a + draw.randrange(1, 40)) for a in draw.choices(range(500), k=n))
+        own = sorted((a, a + draw.randrange(1, 20)) for a in draw.choices(range(500), k=80))
+        want = [(a, b) for a, b in own if not any(s < b and a < e for s, _, e in base)]
+        assert secrets.apart(own, base) == want
+
+
+def test_many_spans_of_one_text_take_linear_time():
+    n = 100_000
+    base, own = [(10 * i, 2, 10 * i + 4) for i in range(n)], [(10 * i + 5, 10 * i + 9) for i in range(n)]
+    began = time.perf_counter()
+    assert secrets.apart(own, base) == own and time.perf_counter() - began < 5

@@ -18,8 +18,10 @@ space.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -414,11 +416,23 @@ def scan_texts(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int
     results = []
     for text, own_hexes, own in zip(texts, hexes, added):
         base, _ = base_spans(text, own_hexes)
-        free = [(a, b) for a, b in own if b - a >= MIN_SPAN and not any(s < b and a < e for s, _, e in base)]
-        results.append((base, free))
+        results.append((base, apart([(a, b) for a, b in own if b - a >= MIN_SPAN], base)))
     return results
 
 
+def apart(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The ``spans`` that overlap none of ``base``: of those that start before a span's end, the one
+    that reaches farthest decides, so each span takes one look-up."""
+    ordered = sorted(base)
+    starts, reach = [s for s, _, _ in ordered], list(accumulate((e for _, _, e in ordered), max))
+    free = []
+    for a, b in spans:
+        before = bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
+            free.append((a, b))
+    return free
+
+
 def scan(docs: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document the number of matches of each pattern, ``base`` (their spans) and ``spans``
     (all spans), as kind:start:end by start, then kind, joined by commas."""
