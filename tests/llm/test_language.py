@@ -94,3 +94,16 @@ def test_too_many_values(make_docs, monkeypatch):
     docs = make_docs([(i, "abc", f"l{i}", "s") for i in range(1, 9)])
     with pytest.raises(ValueError, match="more than 2"):
         language.predict(docs, language.learn_profiles(docs, language.learned_fold()))
+
+
+def test_a_hot_language_is_cut_in_map_tasks(spark):
+    """One language with most n-grams, ties in number: each task forwards its first ones only."""
+    counts = spark.range(3000).selectExpr("if(id % 10 = 0, 'b', 'a') lang", "id * 7919 % 3001 gram", "id % 13 n").repartition(5)
+    found = language.most_frequent(counts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    want = []
+    for lang in "ab":
+        own = sorted(((-r.n, r.gram) for r in counts.collect() if r.lang == lang))[: language.PROFILE]
+        want += [(lang, gram, place) for place, (_, gram) in enumerate(own)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)

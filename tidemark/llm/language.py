@@ -134,9 +134,15 @@ def learn_profiles(docs: DataFrame, learn: Column, text_column: str = "text", la
         F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")
     )
     counts = map_arrow(known, count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return materialise(most_frequent(counts))
+
+
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """lang, gram and place of the first ``PROFILE`` n-grams of each language. The filter is on the
+    bare row number: each map task then forwards that many rows of a language at most."""
     by_rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    ranked = counts.withColumn("place", F.row_number().over(by_rank) - 1).filter(F.col("place") < PROFILE)
-    return materialise(ranked.select("lang", "gram", "place"))
+    ranked = counts.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= PROFILE)
+    return ranked.select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 
 def predict(docs: DataFrame, profiles: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
