@@ -143,6 +143,12 @@ def scratch(spark: SparkSession) -> Iterator[Workspace]:
         space.drop()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path that goes with the ``scratch`` block that runs, else one of the program's."""
+    space = _scope.get()
+    return f"{space.root}/{uuid.uuid4().hex}" if space else shared_dir(spark)
+
+
 def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, read by many, safe to lose
     executors over. ``keep`` saves it beyond the ``scratch`` block that runs."""
