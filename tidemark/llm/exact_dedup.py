@@ -7,10 +7,7 @@ The second pass probes it: only digests that hit it are shuffled and grouped, al
 others are unique for certain and pass straight through.
 
 Texts never shuffle, at any size: what is grouped are digests with the place of their row. In
-``exact_dedup`` the verdict comes back as one bit per row. Rows are saved with their places, which run through
-each file, and the bits of a run of 32,768 places meet their rows in a broadcast join. As many runs as fit
-the limit are sent along at a time; beyond it the files are taken in groups, each read once with its
-own bits.
+``exact_dedup`` the verdict comes back as one bit per row (``places.py``).
 
 Of equal texts the row with the smallest ``doc_id`` stays (a NULL id comes last; of rows that
 share id and text, one stays). Texts of any length are hashed whole. Every other column is carried
@@ -20,18 +17,10 @@ along unread, whatever its name. An empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_struct
-from tidemark.sources.tables import materialise, scratch, shared_dir
+from tidemark.llm.places import BLOCK_BITS, BROADCAST_BYTES, bit_set, meet, save_placed
+from tidemark.sources.tables import materialise, scratch
 
-#: Bits of one block, as the bitmap functions of Spark have them (4,096 bytes).
-BLOCK_BITS = 32768
 BITS_PER_ROW = 16
-#: A filter up to this size is broadcast; a larger one meets the rows' digests by a join. Also
-#: what is broadcast of the verdicts at a time.
-BROADCAST_BYTES = 32 << 20
-#: A place is the file in its upper bits and the row within it in the lower 33; a run is as many
-#: places as a bitmap has bits.
-PLACE_BITS, RUN_BITS = 33, 15
 
 
 def normalised(text: Column) -> Column:
@@ -62,19 +51,13 @@ def repeated_filter(digests: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return materialise(bitmaps), n_blocks
 
 
-def _bit_set(position: Column) -> Column:
-    byte = F.substring("bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.expr("1").bitwiseAND(F.call_function("shiftright", value, position % 8)) == 1
-
-
 def probe(rows: DataFrame, bitmaps: DataFrame, n_blocks: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Second pass: ``rows`` (with ``digest``) and whether the digest may be repeated."""
     block, bits = _slots(n_blocks)
     small = n_blocks * (BLOCK_BITS // 8) <= limit
     keyed = rows.select("*", block.alias("block"), bits.alias("bits"))
     met = keyed.join(F.broadcast(bitmaps) if small else bitmaps, "block", "left")
-    both = _bit_set(F.col("bits")[0]) & _bit_set(F.col("bits")[1])
+    both = bit_set(F.col("bits")[0]) & bit_set(F.col("bits")[1])
     return met.select(*rows.columns, F.coalesce(both, F.lit(False)).alias("maybe"))
 
 
@@ -126,47 +109,16 @@ def exact_dedup(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. ``limit`` bounds, in bytes, the filter and
     the verdicts that are broadcast at a time."""
-    spark = docs.sparkSession
-    placed = materialise(docs.select(row_struct(docs, "doc"), F.monotonically_increasing_id().alias("place")), keep=True)
-    with scratch(spark):
+    placed = save_placed(docs)
+    with scratch(docs.sparkSession):
         prints = materialise(
             placed.select(
                 F.col(f"doc.`{id_column}`").alias("doc_id"), digest_of(F.col(f"doc.`{text_column}`")).alias("digest"), F.col("place").alias("row")
             )
         )
         repeated = _judged(prints, limit)[1].filter("first.row <> row")
-        run = F.shiftright("row", RUN_BITS)
-        bits = repeated.select(run.alias("run"), F.col("row").bitwiseAND(F.lit(BLOCK_BITS - 1)).alias("bit"))
-        verdicts = materialise(bits.groupBy("run").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")), keep=True)
-    keyed = placed.withColumn("run", F.shiftright("place", RUN_BITS))
-    parts = _groups_of_files(verdicts, limit)
-    kept = [_kept(keyed, verdicts)] if len(parts) < 2 else [_kept(*(f.filter(F.col("run").between(*p)) for f in (keyed, verdicts))) for p in parts]
-    if len(kept) == 1:
-        return kept[0]
-    root = shared_dir(spark)
-    for i, part in enumerate(kept):  # one after the other: each frees its broadcast
-        part.write.parquet(f"{root}/{i}")
-    return spark.read.schema(docs.schema).parquet(*[f"{root}/{i}" for i in range(len(kept))])
-
-
-def _groups_of_files(verdicts: DataFrame, limit: int) -> list[tuple[int, int]]:
-    """First and last run of consecutive files whose verdicts come to ``limit`` bytes at most, or to
-    one file's; the outer groups are open-ended. The driver sees one row per file."""
-    file = F.shiftright("run", PLACE_BITS - RUN_BITS)
-    sizes = verdicts.groupBy(file.alias("file")).agg(F.count("*").alias("n")).collect()
-    groups, used = [], 0
-    for number, n in sorted(sizes):
-        size = n * (BLOCK_BITS // 8)
-        if groups and used + size <= limit:
-            used += size
-        else:
-            groups.append(number)
-            used = size
-    starts = [0, *[number << (PLACE_BITS - RUN_BITS) for number in groups[1:]]]
-    return list(zip(starts, [*[s - 1 for s in starts[1:]], (1 << 63) - 1]))
-
-
-def _kept(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
-    met = keyed.join(F.broadcast(verdicts), "run", "left")
-    gone = _bit_set(F.col("place").bitwiseAND(F.lit(BLOCK_BITS - 1)))
-    return met.filter(~F.coalesce(gone, F.lit(False))).select("doc.*")
+        return meet(placed, repeated.select(F.col("row").alias("place")), _kept, limit, keep=True)
+
+
+def _kept(met: DataFrame) -> DataFrame:
+    return met.filter("not hit").select("doc.*")

@@ -24,6 +24,9 @@ they merge most of a family, and the lists whose sets are in one component by th
 are sets without a candidate. A second round searches the rest whole, pairs of cells by pairs, but
 only for pairs between different components. Neither emits all pairs of a group.
 
+Rows are saved with their places and texts are fetched again by place, with a bit per row
+(``places.py``): a text never shuffles, at any size.
+
 A text with fewer words than a shingle has is one shorter shingle, one without words is empty
 and linked with nothing. NULL counts as empty. A NULL id never names a component unless all
 ids in it are NULL; rows that share an id are texts of their own. An empty table gives an
@@ -38,11 +41,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, row_struct, slices, texts_of
+from tidemark.llm.common import map_arrow, slices, texts_of
 from tidemark.llm.components import components
+from tidemark.llm.places import BROADCAST_BYTES, meet, save_placed
 from tidemark.llm.shingles import mix, set_digest, shingle_set
 from tidemark.sources.tables import materialise, scratch
 
@@ -58,10 +62,10 @@ SKETCH_BITS, CHUNK_BITS = 18, 12
 LARGEST_LIGHT = 40
 #: Sets of a cell of an inverted list, and rows of a list that one task reads at first.
 CELL, LIST_ROWS = 2048, 1 << 16
-#: Ids up to this number go along with the tasks that read texts again.
+#: Classes up to this number go along with the tasks that read whole sets again.
 BROADCAST_IDS = 1_000_000
 
-PRINTS = "doc_id bigint, key binary, n bigint, cls bigint, bits binary, chunk int, part int"
+PRINTS = "doc_id bigint, place bigint, n bigint, cls bigint, bits binary, chunk int, part int"
 KEYS = "key bigint, salt int, hot boolean, cls bigint, n int, place int"
 LISTED = "key bigint, cls bigint, n int, place int"
 SETS = "cls bigint, n bigint, wide binary, shingles binary"
@@ -127,20 +131,13 @@ def _parity(hashes: np.ndarray, bits: int) -> bytes:
     return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
-def _key(id_column: str, text_column: str) -> Column:
-    """128 bits of the SHA-256 of a row's id and text: rows that share it are copies."""
-    name = F.coalesce(F.col(id_column).cast("bigint").cast("string"), F.lit("null"))
-    whole = F.concat(name, F.lit(":"), F.coalesce(F.col(text_column), F.lit("")))
-    return F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
-
-
-def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """Per row of ``docs`` its id, key, size of set, class and bitmap; and the tasks' sketches, as
-    rows with a ``chunk``."""
+def _prints(placed: DataFrame, width: int) -> DataFrame:
+    """Per row of ``placed`` (doc_id, text, place) its id, place, size of set, class and bitmap; and
+    the tasks' sketches, as rows with a ``chunk``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, part = np.zeros(1 << SKETCH_BITS, "u4"), set(), TaskContext.get().partitionId()
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
         schema = pa.schema(list(zip([c.split()[0] for c in PRINTS.split(", ")], kinds)))
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -158,7 +155,7 @@ def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> Da
                         else:
                             sketch += np.bincount(slots, minlength=len(sketch)).astype("u4")
                 size = len(n)
-                columns = [piece.column("doc_id"), piece.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
+                columns = [piece.column("doc_id"), piece.column("place"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())]
                 nulls = pa.nulls(size, pa.int32())
                 yield pa.RecordBatch.from_arrays([*columns, nulls, nulls], schema=schema)
         if seen:
@@ -170,10 +167,7 @@ def _prints(docs: DataFrame, width: int, id_column: str, text_column: str) -> Da
                 schema=schema,
             )
 
-    picked = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"), _key(id_column, text_column).alias("key"), F.col(text_column).alias("text")
-    )
-    return materialise(map_arrow(picked, read, PRINTS), keep=True)
+    return materialise(map_arrow(placed.select("doc_id", "place", "text"), read, PRINTS), keep=True)
 
 
 def _sketch(prints: DataFrame) -> np.ndarray:
@@ -213,7 +207,7 @@ def best_boundary(sizes: dict[int, int], sketch: np.ndarray, rule: Rule) -> int:
     return min(range(1, LARGEST_LIGHT + 1), key=cost)
 
 
-def _keys(docs: DataFrame, width: int, rule: Rule, boundary: int, sketch: np.ndarray, text_column: str) -> DataFrame:
+def _keys(placed: DataFrame, width: int, rule: Rule, boundary: int, sketch: np.ndarray) -> DataFrame:
     """The light subsets (place -1 or -2, by side) and the places in inverted lists, saved. Equal
     sets are listed once per task."""
     order = sketch.astype("u8")
@@ -255,7 +249,7 @@ def _keys(docs: DataFrame, width: int, rule: Rule, boundary: int, sketch: np.nda
                         names=[c.split()[0] for c in KEYS.split(", ")],
                     )
 
-    return materialise(map_arrow(docs.select(F.col(text_column).alias("text")), read, KEYS))
+    return materialise(map_arrow(placed.select("text"), read, KEYS))
 
 
 def _light_links(keys: DataFrame) -> DataFrame:
@@ -385,36 +379,24 @@ def _candidates(cells: DataFrame, rule: Rule, boundary: int, forest: bool) -> Da
     return map_arrow(ordered, search, PAIRS).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """The whole sets of the classes ``wanted`` (cls, text_key), from one text of each, saved."""
+def _sets(placed: DataFrame, wanted: DataFrame, width: int, limit: int) -> DataFrame:
+    """The whole sets of the texts at the places ``wanted``, one of each class, saved."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 rows = []
-                for cls, text in zip(piece.column("cls").to_pylist(), texts_of(piece.column("text"))):
-                    if cls in seen:
-                        continue
+                for text in texts_of(piece.column("text")):
                     hashes = shingle_set(text, width)
-                    if set_digest(hashes) == cls:
-                        seen.add(cls)
-                        wide = _parity(hashes, WIDE_BITS) if len(hashes) > BITS else b""
-                        rows.append((cls, len(hashes), wide, hashes.astype("<u8").tobytes()))
+                    wide = _parity(hashes, WIDE_BITS) if len(hashes) > BITS else b""
+                    rows.append((set_digest(hashes), len(hashes), wide, hashes.astype("<u8").tobytes()))
                 columns = zip(*rows) if rows else ((), (), (), ())
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=["cls", "n", "wide", "shingles"]
                 )
 
-    wanted = materialise(wanted.select("cls", "text_key"))
-    classes = wanted.count()
-    if classes <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    picked = docs.select(F.xxhash64(_key(id_column, text_column)).alias("text_key"), F.col(text_column).alias("text"))
-    sets = materialise(map_arrow(picked.join(wanted, "text_key").select("cls", "text"), read, SETS))
-    # Copies with one id are read by several tasks.
-    return sets if sets.count() <= classes else materialise(sets.dropDuplicates(["cls"]))
+    return materialise(meet(placed, wanted, lambda met: map_arrow(met.filter("hit").select("text"), read, SETS), limit))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -456,39 +438,43 @@ def near_duplicates(
     percent: int = PERCENT,
     id_column: str = "doc_id",
     text_column: str = "text",
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
+    """doc_id, n_shingles, component_id (the smallest id that links lead to, its own included).
+    ``limit`` bounds, in bytes, the bits that are broadcast at a time to fetch texts."""
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    found = _found(docs, width, percent, id_column, text_column)
+    with scratch(docs.sparkSession):
+        picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+        placed = materialise(picked.withColumn("place", F.monotonically_increasing_id()))
+        found = _found(placed, width, percent, limit)
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _found(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """Per row of ``docs`` its id, key, size of set and, unless it is empty, its component's label and id."""
+def _found(placed: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
+    """Per row of ``placed`` (doc_id, text, place) its id, place, size of set and, unless it is empty,
+    its component's label and id. Texts are fetched by place, so none shuffles."""
     rule = Rule(percent)
-    prints = _prints(docs, width, id_column, text_column)
+    prints = _prints(placed, width)
     rows = prints.filter(F.col("chunk").isNull())
-    with scratch(docs.sparkSession):
-        of_class = materialise(_components(docs, prints, rows, rule, width, id_column, text_column), keep=True)
-    return rows.select("doc_id", "key", "n", "cls").join(of_class, "cls", "left")
+    with scratch(placed.sparkSession):
+        of_class = materialise(_components(placed, prints, rows, rule, width, limit), keep=True)
+    return rows.select("doc_id", "place", "n", "cls").join(of_class, "cls", "left")
 
 
-def _components(docs, prints, rows, rule, width, id_column, text_column) -> DataFrame:
+def _components(placed, prints, rows, rule, width, limit) -> DataFrame:
     """The component (label and smallest id) of every class that is not empty."""
     sketch = _sketch(prints)
-    classes = rows.filter("n > 0").groupBy("cls", "n").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("key")).alias("text_key")
-    )
+    classes = rows.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
     classes = materialise(classes)
     counted = classes.filter(F.col("n") <= rule.largest(LARGEST_LIGHT)).groupBy("n").count().collect()
     boundary = best_boundary({r["n"]: r["count"] for r in counted}, sketch, rule)
 
-    keys = _keys(docs, width, rule, boundary, sketch, text_column)
+    keys = _keys(placed, width, rule, boundary, sketch)
     links = _light_links(keys)
     lists = _inverted_lists(keys, rule, boundary)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        return _sets(docs, classes.join(_ends(pairs), "cls", "left_semi"), width, id_column, text_column)
+        return _sets(placed, classes.join(_ends(pairs), "cls", "left_semi"), width, limit)
 
     links = links.unionByName(_heavy_links(lists, rows, rule, boundary, links, sets_of))
     labels = components(links)
@@ -545,33 +531,25 @@ def drop_near_duplicates(
     percent: int = PERCENT,
     id_column: str = "doc_id",
     text_column: str = "text",
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` that stay: all empty ones, and of every component exactly one, with the
-    smallest id (a NULL id comes last; of rows that share the id, one)."""
-    found = _found(docs, width, percent, id_column, text_column)
+    smallest id (a NULL id comes last; of rows that share the id, the first by place). ``limit``
+    bounds, in bytes, the bits that are broadcast at a time."""
+    saved = save_placed(docs)
     with scratch(docs.sparkSession):
-        judged = materialise(_judged(found), keep=True)
-    small = judged.count() <= BROADCAST_IDS
-    met = docs.select(row_struct(docs), _key(id_column, text_column).alias("key")).join(
-        F.broadcast(judged) if small else judged, "key", "left"
-    )
-    kept = met.filter(F.col("first").isNull()).select("row.*")
-    if judged.filter("first").limit(1).count():
-        # By a struct, which the join is not dealt by: copies are cut to one per task before they shuffle.
-        copies = Window.partitionBy(F.struct("key")).orderBy("key")
-        firsts = met.filter("first").withColumn("n", F.row_number().over(copies)).filter("n = 1")
-        kept = kept.unionByName(firsts.select("row.*"))
-    return kept
-
-
-def _judged(found: DataFrame) -> DataFrame:
-    """The keys of which not every row stays: none, or one of several copies (``first``)."""
-    keys = found.filter(F.col("label").isNotNull()).groupBy("label", "doc_id", "key").agg(F.count("*").alias("copies"))
-    keys = materialise(keys)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    several = keys.groupBy("label").agg(F.min(order).alias("least"), F.sum("copies").alias("rows")).filter("rows > 1")
-    several = materialise(several.select("label", F.col("least.key").alias("least")))
-    if several.count() <= BROADCAST_IDS:
-        several = F.broadcast(several)
-    first = F.col("key") == F.col("least")
-    return keys.join(several, "label").filter(~first | (F.col("copies") > 1)).select("key", first.alias("first"))
+        placed = saved.select(
+            F.col(f"doc.`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"doc.`{text_column}`").alias("text"), "place"
+        )
+        gone = _gone(_found(placed, width, percent, limit))
+        return meet(saved, gone, lambda met: met.filter("not hit").select("doc.*"), limit, keep=True)
+
+
+def _gone(found: DataFrame) -> DataFrame:
+    """The places of all rows of a component but the one that stays."""
+    rows = materialise(found.filter(F.col("label").isNotNull()).select("label", "doc_id", "place"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place"))
+    several = rows.groupBy("label").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Saved, so that its join is planned on its true size and a hot component can be split.
+    several = materialise(several.select("label", F.col("first.place").alias("stays")))
+    return rows.join(several, "label").filter("place <> stays").select("place")

@@ -8,8 +8,9 @@ the first ``SAMPLE_BYTES`` bytes); where they are too few to train one, files ha
 Of pages with equal payloads of at least ``MIN_REVISIT_BYTES`` bytes, the one with the largest
 page_id is a ``response``, the others are ``revisit`` records that carry its digest, the HTTP
 header and a reference, but no payload. Equal payloads are found by SHA-1 and length, counted
-in map tasks first; the pages themselves are not shuffled unless the repeated payloads are
-too many to broadcast.
+in map tasks first. Pages never shuffle, at any size: a revisit needs no payload, so revisits are
+written from slim rows, and a bit per row (``places.py``) tells the tasks that read the pages which to
+leave out.
 
 Files are named per attempt, and only files of the committed manifest are read. A NULL html is
 an empty payload, a NULL url is an empty target, a NULL page_id comes before all others and is
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import filesystem, map_arrow, open_read, slices
-from tidemark.sources.tables import materialise
+from tidemark.llm.places import BROADCAST_BYTES, meet
+from tidemark.sources.tables import materialise, scratch
 
 MIN_REVISIT_BYTES = 1000
 SAMPLE_RECORDS = 768
@@ -63,9 +65,13 @@ def _page_id(record_id: str) -> int | None:
     return None if number == "none" else int(number)
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False, date: str = EPOCH) -> bytes:
-    """A response, or a revisit, which keeps the HTTP header and leaves out the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(
+    page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False, date: str = EPOCH, length: int | None = None
+) -> bytes:
+    """A response, or a revisit, which keeps the HTTP header and leaves out the payload: of that its
+    ``length`` will do."""
+    size = len(payload) if length is None else length
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = "".join((url or "").split())
     extra = f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: {_record_id(refers_to)}\r\n" if revisit else ""
@@ -99,24 +105,34 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 def _payloads(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    return pages.select(
+    picked = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
+    )
+    return picked.select(
+        "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"),
+        F.monotonically_increasing_id().alias("place"),
+    )
 
 
-def write_archives(pages: DataFrame, root: str) -> DataFrame:
-    """Writes one record per page (page_id, url, html) under ``root``; returns the manifest."""
-    payloads = _payloads(pages)
-    size = F.octet_length("payload").cast("bigint")
-    known = payloads.select("page_id", "digest", size.alias("bytes"))
-    groups = known.filter(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest", "bytes")
+def _revisits(placed: DataFrame) -> DataFrame:
+    """The slim rows of all revisits, with the id of their response, saved."""
+    known = placed.filter(F.col("bytes") >= MIN_REVISIT_BYTES).select("page_id", "url", "digest", "bytes", "place")
+    groups = known.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to"))
     # Saved, so that the join is planned on its true size: broadcast only when it is small.
-    repeated = materialise(
-        groups.agg(F.count("*").alias("n"), F.max("page_id").alias("response_id"))
-        .filter("n > 1")
-        .select("digest", "bytes", "response_id")
-    )
-    dictionary = train_dictionary(payloads)
+    repeated = materialise(groups.filter("n > 1 and refers_to is not null").drop("n"))
+    return materialise(known.join(repeated, ["digest", "bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))))
+
+
+def write_archives(pages: DataFrame, root: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Writes one record per page (page_id, url, html) under ``root``; returns the manifest. ``limit``
+    bounds, in bytes, the bits that are broadcast at a time to tell revisits."""
+    with scratch(pages.sparkSession):
+        return _write_archives(materialise(_payloads(pages)), root, limit)
+
+
+def _write_archives(placed: DataFrame, root: str, limit: int) -> DataFrame:
+    revisits = _revisits(placed)
+    dictionary = train_dictionary(placed)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(root)
@@ -130,7 +146,9 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
                         out, count, total = fs.open_output_stream(f"{path}/{name}", compression=None), 0, 0
                         total += out.write(_dictionary_frame(dictionary) + compressor.compress(_info(name)))
-                    frame = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"])
+                    frame = record(
+                        row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["revisit"], length=row["bytes"]
+                    )
                     total += out.write(compressor.compress(frame))
                     count += 1
                     if total >= FILE_BYTES:
@@ -141,13 +159,14 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
             out.close()
             yield _written(name, count, total)
 
-    met = payloads.withColumn("bytes", size).join(repeated, ["digest", "bytes"], "left")
-    response = F.col("response_id")
-    revisit = response.isNotNull() & ~F.col("page_id").eqNullSafe(response)
-    typed = met.select(
-        "page_id", "url", "payload", "digest", response.alias("refers_to"), revisit.alias("revisit")
-    )
-    return materialise(map_arrow(typed, write, MANIFEST))
+    def archived(rows: DataFrame, revisit: bool) -> DataFrame:
+        payload = F.lit(b"") if revisit else F.col("payload")
+        refers_to = F.col("refers_to") if revisit else F.lit(None).cast("bigint")
+        columns = [payload.alias("payload"), refers_to.alias("refers_to"), F.lit(revisit).alias("revisit")]
+        return map_arrow(rows.select("page_id", "url", "digest", "bytes", *columns), write, MANIFEST)
+
+    responses = meet(placed, revisits.select("place"), lambda met: archived(met.filter("not hit"), False), limit)
+    return materialise(responses.unionByName(archived(revisits, True)), keep=True)
 
 
 def _written(name: str, count: int, total: int) -> pa.RecordBatch:
