@@ -2,7 +2,7 @@
 
 The pre-tokenizers of byte-level and word BPE cut a text at a single space or line feed between
 two other characters, so words can be encoded by themselves. Words repeat: the ids of
-``CACHE_WORDS`` of them are kept per Python worker. A new word of plain letters and punctuation
+``CACHE_WORDS`` of them, of up to ``CACHE_LENGTH`` characters, are kept per Python worker. A new word of plain letters and punctuation
 is cut into runs of either, as the pre-tokenizer would, and the library's model encodes the
 runs; any other word goes through the whole tokenizer. So do whole texts that hold other white
 space around a space or line feed or a special token's string, and every text of a tokenizer
@@ -21,6 +21,8 @@ import numpy as np
 #: Distinct words, and a quarter as many runs, that a Python worker keeps; beyond it a cache starts
 #: anew.
 CACHE_WORDS = 500_000
+#: Longer words and runs are encoded each time they come.
+CACHE_LENGTH = 64
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCTUATION = r".,;:!?%$#&*()\"|@\-"
@@ -38,7 +40,11 @@ class Words(dict):
         self.learn = learn
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.learn(word)
+        ids = self.learn(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -101,9 +107,11 @@ class Encoder:
         """The same for a run that no space comes before, kept."""
         known = self.runs.get(run)
         if known is None:
-            if len(self.runs) > CACHE_WORDS // 4:
-                self.runs.clear()
-            known = self.runs[run] = self._ids(run)
+            known = self._ids(run)
+            if len(run) <= CACHE_LENGTH:
+                if len(self.runs) >= max(1, CACHE_WORDS // 4):
+                    self.runs.clear()
+                self.runs[run] = known
         return known
 
     def _learn(self, piece: str) -> bytes:
@@ -135,8 +143,6 @@ class Encoder:
             return np.empty(0, self.dtype)
         if not self.by_word or any(s in text for s in self.specials):
             return self._whole(text)
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
         # A piece is a word after a space, or a line feed and the word after it. The first word
         # is looked up as if a line feed came before.
         pieces = f"\n{text}".replace("\n", " \n")[1:].split(" ")

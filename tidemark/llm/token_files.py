@@ -1,6 +1,7 @@
 """Token ids in flat binary files with 64-bit document offsets, for memory-mapped training.
 
-Documents are range-partitioned and sorted by id. Each task writes two files to the shared
+Documents are range-partitioned by id and a hash of the text, so that an id of many rows spreads
+over files, and sorted likewise. Each task writes two files to the shared
 folder: ``.bin`` holds the ids of its documents one after the other, as little-endian unsigned
 integers of the smallest type that holds the vocabulary; ``.idx`` holds the file magic, the
 number of documents and the bytes of an id, then n + 1 offsets (ids before each document), n
@@ -12,7 +13,7 @@ File names are unique per attempt and only files of the manifest, which Spark co
 ever read: a lost executor or a second attempt leaves no trace in the result.
 
 A NULL text is empty (its document holds only the end id), NULL ids come first, rows that share
-an id are ordered by text, an empty table gives no files and no rows.
+an id are ordered by the hash of their text, an empty table gives no files and no rows.
 """
 
 import uuid
@@ -83,7 +84,9 @@ def write_token_files(
     picked = docs.select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")
     )
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Not by the text itself: the driver samples what rows are dealt by.
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = picked.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     files = materialise(map_arrow(ordered, write, MANIFEST))
     # One row per task: the prefix sum is over as many rows as there are files.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
