@@ -5,8 +5,10 @@ import numpy as np
 import pytest
 
 from documents_fixture import make_docs  # noqa: F401
+from plans import explained, shuffled, watch_writes
 from tidemark.llm import jaccard_join, shingles
 from tidemark.llm.components import components
+from tidemark.sources.tables import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -169,6 +171,28 @@ def test_texts_that_share_an_id_are_read_once(make_docs, monkeypatch):
     assert read and max(read) <= 2 * len(texts)
 
 
+@pytest.mark.parametrize("limit", [0, 3 * 4096])
+def test_files_are_taken_in_groups_within_the_limit(make_docs, limit):
+    rows = families(9, 12, [20, 40, 80])
+    docs = make_docs(rows, clashes=True).repartition(5)
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs, limit=limit).collect()), key=str) == brute(rows)
+    kept = jaccard_join.drop_near_duplicates(docs, limit=limit)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
+
+
+def test_texts_never_shuffle(make_docs, monkeypatch):
+    """Of every plan that runs, no exchange has a text, or the struct it is kept in, among its columns."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    rows = families(10, 6, [20, 40])
+    docs = materialise(make_docs(rows))  # the fixture deals its rows
+    seen = watch_writes(monkeypatch)
+    for limit in (0, 1 << 25):
+        seen.append(explained(jaccard_join.drop_near_duplicates(docs, limit=limit)))
+    lines = shuffled(seen)
+    assert len(lines) > 20 and not [line for line in lines if re.search(r"\b(text|doc)#", line)]
+
+
 def test_an_empty_table(make_docs):
     none = make_docs([(1, "x")]).limit(0)
     assert jaccard_join.near_duplicates(none).count() == 0

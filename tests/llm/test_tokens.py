@@ -52,6 +52,29 @@ def test_a_full_cache_starts_anew(monkeypatch):
         assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_the_cache_is_bounded_in_bytes_and_within_a_text(monkeypatch):
+    monkeypatch.setattr("tidemark.llm.encoding.CACHE_WORDS", 100)
+    for path in (BYTE, WORD):
+        coder = Encoder(path)
+        text = " ".join(f"{'long' * 30}.{chr(97 + i % 26)}w{chr(97 + i // 26)} {chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(600))
+        assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert 0 < len(coder.pieces) <= 100 and max(map(len, [*coder.pieces, *coder.runs])) <= 64
+
+
+def test_a_hot_id_spreads_over_files(make_docs, spark):
+    rows = [(None if i % 2 else i, f"text {i} of this table") for i in range(4000)]
+    root = shared_dir(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins small files
+    try:
+        manifest = token_files.write_token_files(make_docs(rows), root, BYTE, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 4 and max(sizes) < 1.5 * 4000 / len(sizes)
+    got = sorted(token_files.read_token_files(manifest, root).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 2000 + list(range(0, 4000, 2))
+
+
 TEXTS = [(i * 7 % 101, t) for i, t in enumerate(ODD)] + [(500, None), (None, "no id"), (7, "again 7"), (600, "long words here " * 20000)]
 
 

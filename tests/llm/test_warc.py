@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 import struct
 from pathlib import Path
 
 import pytest
 import zstandard
+from plans import shuffled, watch_writes
 
 from tidemark.llm import warc
 from tidemark.sources.tables import shared_dir
@@ -59,6 +61,22 @@ def test_archives_round_trip(spark, pages):
             assert hashlib.sha1(row.payload).hexdigest() == row.payload_digest
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 25])
+def test_pages_never_shuffle(spark, pages, monkeypatch, limit):
+    """Whatever the limit, and with no join broadcast by its size."""
+    docs, root = spark.createDataFrame(pages, PAGES).repartition(3), shared_dir(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        seen = watch_writes(monkeypatch)
+        manifest = warc.write_archives(docs.select("page_id", "url", "html"), root, limit=limit)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    read = warc.read_archives(manifest, root).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in read), key=str) == brute(pages)
+    lines = shuffled(seen[1:])  # the first plan has the fixture's own repartition
+    assert lines and not [line for line in lines if re.search(r"\b(payload|html)#", line)]
+
+
 def test_each_record_is_a_frame_after_the_dictionary(spark, pages):
     root = shared_dir(spark)
     manifest = warc.write_archives(spark.createDataFrame(pages, PAGES).repartition(2), root).collect()
